@@ -5,6 +5,6 @@ of (spark, folder); ``ORACLE`` maps it to SQL with the same columns.
 """
 
 from catalog.common import ORACLE, QUERIES
-from catalog import corpus, evaluation, experiments, speech, subwords, words  # noqa: F401
+from catalog import corpus, evaluation, experiments, speech, storage, subwords, words  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -1 +1,168 @@
-"""placeholder"""
+"""Subword training, encoding, masking and scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.common import VOCAB, documents, hkey, query, rounded, table, tok, vocabulary
+from catalog.evaluation import IDS, _joined, token_ids, turn_pairs
+from wordloom.functions import arrays as ar, text as tx
+from wordloom.operators import tokens as tk, vocab as vo
+
+_PRE = r"regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+')"
+PIECES = f"pieces AS (SELECT piece, count(*) AS frequency FROM (SELECT unnest({_PRE}) AS piece FROM documents) GROUP BY piece)"
+
+
+@query("bpe_pretokenize", f"WITH {PIECES} SELECT piece, frequency FROM pieces")
+def _(spark, sf):
+    return tk.pretokenize(documents(spark, sf, "text"))
+
+
+@query("bpe_pair_counts", f"""
+WITH {PIECES}, s AS (SELECT string_split(piece, '') AS c, frequency FROM pieces),
+p AS (SELECT c, frequency, unnest(range(1, len(c))) AS i FROM s)
+SELECT c[i] AS "left", c[i + 1] AS "right", CAST(sum(frequency) AS BIGINT) AS "count" FROM p GROUP BY ALL""")
+def _(spark, sf):
+    words = tk.pretokenize(documents(spark, sf, "text"))
+    return tk.pair_counts(words.withColumn("symbols", tk.start_symbols("piece", "bpe")))
+
+
+@query("wordpiece_pair_scores", f"""
+WITH {PIECES}, s AS (SELECT list_transform(string_split(piece, ''), lambda x, i: CASE WHEN i = 1 THEN x ELSE '##' || x END) AS c, frequency FROM pieces),
+o AS (SELECT s, sum(frequency) AS n FROM (SELECT unnest(c) AS s, frequency FROM s) GROUP BY s),
+p AS (SELECT c[i] AS l, c[i + 1] AS r, sum(frequency) AS n FROM (SELECT c, frequency, unnest(range(1, len(c))) AS i FROM s) GROUP BY ALL)
+SELECT l AS "left", r AS "right", CAST(p.n AS BIGINT) AS "count", round(p.n::DOUBLE / (a.n::DOUBLE * b.n::DOUBLE), 12) AS score
+FROM p JOIN o a ON l = a.s JOIN o b ON r = b.s""")
+def _(spark, sf):
+    words = tk.pretokenize(documents(spark, sf, "text")).withColumn("symbols", tk.start_symbols("piece", "wordpiece"))
+    return rounded(tk.pair_scores(words), "score", digits=12)
+
+
+@query("special_tokens", f"""
+WITH {PIECES}, top AS (SELECT piece AS token, row_number() OVER (ORDER BY frequency DESC, piece) + 105 AS id FROM pieces ORDER BY id LIMIT 1000)
+SELECT token, id FROM top UNION ALL
+SELECT unnest(['<s>', '</s>', '<mask>', '<pad>', '<unk>', '<cls>']), unnest(range(0, 6)) UNION ALL
+SELECT '<extra_id_' || i || '>', i + 6 FROM range(0, 100) t(i)""")
+def _(spark, sf):
+    """Reserved tokens first, then the thousand commonest pieces."""
+    pieces = tk.pretokenize(documents(spark, sf, "text")).withColumnRenamed("piece", "word")
+    special = tk.special_tokens(spark)
+    top = vo.word_rank(vo.top_vocabulary(pieces, 1000))
+    return special.unionByName(top.select(F.col("word").alias("token"), (F.col("word_rank") + 106).alias("id")))
+
+
+def _train(spark, sf, family, merges=16, per_round=8):
+    return tk.train_tokenizer(
+        documents(spark, sf, "text"), "text", family, vocab_size=30_000, merges_per_round=per_round, max_merges=merges
+    )
+
+
+for _key, _family in (
+    ("train_bpe", "BPE"), ("train_wordpiece", "WordPiece"), ("train_sentencepiece_bpe", "SentencePiece"),
+    ("train_byte_bpe", "ByteLevelBPE"), ("retrain_like", "bert-base-uncased"),
+):
+
+    @query(_key)
+    def _(spark, sf, family=_family):
+        return _train(spark, sf, family).merges
+
+
+@query("encode_text")
+def _(spark, sf):
+    docs = documents(spark, sf, "doc_id", "text")
+    return _joined(tk.encode_text(docs, _train(spark, sf, "BPE")), "input_ids", "attention_mask").drop("text")
+
+
+@query("encode_pair")
+def _(spark, sf):
+    out = tk.encode_pair(turn_pairs(spark, sf), _train(spark, sf, "WordPiece"), "s1", "s2")
+    return _joined(out, "input_ids", "attention_mask").drop("s1", "s2")
+
+
+# --- masking ------------------------------------------------------------------------------
+_MASK = f"""{IDS},
+padded AS (SELECT doc_id, len(ids) AS n, list_concat(ids, list_transform(range(0, greatest(128 - len(ids), 0)), lambda x: 3)) AS ids FROM ids),
+pos AS (SELECT doc_id, n, unnest(range(0, len(ids))) AS i, unnest(ids) AS x FROM padded),
+key AS (SELECT *, {hkey('0:0', 'doc_id', 'i')} AS u, {hkey('0:0:id', 'doc_id', 'i')} AS v FROM pos),
+masked AS (SELECT *, i < n AND u <= {int(0.15 * 2**60)} AS hit FROM key)"""
+
+
+def _padded(spark, sf):
+    return token_ids(spark, sf).select("doc_id", ar.pad_array("ids", 128, 3).alias("input_ids"))
+
+
+@query("mask_tokens", f"""
+WITH {_MASK} SELECT doc_id, string_agg(CASE WHEN hit THEN 2 ELSE x END, ' ' ORDER BY i) AS input_ids,
+string_agg(CASE WHEN hit THEN x ELSE -100 END, ' ' ORDER BY i) AS labels FROM masked GROUP BY doc_id""")
+def _(spark, sf):
+    return _joined(tk.mask_tokens(_padded(spark, sf), ["doc_id"]), "input_ids", "labels")
+
+
+@query("mask_tokens_bert", f"""
+WITH {_MASK} SELECT doc_id, string_agg(CASE WHEN hit AND u <= {int(0.8 * 0.15 * 2**60)} THEN 2
+WHEN hit AND u <= {int(0.9 * 0.15 * 2**60)} THEN v % 19010 ELSE x END, ' ' ORDER BY i) AS input_ids,
+string_agg(CASE WHEN hit THEN x ELSE -100 END, ' ' ORDER BY i) AS labels FROM masked GROUP BY doc_id""")
+def _(spark, sf):
+    return _joined(tk.mask_tokens_bert(_padded(spark, sf), ["doc_id"], 19010), "input_ids", "labels")
+
+
+@query("mask_check", f"""
+WITH {_MASK} SELECT doc_id, count(*) FILTER (WHERE hit) AS n_masked, count(*) FILTER (WHERE hit OR i >= n) AS n_predicted,
+count(*) FILTER (WHERE i >= n) > 0 AS differs FROM masked GROUP BY doc_id""")
+def _(spark, sf):
+    """With pad positions kept as labels, as the parity option does."""
+    rows = tk.mask_tokens(_padded(spark, sf), ["doc_id"], pad_label=3)
+    return tk.mask_check(rows).select("doc_id", "n_masked", "n_predicted", "differs")
+
+
+# --- scores -----------------------------------------------------------------------------------
+def _thirds(words):
+    """A fixed encoding: pieces of three characters."""
+    return words.select("word", F.regexp_extract_all("word", F.lit("(?s).{1,3}"), F.lit(0)).alias("tokens"))
+
+
+@query("tokenizer_split_ratio", """
+WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
+x AS (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM w), t AS (SELECT doc_id, n, ceil(length(word) / 3) AS t FROM x),
+s AS (SELECT doc_id, sum(t) AS total, sum(t) / any_value(n) AS ratio FROM t GROUP BY doc_id)
+SELECT round((SELECT avg(total) FROM s), 6) AS sentence_length, round((SELECT avg(ratio) FROM s), 6) AS sentence_split_ratio,
+round((SELECT avg(t) FROM t), 6) AS word_split_ratio""")
+def _(spark, sf):
+    docs = documents(spark, sf, "text")
+    words = docs.select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    out = tk.tokenizer_split_ratio(docs, _thirds(words))
+    return rounded(out, "sentence_length", "sentence_split_ratio", "word_split_ratio")
+
+
+@query("unk_rate", f"""
+WITH {VOCAB}, t AS (SELECT doc_id, source AS task, unnest({tok('text')}) AS w FROM documents WHERE len({tok('text')}) > 0),
+b AS (SELECT DISTINCT doc_id FROM t WHERE w NOT IN (SELECT word FROM vocab))
+SELECT source AS task, round(avg(CASE WHEN doc_id IN (SELECT doc_id FROM b) THEN 1.0 ELSE 0 END), 6) AS unk_rate FROM documents GROUP BY source""")
+def _(spark, sf):
+    words = vo.bounded_words(vocabulary(spark, sf))
+    docs = documents(spark, sf, F.col("source").alias("task"), tx.word_tokens("text").alias("_t"))
+    known = F.expr(f"transform(_t, w -> IF({vo.sql_in('w', words)}, w, '<unk>'))")
+    return rounded(tk.unk_rate(docs.select("task", known.alias("tokens")), "tokens"), "unk_rate")
+
+
+_MORPH = f"""w AS (SELECT DISTINCT unnest({tok('text')}) AS word FROM documents),
+parts AS (SELECT word, [word[1:3], word[4:]] AS parts FROM w),
+enc AS (SELECT word, regexp_extract_all(word, '.{{1,3}}') AS tokens FROM w),
+hits AS (SELECT word, replace(t, '_', '') AS token, list_contains(parts, replace(t, '_', '')) AS hit FROM (
+SELECT word, unnest(tokens) AS t FROM enc WHERE len(tokens) <> 1 AND len(tokens) <> length(word)) JOIN parts USING (word))"""
+
+
+def _morph_tables(spark, sf):
+    words = documents(spark, sf, F.explode(tx.word_tokens("text")).alias("word")).distinct()
+    parts = words.select("word", F.array(F.substring("word", 1, 3), F.expr("substring(word, 4)")).alias("parts"))
+    return _thirds(words), parts
+
+
+@query("morph_parts", f"WITH {_MORPH} SELECT word, token, hit FROM hits")
+def _(spark, sf):
+    return tk.morph_parts(*_morph_tables(spark, sf))
+
+
+@query("morph_score", f"WITH {_MORPH} SELECT round((SELECT count(*) FILTER (WHERE hit) FROM hits) / (SELECT 2 * count(*) FROM parts), 6) AS morph_score")
+def _(spark, sf):
+    return rounded(tk.morph_score(*_morph_tables(spark, sf)), "morph_score")

@@ -201,7 +201,7 @@ def limited_vocab_spans(
     )
     found_rows = docs.select(*others, F.lower(text).alias("_text"), F.expr(starts).alias("_hits"))
     found_rows = found_rows.where(F.size("_hits") > 0)
-    rows = found_rows.select(*others, F.split("_text", " ").alias("_words"), F.explode("_hits").alias("_h"))
+    rows = found_rows.withColumn("_words", F.split("_text", " ")).select(*others, "_words", F.explode("_hits").alias("_h"))
     return rows.select(
         *others,
         F.col("_h.start").alias("start"),

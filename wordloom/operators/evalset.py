@@ -37,6 +37,7 @@ TASK_KEYS = {
     "stsb": ("sentence1", "sentence2"),
     "wnli": ("sentence1", "sentence2"),
 }
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
 INSTANCE_FIELDS = (
     "sentence", "sentence1", "sentence2", "question", "question1", "question2", "hypothesis", "premise",
 )
@@ -116,8 +117,9 @@ def dictionary_report(df: DataFrame, tokens: Column, dictionary: DataFrame) -> D
 
 
 def strip_predictions(df: DataFrame, prediction: str = "prediction", label: str = "label") -> DataFrame:
-    """Trim both; the label becomes a one-element array."""
-    return df.withColumn(prediction, F.trim(prediction)).withColumn(label, F.array(F.trim(label)))
+    """Trim white space of both; the label becomes a one-element array."""
+    strip = lambda c: F.btrim(F.col(c), F.lit(WHITE_SPACE))
+    return df.withColumn(prediction, strip(prediction)).withColumn(label, F.array(strip(label)))
 
 
 def pad_to_batch_max(df: DataFrame, ids: str, batch: str, pad_id: int) -> DataFrame:

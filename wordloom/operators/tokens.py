@@ -144,6 +144,7 @@ def _choose(rows, k: int):
 def train_tokenizer(
     df: DataFrame, text: str = "text", family: str = "bpe", vocab_size: int = 30_000,
     merges_per_round: int = 1, min_frequency: int = 1, cut_every: int = 8, score: str | None = None,
+    max_merges: int | None = None,
 ) -> Subwords:
     """Learn merges until the vocabulary is full or no pair is frequent enough.
 
@@ -162,7 +163,10 @@ def train_tokenizer(
         global_position(words.select(F.explode(symbol_array("symbols")).alias("token")).distinct(), ["token"], "pos")
     )
     n_special = specials.count()
-    room = vocab_size - n_special - alphabet.count()
+    n_alphabet = alphabet.count()
+    room = vocab_size - n_special - n_alphabet
+    if max_merges is not None:
+        room = min(room, max_merges)
     merges: list[tuple[int, str, str, str]] = []
     seen: set[str] = set()  # symbols made so far: two merges may build the same one
     rounds = 0
@@ -189,9 +193,8 @@ def train_tokenizer(
     merge_rows = spark.createDataFrame(merges, "rank bigint, left string, right string, merged string")
     made = merge_rows.groupBy("merged").agg(F.min("rank").alias("rank"))
     made = global_position(made, ["rank"], "pos")
-    base = n_special
-    vocab = specials.unionByName(alphabet.select("token", (F.col("pos") + base).alias("id"))).unionByName(
-        made.select(F.col("merged").alias("token"), (F.col("pos") + base + alphabet.count()).alias("id"))
+    vocab = specials.unionByName(alphabet.select("token", (F.col("pos") + n_special).alias("id"))).unionByName(
+        made.select(F.col("merged").alias("token"), (F.col("pos") + n_special + n_alphabet).alias("id"))
     )
     vocab = vocab.groupBy("token").agg(F.min("id").alias("id"))
     return Subwords(family, vocab, merge_rows, words.select("piece", "frequency", symbol_array("symbols").alias("tokens")))
@@ -411,8 +414,9 @@ def tokenizer_split_ratio(sentences: DataFrame, encoded: DataFrame, text: str =
     Each is a sum over word occurrences of a weight times the word's token
     count, so occurrences are combined by word before the lookup.
     """
-    words = F.split(text, " ")
-    rows = sentences.select(F.explode(words).alias("word"), (F.lit(1.0) / F.size(words)).alias("_share"))
+    # the share is fixed before the explode, not recomputed for every word
+    split = sentences.select(F.split(text, " ").alias("_words")).withColumn("_share", F.lit(1.0) / F.size("_words"))
+    rows = split.select(F.explode("_words").alias("word"), "_share")
     per_word = rows.groupBy("word").agg(F.count(F.lit(1)).alias("_n"), F.sum("_share").alias("_share"))
     sized = per_word.join(encoded.select("word", F.size("tokens").alias("_t")), "word", "left")
     t = F.coalesce("_t", F.lit(0))

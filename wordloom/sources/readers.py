@@ -83,11 +83,15 @@ def read_string_lists(spark: SparkSession, glob: str) -> DataFrame:
     return files.select("path", F.posexplode(F.from_json("value", "array<string>")).alias("position", "text"))
 
 
+def parse_record_maps(df: DataFrame, text: str = "value", value_schema: str = RECORD_SCHEMA) -> DataFrame:
+    """record_id and fields of JSON objects of records."""
+    maps = df.select(F.from_json(text, f"map<string, struct<{_ddl_fields(value_schema)}>>").alias("_m"))
+    return maps.select(F.explode("_m").alias("record_id", "_r")).select("record_id", "_r.*")
+
+
 def read_record_map(spark: SparkSession, glob: str, value_schema: str = RECORD_SCHEMA) -> DataFrame:
     """record_id and fields from files that are JSON objects of records."""
-    files = spark.read.text(glob, wholetext=True)
-    maps = files.select(F.from_json("value", f"map<string, struct<{_ddl_fields(value_schema)}>>").alias("_m"))
-    return maps.select(F.explode("_m").alias("record_id", "_r")).select("record_id", "_r.*")
+    return parse_record_maps(spark.read.text(glob, wholetext=True), value_schema=value_schema)
 
 
 def _ddl_fields(schema: str) -> str:
