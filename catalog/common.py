@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wordloom.functions import text as tx
 from wordloom.operators import vocab as vo
-from wordloom.session import spread
+from wordloom.session import measured, spread
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -40,7 +40,7 @@ def documents(spark, sf, *columns) -> DataFrame:
 def vocabulary(spark, sf, k: int = VOCAB_SIZE) -> DataFrame:
     """Target vocabulary: the commonest words of the English documents."""
     english = documents(spark, sf, "lang", "text").where("lang = 'en'")
-    return vo.top_vocabulary(vo.word_frequency(english), k).select("word")
+    return measured(vo.top_vocabulary(vo.word_frequency(english), k).select("word"))
 
 
 def frequencies(spark, sf) -> DataFrame:

@@ -15,7 +15,9 @@ def hash_key(seed: int | str, *ids: Column | str) -> Column:
     """60-bit integer from the md5 of ``seed:id[:id…]``."""
     cols = [F.col(c) if isinstance(c, str) else c for c in ids]
     text = F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in cols])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+    key = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+    # never NULL; saying so spares an inferred not-null filter that would hash again
+    return F.coalesce(key, F.lit(0).cast("bigint"))
 
 
 def hash_unit(seed: int | str, *ids: Column | str) -> Column:

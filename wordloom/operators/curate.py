@@ -89,26 +89,31 @@ def chunk_by_chars(
 # --- vocabulary hits ----------------------------------------------------------------
 def vocab_hits(
     df: DataFrame, ids: Sequence[str], tokens: Column, vocab: DataFrame, inline: int = INLINE_WORDS,
+    keep: str = "true",
 ) -> DataFrame:
-    """Adds ``n_tokens`` and ``n_in_vocab`` per row.
+    """Adds ``n_tokens`` and ``n_in_vocab`` per row; keeps the rows for which
+    ``keep``, an SQL condition on ``r.n_tokens`` and ``r.n_in_vocab``, holds.
 
     A vocabulary within the inline bound is tested inside the row: no shuffle.
-    A larger one is joined to the exploded tokens; ``ids`` must be unique.
+    There the condition is part of a generator: as a filter on the computed
+    columns it would be pushed below them and compute the tokens again.
+    A larger vocabulary is joined to the exploded tokens; ``ids`` must be unique.
     """
     words = bounded_words(vocab, inline)
     if words is not None:
-        return (
-            df.withColumn("_toks", tokens)
-            .withColumn("n_tokens", F.size("_toks").cast("bigint"))
-            .withColumn("n_in_vocab", F.expr(f"size(filter(_toks, w -> {sql_in('w', words)}))").cast("bigint"))
-            .drop("_toks")
+        counts = (
+            "named_struct('n_tokens', cast(size(_toks) as bigint), "
+            f"'n_in_vocab', cast(size(filter(_toks, w -> {sql_in('w', words)})) as bigint))"
         )
+        rows = F.expr(f"inline(filter(array({counts}), r -> {keep}))")
+        return df.withColumn("_toks", tokens).select(*df.columns, rows)
     marks = vocab.select(F.col("word").alias("_w")).distinct().withColumn("_hit", F.lit(True))
     rows = df.select(*ids, F.explode_outer(tokens).alias("_w")).join(marks, "_w", "left")
     counts = rows.groupBy(*ids).agg(
         F.count("_w").alias("n_tokens"), F.count_if(F.col("_hit")).alias("n_in_vocab")
     )
-    return df.join(counts, list(ids))
+    kept = counts.alias("r").where(keep).select("r.*")
+    return df.join(kept, list(ids))
 
 
 def restrict_to_english_vocab(
@@ -141,9 +146,8 @@ def filter_limited_vocab(
     if english_vocab is not None:
         spans = restrict_to_english_vocab(spans, ids, tokens, english_vocab, inline)
         tokens = F.col("tokens")
-    hits = vocab_hits(spans, ids, tokens, vocab, inline)
-    kept = hits.where((F.col("n_in_vocab") == F.col("n_tokens")) & (F.col("n_tokens") > min_tokens))
-    return kept.drop("n_in_vocab", "tokens")
+    keep = f"r.n_in_vocab = r.n_tokens AND r.n_tokens > {min_tokens}"
+    return vocab_hits(spans, ids, tokens, vocab, inline, keep).drop("n_in_vocab", "tokens")
 
 
 def _prepared_words_sql(text: str) -> str:
@@ -193,21 +197,17 @@ def limited_vocab_spans(
     )
     window = f"aggregate(slice(d.b, cast(s div {g} as int) + 1, {length // g}), 0L, (a, x) -> a + x)"
     hits = (
-        f"filter(transform(sequence(0, d.n - 1, {stride}), s -> named_struct('start', s, 'n_tokens', {window})), "
+        f"filter(transform(sequence(0, size(d.w) - 1, {stride}), s -> named_struct('start', s, 'n_tokens', {window})), "
         f"r -> r.n_tokens > {min_tokens} AND r.n_tokens < {OOV_UNIT}L)"
     )
-    starts = (
-        f"transform(array(named_struct('n', size(split(`{text}`, ' ')), 'b', {blocks})), d -> {hits})[0]"
-    )
-    found_rows = docs.select(*others, F.lower(text).alias("_text"), F.expr(starts).alias("_hits"))
-    found_rows = found_rows.where(F.size("_hits") > 0)
-    rows = found_rows.withColumn("_words", F.split("_text", " ")).select(*others, "_words", F.explode("_hits").alias("_h"))
-    return rows.select(
-        *others,
-        F.col("_h.start").alias("start"),
-        F.col("_h.n_tokens").alias("n_tokens"),
-        F.array_join(F.slice("_words", F.col("_h.start") + 1, length), " ").alias("span"),
+    span = f"array_join(slice(d.w, h.start + 1, {length}), ' ')"
+    rows = (
+        f"transform(array(named_struct('w', split(lower(`{text}`), ' '), 'b', {blocks})), d -> transform({hits}, "
+        f"h -> named_struct('start', h.start, 'n_tokens', h.n_tokens, 'span', {span})))[0]"
     )
+    # the generator takes the expression itself: over a named column Spark would
+    # infer a filter on it and compute the whole expression a second time
+    return docs.select(*others, F.expr(f"inline({rows})"))
 
 
 def dedup_spans(spans: DataFrame, text: str = "span", ids: Sequence[str] = ("doc_id", "start")) -> DataFrame:

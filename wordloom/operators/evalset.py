@@ -90,8 +90,8 @@ def filter_eval_examples(
     An example with no token left is kept.  Vocabulary words are not lowered.
     """
     tokens = tx.eval_tokens(example_text(df.columns, spec), drop_proper)
-    hits = vocab_hits(df, ids, tokens, vocab, inline)
-    return hits.where("n_in_vocab = n_tokens").drop("n_tokens", "n_in_vocab")
+    hits = vocab_hits(df, ids, tokens, vocab, inline, keep="r.n_in_vocab = r.n_tokens")
+    return hits.drop("n_tokens", "n_in_vocab")
 
 
 def eval_coverage(

@@ -100,8 +100,10 @@ def symbol_array(symbols: Column | str) -> Column:
 
 def pair_counts(words: DataFrame, symbols: str = "symbols", weight: str = "frequency") -> DataFrame:
     """left, right, count of adjacent symbols, weighted by piece frequency."""
-    arrays = words.select(symbol_array(symbols).alias("_s"), weight).where(F.size("_s") >= 2)
-    spots = F.explode(F.sequence(F.lit(0), F.size("_s") - 2)).alias("_i")
+    arrays = words.select(symbol_array(symbols).alias("_s"), weight)
+    last = F.size("_s") - 2
+    none = F.array().cast("array<int>")
+    spots = F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(none)).alias("_i")
     pairs = arrays.select("_s", weight, spots).select(
         F.get("_s", F.col("_i")).alias("left"), F.get("_s", F.col("_i") + 1).alias("right"), weight
     )
@@ -443,8 +445,9 @@ def morph_parts(encoded: DataFrame, parts: DataFrame, strip_marks: bool = True)
     """
     marks = "[#_▁Ġ]" if strip_marks else "[#_]"
     size = F.size("tokens")
-    rows = encoded.join(parts, "word").where((size != 1) & (size != F.length("word")))
-    tokens = rows.select("word", "parts", F.explode("tokens").alias("_t"))
+    # decided inside the generator: a filter would be pushed down and encode again
+    cut = F.when((size != 1) & (size != F.length("word")), F.col("tokens"))
+    tokens = encoded.join(parts, "word").select("word", "parts", F.explode(cut).alias("_t"))
     bare = F.regexp_replace("_t", marks, "")
     return tokens.select("word", bare.alias("token"), F.array_contains("parts", bare).alias("hit"))
 
