@@ -8,6 +8,7 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wordloom.functions import text as tx
+from wordloom.operators.joins import lookup_join
 from wordloom.operators.vocab import INLINE_WORDS, bounded_words, earliest_bin, sql_in
 
 SPAN_WORDS = 110
@@ -108,7 +109,8 @@ def vocab_hits(
         rows = F.expr(f"inline(filter(array({counts}), r -> {keep}))")
         return df.withColumn("_toks", tokens).select(*df.columns, rows)
     marks = vocab.select(F.col("word").alias("_w")).distinct().withColumn("_hit", F.lit(True))
-    rows = df.select(*ids, F.explode_outer(tokens).alias("_w")).join(marks, "_w", "left")
+    rows = df.select(*ids, F.explode_outer(tokens).alias("_w"))
+    rows = lookup_join(rows, marks, ["_w"], "left", ids)
     counts = rows.groupBy(*ids).agg(
         F.count("_w").alias("n_tokens"), F.count_if(F.col("_hit")).alias("n_in_vocab")
     )
@@ -126,7 +128,7 @@ def restrict_to_english_vocab(
             "tokens", F.expr(f"filter(_toks, w -> {sql_in('w', words)})")
         ).drop("_toks")
     keep = english_vocab.select(F.col("word").alias("_w")).distinct()
-    rows = df.select(*ids, F.posexplode(tokens).alias("_pos", "_w")).join(keep, "_w", "left_semi")
+    rows = lookup_join(df.select(*ids, F.posexplode(tokens).alias("_pos", "_w")), keep, ["_w"], "left_semi", ids)
     lists = rows.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("_pos", "_w"))).alias("_l"))
     out = df.join(lists, list(ids), "left")
     kept = F.transform("_l", lambda x: x["_w"])
@@ -285,7 +287,7 @@ def featurize_docs(
         marks = vocab.select("word").distinct().join(bins, "word", "left").select(
             "word", F.lit(True).alias("_hit"), F.coalesce("bin", F.lit(1)).alias("_age")
         )
-        rows = df.select(*ids, F.explode_outer(terms).alias("word")).join(marks, "word", "left")
+        rows = lookup_join(df.select(*ids, F.explode_outer(terms).alias("word")), marks, ["word"], "left", ids)
         oov = F.col("_hit").isNull() & F.col("word").isNotNull()
         per = rows.groupBy(*ids).agg(
             F.count("word").alias("SENTENCE_LENGTH"),

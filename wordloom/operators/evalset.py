@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wordloom.functions import text as tx
 from wordloom.functions.arrays import pad_array
 from wordloom.operators.curate import vocab_hits
+from wordloom.operators.joins import lookup_join
 from wordloom.operators.vocab import INLINE_WORDS, vocab_membership
 
 # --- fixed values: text columns of the supported tasks --------------------------------
@@ -129,4 +130,4 @@ def pad_to_batch_max(df: DataFrame, ids: str, batch: str, pad_id: int) -> DataFr
     large batch is not gathered in one task.
     """
     longest = df.groupBy(batch).agg(F.greatest(F.max(F.size(ids)), F.lit(1)).alias("_max"))
-    return df.join(longest, batch).withColumn(ids, pad_array(ids, F.col("_max"), pad_id)).drop("_max")
+    return lookup_join(df, longest, [batch], "inner", [ids]).withColumn(ids, pad_array(ids, F.col("_max"), pad_id)).drop("_max")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wordloom.functions.scaling import perplexity
+from wordloom.operators.joins import lookup_join
 from wordloom.operators.ordering import global_position, global_running_sum, running_by_group
 
 # --- fixed values: metrics by task ------------------------------------------------------
@@ -60,7 +61,8 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
         F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")
     ).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
     mid = (pairs.agg(F.sum("_n")).scalar() + 1) / 2
-    ranked = pairs.join(average_ranks(pairs, "_a"), "_a").join(average_ranks(pairs, "_b"), "_b")
+    ranked = lookup_join(pairs, average_ranks(pairs, "_a"), ["_a"], "inner", ["_b"])
+    ranked = lookup_join(ranked, average_ranks(pairs, "_b"), ["_b"], "inner", ["_a"])
     x, y, n = F.col("_x"), F.col("_y"), F.col("_n")
     ranked = ranked.select("_n", (F.col("_a_rank") - mid).alias("_x"), (F.col("_b_rank") - mid).alias("_y"))
     return ranked.agg(
@@ -109,7 +111,7 @@ def predict_argmax(df: DataFrame, logits: str, labels: DataFrame | None = None,
     if labels is None:
         return out
     names = labels.select(F.col("label_id").alias(name), F.col("label").alias(name + "_label"))
-    return out.join(names, name, "left")
+    return lookup_join(out, names, [name])
 
 
 def predict_regression(df: DataFrame, logits: str, name: str = "prediction") -> DataFrame:
@@ -132,7 +134,7 @@ def encode_labels(df: DataFrame, labels: DataFrame, label: str = "label") -> Dat
     """Adds ``label_id``; the unknown mark -1 stays -1."""
     ids = labels.select(F.col("label").cast("string").alias("_l"), "label_id")
     key = F.col(label).cast("string")
-    out = df.withColumn("_l", key).join(ids, "_l", "left")
+    out = lookup_join(df.withColumn("_l", key), ids, ["_l"])
     return out.withColumn("label_id", F.when(F.col("_l") == "-1", F.lit(-1)).otherwise(F.col("label_id"))).drop("_l")
 
 

@@ -23,7 +23,7 @@ from wordloom.functions.keys import hash_bucket, hash_key
 from wordloom.session import checkpointed, measured
 
 LOCAL_BITS = 33  # low bits of monotonically_increasing_id: row within partition
-BUCKET_BITS = 10
+BUCKET_BITS = 12
 
 
 def _order(columns: Sequence[Column | str]) -> list[Column]:

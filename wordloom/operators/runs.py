@@ -6,7 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from wordloom.operators.joins import lookup_join
 from wordloom.operators.ordering import exact_percentiles
+from wordloom.session import local_table
 
 CONFIG_COLUMNS = ("embedding_size", "hidden_size", "intermediate_size", "num_attention_heads", "num_hidden_layers")
 
@@ -18,7 +20,7 @@ def config_grid(spark: SparkSession, base: Mapping[str, int], vary: Mapping[str,
         for v in values:
             rows.append((len(rows), feature, *[int(v if k == feature else base[k]) for k in base]))
     schema = "run_number bigint, feature string, " + ", ".join(f"{k} bigint" for k in base)
-    return spark.createDataFrame(rows, schema)
+    return local_table(spark, rows, schema)
 
 
 def vary_configs(bases: DataFrame, vary: Mapping[str, Sequence[int]], keys: Sequence[str] = CONFIG_COLUMNS) -> DataFrame:
@@ -36,7 +38,7 @@ def vary_configs(bases: DataFrame, vary: Mapping[str, Sequence[int]], keys: Sequ
 
 def explicit_configs(spark: SparkSession, points: Sequence[Sequence[int]], keys: Sequence[str] = CONFIG_COLUMNS) -> DataFrame:
     """Sweep points given as tuples."""
-    return spark.createDataFrame([tuple(map(int, p)) for p in points], ", ".join(f"{k} bigint" for k in keys))
+    return local_table(spark, [tuple(map(int, p)) for p in points], ", ".join(f"{k} bigint" for k in keys))
 
 
 def skip_configs(grid: DataFrame, unwanted: Column) -> DataFrame:
@@ -45,11 +47,11 @@ def skip_configs(grid: DataFrame, unwanted: Column) -> DataFrame:
 
 def runs_with_evals(runs: DataFrame, evals: DataFrame, run: str = "run_name") -> DataFrame:
     """Configuration and scalar metrics on every evaluation row of the run."""
-    return evals.join(runs, run)
+    return lookup_join(evals, runs, [run], "inner")
 
 
 def run_config_lookup(runs: DataFrame, wanted: DataFrame, run: str = "run_name") -> DataFrame:
-    return wanted.join(runs, run, "left")
+    return lookup_join(wanted, runs, [run])
 
 
 def upsert_run_map(existing: DataFrame, new: DataFrame, run: str = "run_name") -> DataFrame:

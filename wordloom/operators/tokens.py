@@ -18,7 +18,7 @@ from wordloom.functions import text as tx
 from wordloom.functions.arrays import attention_mask, fit_array
 from wordloom.functions.keys import KEY_BITS, hash_key
 from wordloom.operators.ordering import global_position
-from wordloom.session import checkpointed
+from wordloom.session import checkpointed, local_table
 
 # --- fixed values ------------------------------------------------------------------------
 SPECIAL_TOKENS = ("<s>", "</s>", "<mask>", "<pad>", "<unk>", "<cls>")
@@ -59,7 +59,7 @@ def family_of(name: str) -> str:
 def special_tokens(spark: SparkSession) -> DataFrame:
     """token, id of the reserved tokens, which take the first ids."""
     tokens = list(SPECIAL_TOKENS) + [f"<extra_id_{i}>" for i in range(N_EXTRA_IDS)]
-    return spark.createDataFrame([(t, i) for i, t in enumerate(tokens)], "token string, id bigint")
+    return local_table(spark, [(t, i) for i, t in enumerate(tokens)], "token string, id bigint")
 
 
 # --- pieces and symbols ----------------------------------------------------------------------
@@ -192,7 +192,7 @@ def train_tokenizer(
         rounds += 1
         if rounds % cut_every == 0:
             words = checkpointed(words)
-    merge_rows = spark.createDataFrame(merges, "rank bigint, left string, right string, merged string")
+    merge_rows = local_table(spark, merges, "rank bigint, left string, right string, merged string")
     made = merge_rows.groupBy("merged").agg(F.min("rank").alias("rank"))
     made = global_position(made, ["rank"], "pos")
     vocab = specials.unionByName(alphabet.select("token", (F.col("pos") + n_special).alias("id"))).unionByName(

@@ -6,7 +6,12 @@ import os
 import tempfile
 import uuid
 
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Inputs below this estimated size are spread over the cores after the scan: a
 # few small files with one row group each would otherwise run on a few cores.
@@ -24,6 +29,7 @@ def local_session(app: str = "wordloom", cpus: int | str = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("WORDLOOM_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -75,7 +81,16 @@ def measured(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     statistics, so Spark's own size check decides on broadcasting it; a larger
     one is returned unchanged and joins by shuffle.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return df
     return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """Driver-side rows as a local relation (exact statistics)."""
+    types = StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [[] for _ in types]
+    arrow = to_arrow_schema(types)
+    table = pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    return spark.createDataFrame(table, types)

@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from wordloom.operators.joins import lookup_join
+
 
 def pending(df: DataFrame, manifest: DataFrame, file: str = "file", row: str = "row_no") -> DataFrame:
     """Rows past the recorded end of their file; files not listed are all new."""
     ends = manifest.groupBy(file).agg(F.max("end_row").alias("_end"))
-    out = df.join(ends, file, "left")
+    out = lookup_join(df, ends, [file], "left", [row])
     return out.where(F.col("_end").isNull() | (F.col(row) >= F.col("_end"))).drop("_end")
 
 
