@@ -10,7 +10,7 @@ from catalog.common import (
 )
 from wordloom.functions import text as tx
 from wordloom.operators import curate as cu, pack as pk, sample as sa
-from wordloom.plans.corpora import constrained_corpus
+from wordloom.plans.corpora import constrained_corpus, unconstrained_corpus
 from wordloom.sources import readers as rd
 
 
@@ -379,6 +379,26 @@ def _(spark, sf):
     return pk.pack_sequences(_pack_rows(spark, sf), ["shard"], ["conv_id", "turn"])
 
 
+@query("unconstrained_corpus", f"""
+WITH RECURSIVE {_SAMPLED}, quotas AS (SELECT source, count(*) // 2 + 7 AS quota FROM documents GROUP BY source),
+ranked AS (SELECT doc_id, source, start, span, row_number() OVER (PARTITION BY source
+           ORDER BY {hkey(0, 'doc_id', 'start')}, doc_id, start) AS rn FROM sampled),
+items AS (SELECT source, span, len(string_split(span, ' ')) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id, start) AS i
+          FROM ranked JOIN quotas USING (source) WHERE rn <= quota),
+fold AS (
+  SELECT source, i, n AS total, CAST(0 AS BIGINT) AS seq_no FROM items WHERE i = 1
+  UNION ALL
+  SELECT f.source, x.i, CASE WHEN (f.total + x.n + 1) * 1.2 >= 128 THEN x.n ELSE f.total + x.n END,
+         CASE WHEN (f.total + x.n + 1) * 1.2 >= 128 THEN f.seq_no + 1 ELSE f.seq_no END
+  FROM fold f JOIN items x ON x.source = f.source AND x.i = f.i + 1),
+seqs AS (SELECT source, seq_no, string_agg(span || ' ', '' ORDER BY i) AS text, CAST(sum(n) AS BIGINT) AS n_words
+         FROM fold JOIN items USING (source, i) GROUP BY source, seq_no)
+SELECT source, seq_no, text, n_words, CASE WHEN r < 40 THEN 'test' WHEN r < 100 THEN 'validation' ELSE 'train' END AS split
+FROM (SELECT *, row_number() OVER (ORDER BY {hkey(0, 'source', 'seq_no')} DESC, source DESC, seq_no DESC) - 1 AS r FROM seqs)""")
+def _(spark, sf):
+    return unconstrained_corpus(documents(spark, sf), _quotas(spark, sf), 3, 60, 40)
+
+
 @query("pack_sequences_one_shard", _PACK.replace("conv_id // 50", "0") + """
 SELECT seq_no, string_agg(text || ' ', '' ORDER BY i) AS text, CAST(sum(n) AS BIGINT) AS n_words
 FROM fold JOIN items USING (shard, i) GROUP BY shard, seq_no""")

@@ -86,14 +86,14 @@ def _(spark, sf):
     return spark.read.schema("span string").json(path)
 
 
-@query("read_string_lists", "SELECT text FROM documents")
+@query("read_string_lists", """
+SELECT doc_id, CAST(position AS BIGINT) AS position, text FROM (SELECT doc_id, unnest(range(0, len(p))) AS position, unnest(p) AS text
+FROM (SELECT doc_id, string_split(text, '.') AS p FROM documents))""")
 def _(spark, sf):
-    """One JSON array per document, several files."""
+    """A JSON array of its sentences per document, written and parsed."""
     path = scratch_dir(spark, "arrays")
-    documents(spark, sf, F.to_json(F.array("text")).alias("value")).repartition(8).write.option("lineSep", "\u0000").text(path)
-    # every written file holds many arrays, so cut them back before parsing
-    files = spark.read.option("lineSep", "\u0000").text(path)
-    return files.select(F.explode(F.from_json("value", "array<string>")).alias("text"))
+    documents(spark, sf, "doc_id", F.to_json(tx.dot_sentences("text")).alias("value")).write.json(path)
+    return as_bigint(rd.parse_string_lists(spark.read.schema("doc_id bigint, value string").json(path)), "position")
 
 
 @query("read_record_map", "SELECT CAST(doc_id AS VARCHAR) AS record_id, text AS \"TEXT\", source AS \"DATA_SOURCE\" FROM documents")
@@ -173,6 +173,14 @@ def _finish(started, spark, sink):
     return spark.read.parquet(sink).drop("batch_id")
 
 
+@query("stream_corpus", _DOCS)
+def _(spark, sf):
+    sink, marks = scratch_dir(spark, "sink"), scratch_dir(spark, "marks")
+    copy = _stream(spark, sf).writeStream.format("parquet").option("path", sink).option("checkpointLocation", marks)
+    copy.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(sink)
+
+
 @query("stream_filter", f"WITH {KEPT} SELECT doc_id, source, start, n_tokens, span FROM kept")
 def _(spark, sf):
     sink, marks = scratch_dir(spark, "sink"), scratch_dir(spark, "marks")

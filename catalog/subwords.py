@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.common import VOCAB, documents, hkey, query, rounded, table, tok, vocabulary
 from catalog.evaluation import IDS, _joined, token_ids, turn_pairs
 from wordloom.functions import arrays as ar, text as tx
-from wordloom.operators import tokens as tk, vocab as vo
+from wordloom.operators import metrics as me, tokens as tk, vocab as vo
 
 _PRE = r"regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+')"
 PIECES = f"pieces AS (SELECT piece, count(*) AS frequency FROM (SELECT unnest({_PRE}) AS piece FROM documents) GROUP BY piece)"
@@ -115,6 +115,14 @@ def _(spark, sf):
     return tk.mask_check(rows).select("doc_id", "n_masked", "n_predicted", "differs")
 
 
+@query("position_accuracy", f"""
+WITH {_MASK} SELECT round(count(*) FILTER (WHERE NOT hit OR x = 2) / count(*), 9) AS accuracy FROM masked""")
+def _(spark, sf):
+    """Equal positions of masked and unmasked ids."""
+    rows = _padded(spark, sf).withColumn("gold", F.col("input_ids"))
+    return rounded(me.position_accuracy(tk.mask_tokens(rows, ["doc_id"]), "input_ids", "gold"), "accuracy", digits=9)
+
+
 # --- scores -----------------------------------------------------------------------------------
 def _thirds(words):
     """A fixed encoding: pieces of three characters."""

@@ -355,9 +355,16 @@ def _below(key: Column, share: float) -> Column:
     return key <= int(share * 2**KEY_BITS)
 
 
-def _real_length(ids: str, pad_id: int) -> Column:
+def _real_ids(ids: str, pad_id: int) -> Column:
+    """The ids before the first pad."""
     first_pad = F.array_position(ids, F.lit(pad_id))
-    return F.when(first_pad == 0, F.size(ids)).otherwise(first_pad - 1)
+    return F.slice(ids, F.lit(1), F.when(first_pad == 0, F.size(ids)).otherwise(first_pad - 1).cast("int"))
+
+
+# In the masking expressions an intermediate array is always an argument of a
+# higher-order function, never a column used inside its lambda: Spark may put a
+# column's expression in place of the column, and a lambda would then compute
+# the whole array once per element.
 
 
 def mask_tokens(
@@ -370,14 +377,14 @@ def mask_tokens(
     masks alike.  Positions from the first pad on are never masked; their label
     is ``pad_label`` (give ``pad_id`` to have them enter the loss).
     """
-    staged = df.withColumn("_n", _real_length(ids, pad_id)).withColumn(
-        "_hit", F.transform(ids, lambda x, i: _below(hash_key(f"{seed}:{epoch}", *keys, i), p) & (i < F.col("_n")))
+    hits = F.transform(_real_ids(ids, pad_id), lambda x, i: _below(hash_key(f"{seed}:{epoch}", *keys, i), p))
+    staged = df.withColumn("_hit", hits)  # shorter than ids: zipping gives NULL from the first pad on
+    labels = F.zip_with(
+        ids, "_hit",
+        lambda x, h: F.when(h, x).when(h.isNotNull(), F.lit(IGNORED_LABEL)).otherwise(F.lit(pad_label)),
     )
-    labels = F.transform(
-        ids, lambda x, i: F.when(F.get("_hit", i), x).when(i < F.col("_n"), F.lit(IGNORED_LABEL)).otherwise(F.lit(pad_label))
-    )
-    inputs = F.transform(ids, lambda x, i: F.when(F.get("_hit", i), F.lit(mask_id)).otherwise(x))
-    return staged.withColumn("labels", labels).withColumn(ids, inputs).drop("_n", "_hit")
+    inputs = F.zip_with(ids, "_hit", lambda x, h: F.when(h, F.lit(mask_id)).otherwise(x))
+    return staged.withColumn("labels", labels).withColumn(ids, inputs).drop("_hit")
 
 
 def mask_tokens_bert(
@@ -385,18 +392,20 @@ def mask_tokens_bert(
     pad_id: int = 3, seed: int | str = 0, epoch: int = 0,
 ) -> DataFrame:
     """The 80/10/10 variant: of the chosen positions, mask, random id, or keep."""
-    staged = df.withColumn("_n", _real_length(ids, pad_id)).withColumn(
-        "_key", F.transform(ids, lambda x, i: hash_key(f"{seed}:{epoch}", *keys, i))
-    )
-    hit = lambda i: _below(F.get("_key", i), p) & (i < F.col("_n"))
     other = lambda i: F.pmod(hash_key(f"{seed}:{epoch}:id", *keys, i), F.lit(vocab_size)).cast("int")
-    inputs = F.transform(
-        ids,
-        lambda x, i: F.when(hit(i) & _below(F.get("_key", i), 0.8 * p), F.lit(mask_id))
-        .when(hit(i) & _below(F.get("_key", i), 0.9 * p), other(i)).otherwise(x),
+    drawn = F.transform(_real_ids(ids, pad_id), lambda x, i: hash_key(f"{seed}:{epoch}", *keys, i))
+    # the replacement of a chosen position; NULL = keep the id
+    swaps = F.transform(
+        drawn,
+        lambda u, i: F.struct(
+            _below(u, p).alias("hit"),
+            F.when(_below(u, 0.8 * p), F.lit(mask_id)).when(_below(u, 0.9 * p), other(i)).alias("id"),
+        ),
     )
-    labels = F.transform(ids, lambda x, i: F.when(hit(i), x).otherwise(F.lit(IGNORED_LABEL)))
-    return staged.withColumn("labels", labels).withColumn(ids, inputs).drop("_n", "_key")
+    staged = df.withColumn("_swap", swaps)
+    inputs = F.zip_with(ids, "_swap", lambda x, s: F.coalesce(s["id"], x))
+    labels = F.zip_with(ids, "_swap", lambda x, s: F.when(s["hit"], x).otherwise(F.lit(IGNORED_LABEL)))
+    return staged.withColumn("labels", labels).withColumn(ids, inputs).drop("_swap")
 
 
 def mask_check(df: DataFrame, ids: str = "input_ids", labels: str = "labels", mask_id: int = 2) -> DataFrame:

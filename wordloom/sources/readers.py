@@ -77,10 +77,16 @@ def read_markup_docs(spark: SparkSession, glob: str, keep_blank: bool = False) -
     return split_markup_docs(files, "value", keep_blank=keep_blank)
 
 
+def parse_string_lists(df: DataFrame, text: str = "value") -> DataFrame:
+    """Rows of JSON arrays of strings to one row per string."""
+    others = [c for c in df.columns if c != text]
+    return df.select(*others, F.posexplode(F.from_json(text, "array<string>")).alias("position", "text"))
+
+
 def read_string_lists(spark: SparkSession, glob: str) -> DataFrame:
     """path, position, text from files that are JSON arrays of strings."""
     files = spark.read.text(glob, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    return files.select("path", F.posexplode(F.from_json("value", "array<string>")).alias("position", "text"))
+    return parse_string_lists(files)
 
 
 def parse_record_maps(df: DataFrame, text: str = "value", value_schema: str = RECORD_SCHEMA) -> DataFrame:
@@ -111,7 +117,7 @@ def read_vocab(spark: SparkSession, path: str, word_col: str = "word", schema: s
 
     Words such as ``null`` or ``nan`` stay words.
     """
-    reader = spark.read.option("header", True).option("nullValue", "\u0000")
+    reader = spark.read.option("header", True)
     df = (reader.schema(schema) if schema else reader).csv(path)
     return df.withColumnRenamed(word_col, "word").where(F.col("word").isNotNull()).dropDuplicates(["word"])
 
