@@ -170,13 +170,37 @@ kept AS (SELECT doc_id, start, count(*) AS n_tokens FROM stoks JOIN dict ON t =
          GROUP BY ALL HAVING count(*) FILTER (WHERE vocab.word IS NULL) = 0 AND count(*) > 40)
 SELECT doc_id, start, n_tokens FROM kept""")
 def _(spark, sf):
+    kept = cu.limited_vocab_spans(
+        documents(spark, sf, "doc_id", "text"), vocabulary(spark, sf), ["doc_id"], english_vocab=dictionary(spark, sf)
+    )
+    return as_bigint(kept.select("doc_id", "start", "n_tokens"), "start")
+
+
+@query("restrict_to_english_vocab_spans", f"""
+WITH {VOCAB}, {DICT}, {SPAN_TOKENS},
+kept AS (SELECT doc_id, start, count(*) AS n_tokens FROM stoks JOIN dict ON t = dict.word LEFT JOIN vocab ON t = vocab.word
+         GROUP BY ALL HAVING count(*) FILTER (WHERE vocab.word IS NULL) = 0 AND count(*) > 40)
+SELECT doc_id, start, n_tokens FROM kept""")
+def _(spark, sf):
+    """The same on a table of spans, with the reference list joined."""
     docs = documents(spark, sf, "doc_id", F.lower("text").alias("text"))
     kept = cu.filter_limited_vocab(
-        cu.to_spans(docs), ["doc_id", "start"], vocabulary(spark, sf), english_vocab=dictionary(spark, sf)
+        cu.to_spans(docs), ["doc_id", "start"], vocabulary(spark, sf), english_vocab=dictionary(spark, sf), inline=0
     )
     return as_bigint(kept.select("doc_id", "start", "n_tokens"), "start")
 
 
+@query("english_tokens", f"""
+WITH {DICT}, n AS (SELECT doc_id, count(*) AS n_tokens FROM (SELECT doc_id, unnest({tok('text')}) AS t FROM documents)
+WHERE t IN (SELECT word FROM dict) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens FROM documents LEFT JOIN n USING (doc_id)""")
+def _(spark, sf):
+    rows = cu.restrict_to_english_vocab(
+        documents(spark, sf, "doc_id", "text"), ["doc_id"], tx.word_tokens("text"), dictionary(spark, sf)
+    )
+    return rows.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"))
+
+
 @query("dedup_spans", f"""
 WITH {KEPT} SELECT doc_id, source, start, n_tokens, span FROM kept
 QUALIFY row_number() OVER (PARTITION BY span ORDER BY doc_id, start) = 1""")

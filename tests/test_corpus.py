@@ -37,17 +37,21 @@ def test_limited_vocab_bounds(spark, inline):
     assert {r["doc_id"] for r in number.collect()} == {1, 2, 3}
 
 
-def test_fused_filter_equals_plain_operators(spark):
+@pytest.mark.parametrize("listed", [None, ("cat", "dog", "emu", "well", "number")])
+def test_fused_filter_equals_plain_operators(spark, listed):
     rnd = random.Random(3)
     pool = ["cat", "dog", "the", "x", "a-b", "12", "v1", "http://q.r/1", "", "a\nb", "well,", "emu", "co\u000bdo"]
     weights = [30, 30, 30, 5, 2, 1, 1, 1, 3, 2, 3, 1, 1]
     texts = [" ".join(rnd.choices(pool, weights, k=rnd.randint(0, 400))) for _ in range(60)]
     vocab = words(spark, "cat", "dog", "the", "number", "well", "hlink", "v1", "co", "do")
+    english = words(spark, *listed) if listed else None
     d = docs(spark, *texts)
-    fused = cu.limited_vocab_spans(d, vocab, ["doc_id"])
-    joined = cu.limited_vocab_spans(d, vocab, ["doc_id"], inline=0)
-    want = sorted(map(tuple, joined.select("doc_id", "start", "n_tokens", "span").collect()))
-    assert want and sorted(map(tuple, fused.select("doc_id", "start", "n_tokens", "span").collect())) == want
+    spans = cu.to_spans(d.withColumn("text", F.lower("text")))
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "start", "n_tokens", "span").collect()))
+    want = rows(cu.filter_limited_vocab(spans, ["doc_id", "start"], vocab, english_vocab=english))
+    assert want and rows(cu.limited_vocab_spans(d, vocab, ["doc_id"], english_vocab=english)) == want
+    assert rows(cu.limited_vocab_spans(d, vocab, ["doc_id"], inline=0, english_vocab=english)) == want
+    assert rows(cu.filter_limited_vocab(spans, ["doc_id", "start"], vocab, english_vocab=english, inline=0)) == want
 
 
 def test_english_restriction_drops_tokens(spark):

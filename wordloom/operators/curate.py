@@ -88,12 +88,23 @@ def chunk_by_chars(
 
 
 # --- vocabulary hits ----------------------------------------------------------------
+def _word_marks(vocab: DataFrame, english_vocab: DataFrame | None) -> DataFrame:
+    """_w, _hit of the words that have a say: the vocabulary (all hits), or the
+    reference list with its vocabulary words as hits."""
+    hits = vocab.select(F.col("word").alias("_w")).distinct().withColumn("_hit", F.lit(True))
+    if english_vocab is None:
+        return hits
+    listed = english_vocab.select(F.col("word").alias("_w")).distinct()
+    return listed.join(hits, "_w", "left").select("_w", F.coalesce("_hit", F.lit(False)).alias("_hit"))
+
+
 def vocab_hits(
     df: DataFrame, ids: Sequence[str], tokens: Column, vocab: DataFrame, inline: int = INLINE_WORDS,
-    keep: str = "true",
+    keep: str = "true", english_vocab: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``n_tokens`` and ``n_in_vocab`` per row; keeps the rows for which
     ``keep``, an SQL condition on ``r.n_tokens`` and ``r.n_in_vocab``, holds.
+    With ``english_vocab`` tokens outside that list are ignored.
 
     A vocabulary within the inline bound is tested inside the row: no shuffle.
     There the condition is part of a generator: as a filter on the computed
@@ -101,18 +112,23 @@ def vocab_hits(
     A larger vocabulary is joined to the exploded tokens; ``ids`` must be unique.
     """
     words = bounded_words(vocab, inline)
-    if words is not None:
+    english = bounded_words(english_vocab, inline) if english_vocab is not None else []
+    if words is not None and english is not None:
+        if english_vocab is not None:
+            df = df.withColumn("_toks", tokens)
+            tokens = F.expr(f"filter(_toks, w -> {sql_in('w', english)})")
         counts = (
             "named_struct('n_tokens', cast(size(_toks) as bigint), "
             f"'n_in_vocab', cast(size(filter(_toks, w -> {sql_in('w', words)})) as bigint))"
         )
         rows = F.expr(f"inline(filter(array({counts}), r -> {keep}))")
-        return df.withColumn("_toks", tokens).select(*df.columns, rows)
-    marks = vocab.select(F.col("word").alias("_w")).distinct().withColumn("_hit", F.lit(True))
+        others = [c for c in df.columns if c != "_toks"]
+        return df.withColumn("_toks", tokens).select(*others, rows)
     rows = df.select(*ids, F.explode_outer(tokens).alias("_w"))
-    rows = lookup_join(rows, marks, ["_w"], "left", ids)
+    rows = lookup_join(rows, _word_marks(vocab, english_vocab), ["_w"], "left", ids)
+    counted = F.col("_w").isNotNull() if english_vocab is None else F.col("_hit").isNotNull()
     counts = rows.groupBy(*ids).agg(
-        F.count("_w").alias("n_tokens"), F.count_if(F.col("_hit")).alias("n_in_vocab")
+        F.count_if(counted).alias("n_tokens"), F.count_if(F.col("_hit")).alias("n_in_vocab")
     )
     kept = counts.alias("r").where(keep).select("r.*")
     return df.join(kept, list(ids))
@@ -145,11 +161,8 @@ def filter_limited_vocab(
     Adds ``n_tokens``.
     """
     tokens = tx.word_tokens(tx.preprocess_text(F.lower(text)))
-    if english_vocab is not None:
-        spans = restrict_to_english_vocab(spans, ids, tokens, english_vocab, inline)
-        tokens = F.col("tokens")
     keep = f"r.n_in_vocab = r.n_tokens AND r.n_tokens > {min_tokens}"
-    return vocab_hits(spans, ids, tokens, vocab, inline, keep).drop("n_in_vocab", "tokens")
+    return vocab_hits(spans, ids, tokens, vocab, inline, keep, english_vocab).drop("n_in_vocab")
 
 
 def _prepared_words_sql(text: str) -> str:
@@ -169,47 +182,85 @@ def _prepared_words_sql(text: str) -> str:
 def limited_vocab_spans(
     docs: DataFrame, vocab: DataFrame, ids: Sequence[str], text: str = "text",
     length: int = SPAN_WORDS, stride: int = SPAN_STRIDE, min_tokens: int = MIN_TOKENS,
-    inline: int = INLINE_WORDS,
+    inline: int = INLINE_WORDS, english_vocab: DataFrame | None = None,
 ) -> DataFrame:
     """``to_spans`` then ``filter_limited_vocab``, in one pass per document.
 
     Overlapping windows repeat a word length/stride times.  Token and violation
     counts add up over words, so they are taken once per word, summed over
     blocks of gcd(length, stride) words, and a window adds up its blocks.  Only
-    surviving windows are rebuilt as text.  There is no shuffle at all; a
-    vocabulary over the inline bound uses the two plain operators instead.
+    surviving windows are rebuilt as text.
+
+    With a vocabulary (and reference list) within the inline bound there is no
+    shuffle at all.  Otherwise the words of a document, not of its windows, are
+    joined to the vocabulary and summed by block.
     Adds ``start``, ``n_tokens``, ``span``; drops the text column.
     """
     others = [c for c in docs.columns if c != text]
-    words = bounded_words(vocab, inline)
-    if words is None:
-        spans = to_spans(docs.withColumn(text, F.lower(text)), text, length, stride)
-        kept = filter_limited_vocab(spans, [*ids, "start"], vocab, "span", min_tokens, inline=0)
-        return kept.select(*others, "start", "n_tokens", "span")
     g = gcd(length, stride)
-    found = f"regexp_extract_all(p, r'{tx.TOKEN_PATTERN}', 0)"
-    per_word = (
-        f"transform({_prepared_words_sql('`' + text + '`')}, p -> "
-        f"aggregate({found}, 0L, (a, t) -> a + IF({sql_in('t', words)}, 1L, 1L + {OOV_UNIT}L)))"
-    )
-    # transform over a one-element array binds a value that is used repeatedly
-    blocks = (
-        f"transform(array({per_word}), c -> transform(sequence(0, size(c) - 1, {g}), "
-        f"s -> aggregate(slice(c, s + 1, {g}), 0L, (a, x) -> a + x)))[0]"
-    )
+    words = bounded_words(vocab, inline)
+    english = bounded_words(english_vocab, inline) if english_vocab is not None else []
+    if words is not None and english is not None:
+        source = docs
+        blocks = _inline_blocks_sql(text, words, english if english_vocab is not None else None, g)
+    else:
+        source = docs.join(_joined_blocks(docs, ids, text, vocab, english_vocab, g), list(ids))
+        blocks = "_blocks"
     window = f"aggregate(slice(d.b, cast(s div {g} as int) + 1, {length // g}), 0L, (a, x) -> a + x)"
     hits = (
         f"filter(transform(sequence(0, size(d.w) - 1, {stride}), s -> named_struct('start', s, 'n_tokens', {window})), "
         f"r -> r.n_tokens > {min_tokens} AND r.n_tokens < {OOV_UNIT}L)"
     )
     span = f"array_join(slice(d.w, h.start + 1, {length}), ' ')"
+    # transform over a one-element array binds a value that is used repeatedly
     rows = (
         f"transform(array(named_struct('w', split(lower(`{text}`), ' '), 'b', {blocks})), d -> transform({hits}, "
         f"h -> named_struct('start', h.start, 'n_tokens', h.n_tokens, 'span', {span})))[0]"
     )
     # the generator takes the expression itself: over a named column Spark would
     # infer a filter on it and compute the whole expression a second time
-    return docs.select(*others, F.expr(f"inline({rows})"))
+    return source.select(*others, F.expr(f"inline({rows})"))
+
+
+def _inline_blocks_sql(text: str, words: Sequence[str], english: Sequence[str] | None, g: int) -> str:
+    """SQL for token and violation counts per block of g words."""
+    found = f"regexp_extract_all(p, r'{tx.TOKEN_PATTERN}', 0)"
+    outside = f"1L + {OOV_UNIT}L"
+    if english is not None:
+        listed = set(english)
+        words = [w for w in words if w in listed]
+        outside = f"IF({sql_in('t', english)}, {outside}, 0L)"
+    per_word = (
+        f"transform({_prepared_words_sql('`' + text + '`')}, p -> "
+        f"aggregate({found}, 0L, (a, t) -> a + IF({sql_in('t', words)}, 1L, {outside})))"
+    )
+    return (
+        f"transform(array({per_word}), c -> transform(sequence(0, size(c) - 1, {g}), "
+        f"s -> aggregate(slice(c, s + 1, {g}), 0L, (a, x) -> a + x)))[0]"
+    )
+
+
+def _joined_blocks(
+    docs: DataFrame, ids: Sequence[str], text: str, vocab: DataFrame, english_vocab: DataFrame | None, g: int,
+) -> DataFrame:
+    """The same counts per document as ``_blocks``, by a join on the words.
+
+    Every block has at least one row, so the list of a document has no gaps;
+    its length is that of the document over g.
+    """
+    words = docs.select(*ids, F.posexplode(F.expr(_prepared_words_sql(f"`{text}`"))).alias("_pos", "_p"))
+    tokens = F.regexp_extract_all("_p", F.lit(tx.TOKEN_PATTERN), F.lit(0))
+    block = F.floor(F.col("_pos") / g).cast("int").alias("_block")
+    rows = words.select(*ids, block, F.explode_outer(tokens).alias("_w"))
+    rows = lookup_join(rows, _word_marks(vocab, english_vocab), ["_w"], "left", [*ids, "_block"])
+    missing = F.lit(1 + OOV_UNIT if english_vocab is None else 0)
+    code = (
+        F.when(F.col("_w").isNull(), 0).when(F.col("_hit"), 1)
+        .when(F.col("_hit").isNull(), missing).otherwise(F.lit(1 + OOV_UNIT))
+    )
+    per_block = rows.groupBy(*ids, "_block").agg(F.sum(code.cast("bigint")).alias("_c"))
+    lists = per_block.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("_block", "_c"))).alias("_l"))
+    return lists.select(*ids, F.transform("_l", lambda x: x["_c"]).alias("_blocks"))
 
 
 def dedup_spans(spans: DataFrame, text: str = "span", ids: Sequence[str] = ("doc_id", "start")) -> DataFrame:
