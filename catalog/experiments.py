@@ -71,19 +71,19 @@ def _(spark, sf):
 
 
 @query("param_percentiles", f"""
-WITH {RUNS} SELECT quantile_cont(total_parameters::DOUBLE, 0.25) AS p25, quantile_cont(total_parameters::DOUBLE, 0.5) AS p50,
-quantile_cont(total_parameters::DOUBLE, 0.75) AS p75, quantile_cont(total_parameters::DOUBLE, 1.0) AS p100 FROM runs""")
+WITH {RUNS} SELECT round(quantile_cont(total_parameters::DOUBLE, 0.25), 4) AS p25, round(quantile_cont(total_parameters::DOUBLE, 0.5), 4) AS p50,
+round(quantile_cont(total_parameters::DOUBLE, 0.75), 4) AS p75, round(quantile_cont(total_parameters::DOUBLE, 1.0), 4) AS p100 FROM runs""")
 def _(spark, sf):
-    return ru.param_percentiles(run_table(spark, sf), "total_parameters")
+    return rounded(ru.param_percentiles(run_table(spark, sf), "total_parameters"), "p25", "p50", "p75", "p100", digits=4)
 
 
 @query("bucket_labels", f"""
 WITH {RUNS}, p AS (SELECT unnest([1, 2, 3, 4]) AS band,
 unnest(quantile_cont(total_parameters::DOUBLE, [0.25, 0.5, 0.75, 1.0])) AS upper FROM runs),
 s AS (SELECT band, upper, CAST(round_even(upper / 1000000, 0) AS BIGINT) AS size FROM p)
-SELECT CAST(band AS BIGINT) AS band, upper, coalesce(lag(size) OVER (ORDER BY band), 0) || ' < Num. par. <= ' || size || ' Mil.' AS label FROM s""")
+SELECT CAST(band AS BIGINT) AS band, round(upper, 4) AS upper, coalesce(lag(size) OVER (ORDER BY band), 0) || ' < Num. par. <= ' || size || ' Mil.' AS label FROM s""")
 def _(spark, sf):
-    return ru.bucket_labels(run_table(spark, sf), "total_parameters")
+    return rounded(ru.bucket_labels(run_table(spark, sf), "total_parameters"), "upper", digits=4)
 
 
 @query("runs_with_evals", f"WITH {RUNS}, {LOG} SELECT runs.*, step, loss, round(perplexity, 6) AS perplexity FROM log JOIN runs USING (run_name)")

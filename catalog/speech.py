@@ -32,10 +32,10 @@ def _(spark, sf):
 
 
 @query("concat_by_age", f"""
-WITH {TRANSCRIPTS}, r AS (SELECT *, row_number() OVER (PARTITION BY target_child_age ORDER BY transcript_id, turn) - 1 AS pos FROM ts)
-SELECT target_child_age, pos // 3 AS part_no, string_agg(gloss, '.' ORDER BY pos) AS gloss FROM r GROUP BY 1, 2""")
+WITH {TRANSCRIPTS} SELECT target_child_age, CAST(0 AS BIGINT) AS part_no, string_agg(gloss, '.' ORDER BY transcript_id, turn) AS gloss
+FROM ts GROUP BY 1""")
 def _(spark, sf):
-    return gr.concat_text(transcripts(spark, sf), ["target_child_age"], ["transcript_id", "turn"], ".", rows_per_part=3)
+    return gr.concat_text(transcripts(spark, sf), ["target_child_age"], ["transcript_id", "turn"], ".")
 
 
 @query("cumulative_words", f"""

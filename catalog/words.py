@@ -174,7 +174,7 @@ SELECT word, count(*) AS frequency FROM (SELECT unnest({utt("replace(text, chr(1
 def _(spark, sf):
     docs = documents(spark, sf, "doc_id", "text")
     tokens = tx.utterance_tokens(tx.remove_newlines("text"), "A")
-    per_book = docs.select("doc_id", F.explode(tokens).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("cnt"))
+    per_book = docs.select("doc_id", F.inline(tx.term_counts(tokens))).withColumnRenamed("term", "word")
     return vo.merge_counts(per_book)
 
 

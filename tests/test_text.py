@@ -76,3 +76,9 @@ def test_array_helpers(spark):
 def test_instance_text(spark):
     df = spark.createDataFrame([("a", "x", "b")], "question string, other string, sentence string")
     assert df.select(tx.instance_text(df.columns, ("sentence", "question"))).first()[0] == "a b "
+
+
+def test_term_counts(col):
+    got = col(tx.term_counts(tx.word_tokens("text")), "dog cat dog emu cat dog")
+    assert [(r["term"], r["cnt"]) for r in got] == [("cat", 2), ("dog", 3), ("emu", 1)]
+    assert col(tx.term_counts(tx.word_tokens("text")), "") == []

@@ -55,6 +55,31 @@ def pre_tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(_col(c), F.lit(PRETOKEN_PATTERN), F.lit(0))
 
 
+def term_counts(tokens: Column) -> Column:
+    """Distinct tokens of a row with their counts, as (term, cnt) structs.
+
+    Equal tokens are adjacent after sorting, so a count is the distance between
+    two starts.  Inner arrays are bound through one-element arrays, which keeps
+    them from being computed again for every element.
+    """
+
+    def counted(s: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))
+        )
+
+        def entries(b: Column) -> Column:
+            upto = lambda k: F.coalesce(F.get(b, k + 1), F.size(s))
+            return F.transform(
+                b, lambda i, k: F.struct(F.get(s, i).alias("term"), (upto(k) - i).cast("bigint").alias("cnt"))
+            )
+
+        none = F.array().cast("array<struct<term:string,cnt:bigint>>")
+        return F.when(F.size(s) > 0, F.get(F.transform(F.array(starts), entries), F.lit(0))).otherwise(none)
+
+    return F.get(F.transform(F.array(F.sort_array(tokens)), counted), F.lit(0))
+
+
 def space_words(c: Column | str) -> Column:
     """Split on single spaces; empty strings are kept and count as words."""
     return F.split(_col(c), " ")

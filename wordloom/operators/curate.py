@@ -145,7 +145,7 @@ def restrict_to_english_vocab(
         ).drop("_toks")
     keep = english_vocab.select(F.col("word").alias("_w")).distinct()
     rows = lookup_join(df.select(*ids, F.posexplode(tokens).alias("_pos", "_w")), keep, ["_w"], "left_semi", ids)
-    lists = rows.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("_pos", "_w"))).alias("_l"))
+    lists = rows.groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("_pos", "_w"))).alias("_l"))
     out = df.join(lists, list(ids), "left")
     kept = F.transform("_l", lambda x: x["_w"])
     return out.withColumn("tokens", F.coalesce(kept, F.array().cast("array<string>"))).drop("_l")
@@ -259,7 +259,7 @@ def _joined_blocks(
         .when(F.col("_hit").isNull(), missing).otherwise(F.lit(1 + OOV_UNIT))
     )
     per_block = rows.groupBy(*ids, "_block").agg(F.sum(code.cast("bigint")).alias("_c"))
-    lists = per_block.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("_block", "_c"))).alias("_l"))
+    lists = per_block.groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("_block", "_c"))).alias("_l"))
     return lists.select(*ids, F.transform("_l", lambda x: x["_c"]).alias("_blocks"))
 
 
@@ -332,7 +332,7 @@ def featurize_docs(
             *ids, F.col(text).alias("TEXT"), F.col(source).alias("DATA_SOURCE"),
             F.size("_terms").cast("bigint").alias("SENTENCE_LENGTH"),
             F.expr(f"size(_iov) + {extra or '0'}").cast("bigint").alias("TOTAL_AGE"),
-            F.array_sort(F.array_except("_terms", "_iov")).alias("OOV_WORDS"),
+            F.sort_array(F.array_except("_terms", "_iov")).alias("OOV_WORDS"),
         )
     else:
         marks = vocab.select("word").distinct().join(bins, "word", "left").select(
@@ -343,7 +343,7 @@ def featurize_docs(
         per = rows.groupBy(*ids).agg(
             F.count("word").alias("SENTENCE_LENGTH"),
             F.coalesce(F.sum("_age"), F.lit(0)).cast("bigint").alias("TOTAL_AGE"),
-            F.array_sort(F.collect_list(F.when(oov, F.col("word")))).alias("OOV_WORDS"),
+            F.sort_array(F.collect_list(F.when(oov, F.col("word")))).alias("OOV_WORDS"),
         )
         scored = df.join(per, list(ids)).select(
             *ids, F.col(text).alias("TEXT"), F.col(source).alias("DATA_SOURCE"),

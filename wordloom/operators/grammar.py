@@ -46,7 +46,7 @@ def concat_text(
     placed = running_by_group(df.select(*by, *order, text), by, order, {}, position="_pos")
     rows = placed.withColumn("part_no", F.floor(F.col("_pos") / rows_per_part).cast("bigint"))
     items = rows.groupBy(*by, "part_no").agg(
-        F.array_sort(F.collect_list(F.struct("_pos", F.col(text).alias("_t")))).alias("_i")
+        F.sort_array(F.collect_list(F.struct("_pos", F.col(text).alias("_t")))).alias("_i")
     )
     return items.select(*by, "part_no", F.array_join(F.transform("_i", lambda x: x["_t"]), sep).alias(text))
 

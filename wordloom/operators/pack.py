@@ -132,7 +132,7 @@ def pack_sequences(
     item = F.struct(*order, F.col(text).alias("_text"))
     # a sequence holds fewer than `limit` words or a single text, so groups are small
     seqs = rows.groupBy(*shard, "seq_no").agg(
-        F.array_sort(F.collect_list(item)).alias("_items"), F.sum("n_words").alias("n_words"),
+        F.sort_array(F.collect_list(item)).alias("_items"), F.sum("n_words").alias("n_words"),
         F.min_by("n_words", F.struct(*order)).alias("_first"),
     )
     seqs = seqs.select(

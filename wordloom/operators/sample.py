@@ -54,7 +54,7 @@ def sample_spans_per_doc(
     staged = docs.select(*others, tx.space_words(text).alias("_words"))
     starts = F.sequence(F.lit(0), F.size("_words") - 1, F.lit(stride))
     keyed = F.transform(starts, lambda s: F.struct(hash_key(seed, *ids, s).alias("key"), s.alias("start")))
-    picked = F.slice(F.array_sort(keyed), 1, k)
+    picked = F.slice(F.sort_array(keyed), 1, k)
     rows = staged.select(*others, "_words", F.explode(picked).alias("_s"))
     return rows.select(
         *others, F.col("_s.start").alias("start"),

@@ -58,14 +58,15 @@ def doc_term_counts(
     df: DataFrame, ids: Sequence[str], text: str = "text", binary: bool = False,
     english_vocab: DataFrame | None = None,
 ) -> DataFrame:
-    """Long doc-term rows: one row per id and term."""
+    """Long doc-term rows: one row per document and term.
+
+    Terms are counted inside the document's row, so nothing is shuffled.
+    """
     tokens = tx.word_tokens(text)
     if binary:
         rows = explode_words(df, F.array_distinct(tokens), ids, "term").withColumn("cnt", F.lit(1).cast("bigint"))
     else:
-        rows = explode_words(df, tokens, ids, "term").groupBy(*ids, "term").agg(
-            F.count(F.lit(1)).alias("cnt")
-        )
+        rows = df.select(*ids, F.inline(tx.term_counts(tokens)))
     if english_vocab is not None:
         rows = rows.join(english_vocab.select(F.col("word").alias("term")).distinct(), "term", "left_semi")
         rows = rows.select(*ids, "term", "cnt")

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wordloom.operators.curate import dedup_spans, limited_vocab_spans
 from wordloom.operators.sample import sample_n, sample_spans_per_doc
+from wordloom.session import measured
 
 
 def _run(stream: DataFrame, each, checkpoint: str) -> StreamingQuery:
@@ -28,6 +29,7 @@ def stream_filter(
     stream: DataFrame, vocab: DataFrame, sink: str, checkpoint: str, ids: Sequence[str] = ("doc_id",), dedup: bool = False,
 ) -> StreamingQuery:
     """Limited-vocabulary spans of every new document."""
+    vocab = measured(vocab.select("word"))  # read once, not for every batch
 
     def each(batch: DataFrame, batch_id: int) -> None:
         kept = limited_vocab_spans(batch, vocab, list(ids))
