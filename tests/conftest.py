@@ -12,6 +12,8 @@ from wordloom.session import local_session  # noqa: E402
 def spark():
     session = local_session("tests", 4)
     session.sparkContext.setLogLevel("ERROR")
+    # keep several partitions although the test tables are tiny
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield session
     session.stop()
 

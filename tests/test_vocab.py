@@ -11,6 +11,7 @@ def test_global_position_and_running_sum_with_ties_and_a_hot_value(spark):
     rnd = random.Random(2)
     rows = [(i, 7 if i % 2 else rnd.randint(0, 50), rnd.randint(0, 9)) for i in range(2000)]
     df = spark.createDataFrame(rows, "id bigint, k int, v bigint").repartition(7)
+    assert od.ordered_layout(df, ["k", "id"]).select("_part").distinct().count() > 1
     out = od.global_running_sum(df, ["k", "id"], {"s": F.col("v")}, position="p").orderBy("p").collect()
     want, s = [], 0
     for p, (i, k, v) in enumerate(sorted(rows, key=lambda r: (r[1], r[0]))):
