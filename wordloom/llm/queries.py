@@ -1,6 +1,6 @@
 """All queries of this package; importing a module registers its query."""
 
-from wordloom.llm import bpe, linededup, quality, simhash  # noqa: F401
+from wordloom.llm import bpe, decontam, linededup, quality, secrets, simhash  # noqa: F401
 from wordloom.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
