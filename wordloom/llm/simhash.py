@@ -180,6 +180,21 @@ def near_links(fps: DataFrame, budget: int = BUDGET, bucket: int = BUCKET) -> Da
     return found
 
 
+def _classes(docs: DataFrame, size: int, budget: int) -> DataFrame:
+    prints = written(docs.select("doc_id", row_key(docs).alias("row"), fingerprint(docs["text"], size).alias("fp")), "simhash-fp")
+    fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    classes = components(near_links(fps, budget), "a", "b")
+    rooted = fps.join(classes, fps["fp"] == classes["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = written(rooted, "simhash-root")
+    smallest = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-classes")
+    named = rooted.join(smallest, "root").select("fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "row", "fp", "component_id")
+
+
+def row_key(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["doc_id"], docs["text"])
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """(doc_id, fp, component_id): one row per row of ``docs``.
 
@@ -189,21 +204,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET)
     shingle are one shingle.  Rows of one doc_id are linked through their texts
     only.  A null doc_id takes part but is never a component_id, unless all are null.
     """
-    prints = written(docs.select("doc_id", fingerprint(docs["text"], size).alias("fp")), "simhash-fp")
-    fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    classes = components(near_links(fps, budget), "a", "b")
-    rooted = fps.join(classes, fps["fp"] == classes["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "simhash-root")
-    smallest = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-classes")
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return _classes(docs, size, budget).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """The document with the smallest doc_id of each class, all its columns; a
-    repeated doc_id keeps all its rows."""
-    kept = near_duplicates(docs, size, budget).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    """Of each class the document with the smallest doc_id, all its columns; a
+    repeated row stays repeated, and rows without a doc_id stay only if their class has none."""
+    gone = _classes(docs, size, budget).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (row_key(docs) == F.col("_row"))
+    return docs.join(written(gone.distinct(), "simhash-gone"), same, "left_anti")
 
 
 @query("op7_simhash_dedup")
