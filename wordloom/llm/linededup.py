@@ -134,13 +134,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATC
     """
     spark = docs.sparkSession
     last = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
-    cuts = docs.select(last.cast("double").alias("i")).approxQuantile("i", [k / batches for k in range(1, batches)], 0.01)
-    batch = sum((last > F.lit(int(c))).cast("int") for c in sorted(set(cuts))) if cuts else F.lit(0)
-    lines = docs.select(last.alias("doc_id"), F.lit(0) + batch, F.explode(line_hashes(docs["text"], min_chars))).toDF("doc_id", "batch", "h")
+    shares = [k / batches for k in range(1, batches)]
+    cuts = set(shares and docs.agg(F.percentile_approx(last, shares, 1000)).first()[0] or ())
+    batch = sum(((last > F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    lines = docs.select(last.alias("doc_id"), batch, F.explode(line_hashes(docs["text"], min_chars))).toDF("doc_id", "batch", "h")
     pairs = written(lines, "line-pairs")
     runs = LineRuns(spark, fanout=fanout)
     drops = None
-    for k in range(len(set(cuts)) + 1):
+    for k in range(len(cuts) + 1):
         found = runs.add(pairs.where(F.col("batch") == k).select("doc_id", "h"))
         drops = found if drops is None else drops.unionByName(found)
     lists = drops.groupBy("doc_id").agg(F.collect_set("h").alias("_drop")).withColumnRenamed("doc_id", "_id")
