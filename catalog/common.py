@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wordloom.functions import text as tx
 from wordloom.operators import vocab as vo
-from wordloom.session import measured, spread
+from wordloom.session import measured
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -29,7 +29,7 @@ def query(key: str, sql: str | None = None):
 
 # --- tables ----------------------------------------------------------------------
 def table(spark: SparkSession, sf: str, name: str, *columns: str | Column) -> DataFrame:
-    df = spread(spark.read.parquet(f"{sf}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 

@@ -50,12 +50,13 @@ def _(spark, sf):
 
 
 @query("clean_patterns", r"""
-SELECT doc_id, regexp_replace(text, '[^\p{L}\p{N}_\s]', '', 'g') AS bare,
-       regexp_replace(text, '\s+', ' ', 'g') AS spaced, replace(text, '@-@', '-') AS joined FROM documents""")
+SELECT doc_id, regexp_replace(text, '[^\p{L}\p{N}\s]+', '', 'g') AS bare,
+       regexp_replace(text, '[^\S\r\n]{2,}', ' ', 'g') AS spaced, replace(text, '@-@', '-') AS joined, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS n_words FROM documents""")
 def _(spark, sf):
     return documents(
         spark, sf, "doc_id", tx.strip_non_alphanumeric("text").alias("bare"),
         tx.collapse_spaces("text").alias("spaced"), tx.join_hyphen_marks("text").alias("joined"),
+        F.size(tx.plain_words("text")).cast("bigint").alias("n_words"),
     )
 
 

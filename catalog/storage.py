@@ -222,4 +222,4 @@ def _(spark, sf):
         "word", F.array(F.substring("word", 1, 3), F.expr("substring(word, 4)")).alias("parts")
     )
     tasks = documents(spark, sf, F.col("lang").alias("task"), "text")
-    return tokenizer_experiment(docs, docs, parts, ["BPE", "WordPiece"], [30_000], tasks, merges_per_round=8, max_merges=16)
+    return tokenizer_experiment(docs, docs, parts, ["BPE"], [230, 240], tasks)

@@ -38,33 +38,76 @@ def _(spark, sf):
     return rounded(tk.pair_scores(words), "score", digits=12)
 
 
-@query("special_tokens", f"""
-WITH {PIECES}, top AS (SELECT piece AS token, row_number() OVER (ORDER BY frequency DESC, piece) + 105 AS id FROM pieces ORDER BY id LIMIT 1000)
-SELECT token, id FROM top UNION ALL
-SELECT unnest(['<s>', '</s>', '<mask>', '<pad>', '<unk>', '<cls>']), unnest(range(0, 6)) UNION ALL
-SELECT '<extra_id_' || i || '>', i + 6 FROM range(0, 100) t(i)""")
-def _(spark, sf):
-    """Reserved tokens first, then the thousand commonest pieces."""
-    pieces = tk.pretokenize(documents(spark, sf, "text")).withColumnRenamed("piece", "word")
-    special = tk.special_tokens(spark)
-    top = vo.word_rank(vo.top_vocabulary(pieces, 1000))
-    return special.unionByName(top.select(F.col("word").alias("token"), (F.col("word_rank") + 106).alias("id")))
-
-
-def _train(spark, sf, family, merges=16, per_round=8):
-    return tk.train_tokenizer(
-        documents(spark, sf, "text"), "text", family, vocab_size=30_000, merges_per_round=per_round, max_merges=merges
-    )
+# Vocabulary sizes of the training queries, filled in full: 106 reserved tokens, the
+# alphabet, and merges.
+SIZES = {"BPE": 230, "WordPiece": 318, "SentencePiece": 230, "ByteLevelBPE": 386, "bert-base-uncased": 245}
+_STEPS = 40  # merges written out in the oracle; the sizes leave room for fewer
+_CHARS = "string_split(piece, '')"
+_MARKED = f"list_transform({_CHARS}, lambda x, i: CASE WHEN i = 1 THEN x ELSE '##' || x END)"
+# \s+(?!\S) has no RE2 form: a mark is put before the last blank of a run that a word follows
+_HELD = r"regexp_replace(text, '(\s+)(\s\S)', '\1' || chr(4) || '\2', 'g')"
+_BYTES = (
+    f"regexp_extract_all({_HELD}, "
+    + r"'''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x04]+|\s+')"
+)
+_BLANK_SPLIT = r"list_transform(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''), lambda w: '▁' || w)"
+_LOWER_PRE = _PRE.replace("(text,", "(lower(text),")
+# family: pieces of a text, symbols of a piece, size of a fixed alphabet
+_FORMS = {
+    "BPE": (_PRE, _CHARS, None), "WordPiece": (_PRE, _MARKED, None), "SentencePiece": (_BLANK_SPLIT, _CHARS, None),
+    "ByteLevelBPE": (_BYTES, "regexp_extract_all(hex(piece), '..')", 256), "bert-base-uncased": (_LOWER_PRE, _MARKED, None),
+}
+
+
+def _training_sql(family: str, likelihood: bool = False) -> str:
+    """Greedy training as one CTE per merge: the best pair of the pieces, then the pieces with it merged."""
+    cut, symbols, fixed = _FORMS[family]
+    alphabet = f"SELECT {fixed} AS n" if fixed else "SELECT count(DISTINCT x) AS n FROM (SELECT unnest(c) AS x FROM s0)"
+    out = f"""WITH pieces AS (SELECT piece, count(*) AS f FROM (SELECT unnest({cut}) AS piece FROM documents) GROUP BY piece),
+s0 AS MATERIALIZED (SELECT {symbols} AS c, f FROM pieces),
+room AS MATERIALIZED (SELECT {SIZES[family]} - 106 - n AS n FROM ({alphabet})),
+w0 AS MATERIALIZED (SELECT array_to_string(list_transform(c, lambda x: chr(2) || x || chr(3)), '') AS t, f FROM s0)"""
+    merged = "l || CASE WHEN starts_with(r, '##') THEN substr(r, 3) ELSE r END" if symbols == _MARKED else "l || r"
+    for k in range(_STEPS):
+        lists = f"(SELECT string_split(substr(t, 2, length(t) - 2), chr(3) || chr(2)) AS c, f FROM w{k})"
+        order, single, joined = "n DESC, l, r", "", ""
+        if likelihood:
+            single = f", o{k} AS (SELECT x, sum(f) AS m FROM (SELECT unnest(c) AS x, f FROM {lists}) GROUP BY x)"
+            joined = f"JOIN o{k} a ON a.x = l JOIN o{k} b ON b.x = r"
+            order = "n::DOUBLE / (a.m::DOUBLE * b.m::DOUBLE) DESC, l, r"
+        out += f"""{single}, b{k} AS MATERIALIZED (SELECT l, r, {merged} AS m FROM (SELECT l, r, sum(f) AS n FROM
+  (SELECT unnest(c[1 : len(c) - 1]) AS l, unnest(c[2 :]) AS r, f FROM {lists} WHERE len(c) > 1) GROUP BY l, r) {joined}
+  WHERE {k} < (SELECT n FROM room) ORDER BY {order} LIMIT 1),
+w{k + 1} AS MATERIALIZED (SELECT coalesce(replace(t, chr(2) || l || chr(3) || chr(2) || r || chr(3), chr(2) || m || chr(3)), t) AS t, f
+  FROM w{k} LEFT JOIN b{k} ON true)"""
+    rows = " UNION ALL ".join(f"SELECT {k} AS rank, l, r, m FROM b{k}" for k in range(_STEPS))
+    return out + f', merges AS (SELECT CAST(rank AS BIGINT) AS rank, l AS "left", r AS "right", m AS merged FROM ({rows})) '
+
+
+def _train(spark, sf, family, score=None):
+    return tk.train_tokenizer(documents(spark, sf, "text"), "text", family, vocab_size=SIZES[family], score=score)
+
+
+for _key, _family, _score in (
+    ("train_bpe", "BPE", None), ("train_wordpiece", "WordPiece", None), ("train_wordpiece_likelihood", "WordPiece", "likelihood"),
+    ("train_sentencepiece_bpe", "SentencePiece", None), ("train_byte_bpe", "ByteLevelBPE", None), ("retrain_like", "bert-base-uncased", None),
+):
 
+    @query(_key, _training_sql(_family, _score == "likelihood") + "SELECT * FROM merges")
+    def _(spark, sf, family=_family, score=_score):
+        return _train(spark, sf, family, score).merges
 
-for _key, _family in (
-    ("train_bpe", "BPE"), ("train_wordpiece", "WordPiece"), ("train_sentencepiece_bpe", "SentencePiece"),
-    ("train_byte_bpe", "ByteLevelBPE"), ("retrain_like", "bert-base-uncased"),
-):
 
-    @query(_key)
-    def _(spark, sf, family=_family):
-        return _train(spark, sf, family).merges
+@query("special_tokens", _training_sql("BPE") + """
+SELECT token, min(id) AS id FROM (
+  SELECT unnest(['<s>', '</s>', '<mask>', '<pad>', '<unk>', '<cls>']) AS token, unnest(range(0, 6)) AS id UNION ALL
+  SELECT '<extra_id_' || i || '>', i + 6 FROM range(0, 100) t(i) UNION ALL
+  SELECT x, row_number() OVER (ORDER BY x) + 105 FROM (SELECT DISTINCT unnest(c) AS x FROM s0) UNION ALL
+  SELECT merged, 106 + (SELECT count(DISTINCT x) FROM (SELECT unnest(c) AS x FROM s0)) + row_number() OVER (ORDER BY rank) - 1
+  FROM (SELECT merged, min(rank) AS rank FROM merges GROUP BY merged)) GROUP BY token""")
+def _(spark, sf):
+    """A trained vocabulary: reserved tokens first, then the alphabet, then the merges."""
+    return _train(spark, sf, "BPE").vocab.select("token", "id")
 
 
 @query("encode_text")

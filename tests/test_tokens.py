@@ -41,12 +41,20 @@ def greedy(words: Counter, start, n, likelihood):
             break
         score = lambda p: pairs[p] / (float(single[p[0]]) * single[p[1]]) if likelihood else pairs[p]
         best = min(pairs, key=lambda p: (-score(p), p))
-        joined = best[0] + (best[1].removeprefix("##") if likelihood else best[1])
+        joined = best[0] + (best[1].removeprefix("##"))
         merges.append(best)
         table = {w: merge(s, best, joined) for w, s in table.items()}
     return merges, table
 
 
+def train(df, family, merges, **more):
+    """A vocabulary with room for exactly so many merges."""
+    own = tk.family_of(family)
+    words = tk.pretokenize(df, "text", own)
+    alphabet = 256 if own == "bytes" else words.select(F.explode(tk.symbol_array(tk.start_symbols("piece", own)))).distinct().count()
+    return tk.train_tokenizer(df, "text", family, 106 + alphabet + merges, **more)
+
+
 def pieces(texts):
     import re
 
@@ -54,16 +62,17 @@ def pieces(texts):
 
 
 def test_bpe_matches_greedy(spark):
-    model = tk.train_tokenizer(corpus(spark), "text", "BPE", 10_000, max_merges=12, cut_every=5)
-    merges, table = greedy(pieces(TEXTS), list, 12, False)
+    model = train(corpus(spark), "BPE", 9, cut_every=4)
+    merges, table = greedy(pieces(TEXTS), list, 9, False)
     assert [(r["left"], r["right"]) for r in model.merges.orderBy("rank").collect()] == merges
     assert {r["piece"]: r["tokens"] for r in model.words.collect()} == table
 
 
-def test_wordpiece_matches_greedy(spark):
-    model = tk.train_tokenizer(corpus(spark), "text", "WordPiece", 10_000, max_merges=8)
+@pytest.mark.parametrize("score", [None, "likelihood"])
+def test_wordpiece_matches_greedy(spark, score):
+    model = train(corpus(spark), "WordPiece", 6, score=score)
     start = lambda w: [w[0]] + ["##" + c for c in w[1:]]
-    merges, table = greedy(pieces(TEXTS), start, 8, True)
+    merges, table = greedy(pieces(TEXTS), start, 6, score is not None)
     assert [(r["left"], r["right"]) for r in model.merges.orderBy("rank").collect()] == merges
     assert {r["piece"]: r["tokens"] for r in model.words.collect()} == table
 
@@ -80,7 +89,7 @@ def test_vocabulary_ids_and_size(spark):
 @pytest.mark.parametrize("family", ["BPE", "SentencePiece", "ByteLevelBPE", "WordPiece"])
 def test_encoding_agrees_with_training(spark, family):
     texts = TEXTS + ["naïve café wide 12"]
-    model = tk.train_tokenizer(corpus(spark, texts), "text", family, 10_000, max_merges=20)
+    model = train(corpus(spark, texts), family, 6)
     if family == "WordPiece":  # longest match first need not follow the merges
         words = tk.encode_words(spark.createDataFrame([("zzz",), ("low",)], "word string"), model)
         got = {r["word"]: r["tokens"] for r in words.collect()}
@@ -93,19 +102,39 @@ def test_encoding_agrees_with_training(spark, family):
 
 def test_special_characters_survive_merging(spark):
     texts = ["$1 $1 $1 a\\b a\\b (x) (x) [.] [.] ^^ ||"] * 2
-    model = tk.train_tokenizer(corpus(spark, texts), "text", "BPE", 10_000, max_merges=30)
+    model = train(corpus(spark, texts), "BPE", 8)
     assert all("".join(r["tokens"]) == r["piece"] for r in model.words.collect())
 
 
-def test_many_merges_per_round_share_no_symbol(spark):
-    model = tk.train_tokenizer(corpus(spark), "text", "BPE", 10_000, merges_per_round=4, max_merges=12)
-    assert model.merges.count() == 12
-    assert all("".join(r["tokens"]) == r["piece"] for r in model.words.collect())
+def test_rounds_of_several_merges_keep_the_order(spark):
+    """Pairs far apart in count and without common symbols are merged in one round."""
+    text = "ab " * 90 + "cd " * 70 + "ef " * 50 + "abcd " * 3 + "aab bab " * 5 + "gggg " * 20
+    model = train(corpus(spark, [text]), "BPE", 7)
+    merges, table = greedy(pieces([text]), list, 7, False)
+    assert [(r["left"], r["right"]) for r in model.merges.orderBy("rank").collect()] == merges
+    assert {r["piece"]: r["tokens"] for r in model.words.collect()} == table
+
+
+def test_byte_family_knows_every_byte(spark):
+    model = train(corpus(spark, ["low lower lowest"]), "ByteLevelBPE", 2)
+    tokens = tk.encode_words(spark.createDataFrame([("zebra",)], "word string"), model).first()["tokens"]
+    assert "<unk>" not in tokens and bytes.fromhex("".join(tokens)) == b"zebra"
+
+
+def test_a_long_piece_is_encoded_quickly(spark):
+    import time
+
+    model = train(corpus(spark), "BPE", 4)
+    ranks, ids = tk._tables(model)
+    for family in ("bpe", "wordpiece"):
+        start = time.time()
+        tk._splitter(family, ranks, set(ids) | {"l", "##o", "##w", "##l"})("low" * 34_000)
+        assert time.time() - start < 2
 
 
 def test_encode_text_and_pair(spark):
     df = corpus(spark)
-    model = tk.train_tokenizer(df, "text", "BPE", 10_000, max_merges=5)
+    model = train(df, "BPE", 5)
     out = tk.encode_text(df, model, max_len=8).collect()
     for r in out:
         ids, mask = r["input_ids"], r["attention_mask"]
@@ -120,7 +149,7 @@ def test_encode_text_and_pair(spark):
 
 def test_pair_truncation_takes_from_the_longer(spark):
     df = spark.createDataFrame([("a b c d e f", "x y"), ("a b", "u v w x y z"), ("a b c d e", "u v w x y")], "p string, q string")
-    model = tk.train_tokenizer(df.select(F.concat_ws(" ", "p", "q").alias("text")), "text", "BPE", 10_000, max_merges=0)
+    model = train(df.select(F.concat_ws(" ", "p", "q").alias("text")), "BPE", 0)
     ids = {r["token"]: r["id"] for r in model.vocab.collect()}
     want = [("abcde", "xy"), ("ab", "uvwxy"), ("abc", "uvwx")]
     for r, (a, b) in zip(tk.encode_pair(df, model, "p", "q", max_len=10).collect(), want):
@@ -174,7 +203,7 @@ def test_experiment_rows(spark):
     tasks = df.select(F.lit("cola").alias("task"), "text")
     saved = []
     out = tokenizer_experiment(
-        df, df, parts, ["BPE", "WordPiece"], [130], tasks, save=lambda n, m, r: saved.append(n), max_merges=4
+        df, df, parts, ["BPE", "WordPiece"], [128], tasks, save=lambda n, m, r: saved.append(n)
     ).collect()
-    assert [(r["tokenizer"], r["vocab_size"]) for r in out] == [("BPE", "130"), ("WordPiece", "130")]
-    assert saved == ["BPE_130", "WordPiece_130"] and all(r["cola"] == 0.0 for r in out)
+    assert [(r["tokenizer"], r["vocab_size"]) for r in out] == [("BPE", "128"), ("WordPiece", "128")]
+    assert saved == ["BPE_128", "WordPiece_128"] and all(r["cola"] == 0.0 for r in out)

@@ -23,8 +23,8 @@ UTTERANCE_STRIP = {
     "C": "[!,@#$?;.'\"]",
 }
 WORD_SUFFIXES = ("ion", "ing", "est", "er", "ed", "s")
-NON_ALNUM = r"[^\p{L}\p{N}_\s]"
-MULTI_SPACE = r"\s+"
+NON_ALNUM = r"[^\p{L}\p{N}\s]+"  # underscores go too
+MULTI_SPACE = r"[^\S\r\n]{2,}"  # blanks within a line
 HYPHEN_MARK = r"@-@"
 # -------------------------------------------------------------------------------
 
@@ -150,6 +150,11 @@ def collapse_spaces(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), MULTI_SPACE, " ")
 
 
+def plain_words(c: Column | str) -> Column:
+    """Runs of letters, digits and underscores."""
+    return F.regexp_extract_all(_col(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
 def join_hyphen_marks(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), HYPHEN_MARK, "-")
 

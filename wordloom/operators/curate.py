@@ -15,6 +15,7 @@ SPAN_WORDS = 110
 SPAN_STRIDE = 30
 MIN_TOKENS = 40
 OOV_UNIT = 2**40  # one out-of-vocabulary token, in the packed per-word counts
+FULL = 2**60  # where packed counts stop: far beyond one violation, far below an overflow
 
 
 # --- row generators ---------------------------------------------------------------
@@ -109,8 +110,10 @@ def vocab_hits(
     A vocabulary within the inline bound is tested inside the row: no shuffle.
     There the condition is part of a generator: as a filter on the computed
     columns it would be pushed below them and compute the tokens again.
-    A larger vocabulary is joined to the exploded tokens; ``ids`` must be unique.
+    A larger vocabulary is joined to the exploded tokens, by ids and a hash of the
+    tokens, so repeated ids change nothing.  A NULL text has no tokens.
     """
+    tokens = F.coalesce(tokens, F.array().cast("array<string>"))
     words = bounded_words(vocab, inline)
     english = bounded_words(english_vocab, inline) if english_vocab is not None else []
     if words is not None and english is not None:
@@ -124,31 +127,39 @@ def vocab_hits(
         rows = F.expr(f"inline(filter(array({counts}), r -> {keep}))")
         others = [c for c in df.columns if c != "_toks"]
         return df.withColumn("_toks", tokens).select(*others, rows)
-    rows = df.select(*ids, F.explode_outer(tokens).alias("_w"))
-    rows = lookup_join(rows, _word_marks(vocab, english_vocab), ["_w"], "left", ids)
+    keys = [*ids, "_row"]
+    staged = df.withColumn("_row", F.xxhash64(tokens))
+    rows = staged.select(*keys, F.posexplode_outer(tokens).alias("_pos", "_w"))
+    rows = lookup_join(rows, _word_marks(vocab, english_vocab), ["_w"], "left", keys)
     counted = F.col("_w").isNotNull() if english_vocab is None else F.col("_hit").isNotNull()
-    counts = rows.groupBy(*ids).agg(
-        F.count_if(counted).alias("n_tokens"), F.count_if(F.col("_hit")).alias("n_in_vocab")
-    )
+    counts = rows.groupBy(*keys).agg(_per_copy(F.count_if(counted)).alias("n_tokens"), _per_copy(F.count_if(F.col("_hit"))).alias("n_in_vocab"))
     kept = counts.alias("r").where(keep).select("r.*")
-    return df.join(kept, list(ids))
+    return staged.join(kept, keys).drop("_row")
+
+
+def _per_copy(total: Column) -> Column:
+    """A total over rows exploded with ``_pos``, for one of the equal source rows."""
+    return (total / F.count_if(F.coalesce(F.col("_pos"), F.lit(0)) == 0)).cast("bigint")
 
 
 def restrict_to_english_vocab(
     df: DataFrame, ids: Sequence[str], tokens: Column, english_vocab: DataFrame, inline: int = INLINE_WORDS,
 ) -> DataFrame:
     """Adds ``tokens``: only those listed in a reference word list, order kept."""
+    tokens = F.coalesce(tokens, F.array().cast("array<string>"))
     words = bounded_words(english_vocab, inline)
     if words is not None:
         return df.withColumn("_toks", tokens).withColumn(
             "tokens", F.expr(f"filter(_toks, w -> {sql_in('w', words)})")
         ).drop("_toks")
     keep = english_vocab.select(F.col("word").alias("_w")).distinct()
-    rows = lookup_join(df.select(*ids, F.posexplode(tokens).alias("_pos", "_w")), keep, ["_w"], "left_semi", ids)
-    lists = rows.groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("_pos", "_w"))).alias("_l"))
-    out = df.join(lists, list(ids), "left")
+    keys = [*ids, "_row"]  # equal rows have equal tokens: a set of places counts each once
+    staged = df.withColumn("_row", F.xxhash64(tokens))
+    rows = lookup_join(staged.select(*keys, F.posexplode(tokens).alias("_pos", "_w")), keep, ["_w"], "left_semi", keys)
+    lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("_pos", "_w"))).alias("_l"))
+    out = staged.join(lists, keys, "left")
     kept = F.transform("_l", lambda x: x["_w"])
-    return out.withColumn("tokens", F.coalesce(kept, F.array().cast("array<string>"))).drop("_l")
+    return out.withColumn("tokens", F.coalesce(kept, F.array().cast("array<string>"))).drop("_l", "_row")
 
 
 def filter_limited_vocab(
@@ -204,9 +215,11 @@ def limited_vocab_spans(
         source = docs
         blocks = _inline_blocks_sql(text, words, english if english_vocab is not None else None, g)
     else:
-        source = docs.join(_joined_blocks(docs, ids, text, vocab, english_vocab, g), list(ids))
+        keys = [*ids, "_row"]  # repeated ids are told apart by their text
+        staged = docs.withColumn("_row", F.xxhash64(text))
+        source = staged.join(_joined_blocks(staged, keys, text, vocab, english_vocab, g), keys)
         blocks = "_blocks"
-    window = f"aggregate(slice(d.b, cast(s div {g} as int) + 1, {length // g}), 0L, (a, x) -> a + x)"
+    window = f"aggregate(slice(d.b, cast(s div {g} as int) + 1, {length // g}), 0L, (a, x) -> least(a + x, {FULL}L))"
     hits = (
         f"filter(transform(sequence(0, size(d.w) - 1, {stride}), s -> named_struct('start', s, 'n_tokens', {window})), "
         f"r -> r.n_tokens > {min_tokens} AND r.n_tokens < {OOV_UNIT}L)"
@@ -232,11 +245,11 @@ def _inline_blocks_sql(text: str, words: Sequence[str], english: Sequence[str] |
         outside = f"IF({sql_in('t', english)}, {outside}, 0L)"
     per_word = (
         f"transform({_prepared_words_sql('`' + text + '`')}, p -> "
-        f"aggregate({found}, 0L, (a, t) -> a + IF({sql_in('t', words)}, 1L, {outside})))"
+        f"aggregate({found}, 0L, (a, t) -> least(a + IF({sql_in('t', words)}, 1L, {outside}), {FULL}L)))"
     )
     return (
         f"transform(array({per_word}), c -> transform(sequence(0, size(c) - 1, {g}), "
-        f"s -> aggregate(slice(c, s + 1, {g}), 0L, (a, x) -> a + x)))[0]"
+        f"s -> aggregate(slice(c, s + 1, {g}), 0L, (a, x) -> least(a + x, {FULL}L))))[0]"
     )
 
 
@@ -251,14 +264,16 @@ def _joined_blocks(
     words = docs.select(*ids, F.posexplode(F.expr(_prepared_words_sql(f"`{text}`"))).alias("_pos", "_p"))
     tokens = F.regexp_extract_all("_p", F.lit(tx.TOKEN_PATTERN), F.lit(0))
     block = F.floor(F.col("_pos") / g).cast("int").alias("_block")
-    rows = words.select(*ids, block, F.explode_outer(tokens).alias("_w"))
+    rows = words.select(*ids, block, "_pos", F.posexplode_outer(tokens).alias("_t", "_w"))
     rows = lookup_join(rows, _word_marks(vocab, english_vocab), ["_w"], "left", [*ids, "_block"])
+    copies = F.count_if((F.col("_pos") == F.col("_block") * g) & (F.coalesce("_t", F.lit(0)) == 0))  # equal rows
     missing = F.lit(1 + OOV_UNIT if english_vocab is None else 0)
     code = (
         F.when(F.col("_w").isNull(), 0).when(F.col("_hit"), 1)
         .when(F.col("_hit").isNull(), missing).otherwise(F.lit(1 + OOV_UNIT))
     )
-    per_block = rows.groupBy(*ids, "_block").agg(F.sum(code.cast("bigint")).alias("_c"))
+    total = F.when(F.max(code) > OOV_UNIT, F.lit(OOV_UNIT)).otherwise((F.sum(F.least(code, F.lit(1)).cast("bigint")) / copies).cast("bigint"))
+    per_block = rows.groupBy(*ids, "_block").agg(total.alias("_c"))
     lists = per_block.groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("_block", "_c"))).alias("_l"))
     return lists.select(*ids, F.transform("_l", lambda x: x["_c"]).alias("_blocks"))
 
@@ -309,7 +324,7 @@ def featurize_docs(
     1; a term with several takes the earliest.  The mean divides by all terms,
     OOV ones included, and is NULL for a text without terms.
     """
-    terms = F.array_distinct(tx.word_tokens(text))
+    terms = F.coalesce(F.array_distinct(tx.word_tokens(text)), F.array().cast("array<string>"))
     words = bounded_words(vocab, inline)
     bins = earliest_bin(ages)
     binned = None
@@ -338,14 +353,16 @@ def featurize_docs(
         marks = vocab.select("word").distinct().join(bins, "word", "left").select(
             "word", F.lit(True).alias("_hit"), F.coalesce("bin", F.lit(1)).alias("_age")
         )
-        rows = lookup_join(df.select(*ids, F.explode_outer(terms).alias("word")), marks, ["word"], "left", ids)
+        keys = [*ids, "_row"]
+        staged = df.withColumn("_row", F.xxhash64(terms))
+        rows = lookup_join(staged.select(*keys, F.posexplode_outer(terms).alias("_pos", "word")), marks, ["word"], "left", keys)
         oov = F.col("_hit").isNull() & F.col("word").isNotNull()
-        per = rows.groupBy(*ids).agg(
-            F.count("word").alias("SENTENCE_LENGTH"),
-            F.coalesce(F.sum("_age"), F.lit(0)).cast("bigint").alias("TOTAL_AGE"),
-            F.sort_array(F.collect_list(F.when(oov, F.col("word")))).alias("OOV_WORDS"),
+        per = rows.groupBy(*keys).agg(
+            _per_copy(F.count("word")).alias("SENTENCE_LENGTH"),
+            _per_copy(F.coalesce(F.sum("_age"), F.lit(0))).alias("TOTAL_AGE"),
+            F.sort_array(F.collect_set(F.when(oov, F.col("word")))).alias("OOV_WORDS"),
         )
-        scored = df.join(per, list(ids)).select(
+        scored = staged.join(per, keys).select(
             *ids, F.col(text).alias("TEXT"), F.col(source).alias("DATA_SOURCE"),
             "SENTENCE_LENGTH", "TOTAL_AGE", "OOV_WORDS",
         )

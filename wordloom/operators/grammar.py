@@ -35,20 +35,24 @@ def count_by(df: DataFrame, column: str, name: str = "n") -> DataFrame:
 
 
 def concat_text(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], sep: str = " ", text: str = "gloss", rows_per_part: int = 10_000,
+    df: DataFrame, by: Sequence[str], order: Sequence[str], sep: str = " ", text: str = "gloss", rows_per_part: int | None = None,
 ) -> DataFrame:
-    """Ordered concatenation per group, in parts of ``rows_per_part`` rows.
+    """Ordered concatenation per group: one row (part_no 0).
 
-    A group of ordinary size is one part (part_no 0).  A very large group is
-    cut into numbered parts, so no task or cell has to hold all of it; joining
-    the parts with ``sep`` gives the whole.
+    A group is put together from blocks of rows, so that no task gathers all rows
+    of a very large one.  ``rows_per_part`` cuts groups into numbered parts of so
+    many rows instead; joining the parts with ``sep`` gives the whole.
     """
     placed = running_by_group(df.select(*by, *order, text), by, order, {}, position="_pos")
-    rows = placed.withColumn("part_no", F.floor(F.col("_pos") / rows_per_part).cast("bigint"))
-    items = rows.groupBy(*by, "part_no").agg(
+    block = F.floor(F.col("_pos") / (rows_per_part or 10_000)).cast("bigint")
+    items = placed.withColumn("part_no", block).groupBy(*by, "part_no").agg(
         F.sort_array(F.collect_list(F.struct("_pos", F.col(text).alias("_t")))).alias("_i")
     )
-    return items.select(*by, "part_no", F.array_join(F.transform("_i", lambda x: x["_t"]), sep).alias(text))
+    parts = items.select(*by, "part_no", F.array_join(F.transform("_i", lambda x: x["_t"]), sep).alias(text))
+    if rows_per_part:
+        return parts
+    whole = parts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("part_no", text))).alias("_i"))
+    return whole.select(*by, F.lit(0).cast("bigint").alias("part_no"), F.array_join(F.transform("_i", lambda x: x[text]), sep).alias(text))
 
 
 def cumulative_words(df: DataFrame, age: str = "target_child_age", text: str = "gloss") -> DataFrame:

@@ -92,7 +92,8 @@ def pack_assign(
     """Adds ``n_words`` and ``seq_no`` (0-based within the shard)."""
     limit = flush_limit(max_len, ratio)
     named = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in shard]) if shard else F.lit("")
-    staged = df.withColumn("_shard", named).withColumn("n_words", tx.count_words(text))
+    # a NULL text is absent: it joins no sequence
+    staged = df.where(F.col(text).isNotNull()).withColumn("_shard", named).withColumn("n_words", tx.count_words(text))
     laid = ordered_layout(staged, ["_shard", *order])
     starts = _chain(_summaries(laid, limit).collect())  # one row per partition
     schema = laid.withColumn("seq_no", F.lit(0).cast("bigint")).schema
@@ -126,6 +127,7 @@ def pack_sequences(
     By default every text ends up in a sequence.  ``emit_last=False`` drops the
     unfinished last sequence of a shard; ``skip_empty=False`` adds the empty
     sequence that precedes a shard whose first text is too long on its own.
+    NULL texts are absent.  ``max_sequences`` bounds the whole output, shards in order.
     """
     limit = flush_limit(max_len, ratio)
     rows = pack_assign(df, shard, order, text, max_len, ratio)
@@ -166,5 +168,5 @@ def pack_sequences(
         else:
             seqs = seqs.where(lone)
     if max_sequences is not None:
-        seqs = seqs.where(F.col("seq_no") < max_sequences)
+        seqs = seqs.orderBy(*shard, "seq_no").limit(max_sequences)
     return seqs.select(*shard, "seq_no", "text", "n_words")

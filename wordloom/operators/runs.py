@@ -54,13 +54,17 @@ def run_config_lookup(runs: DataFrame, wanted: DataFrame, run: str = "run_name")
     return lookup_join(wanted, runs, [run])
 
 
-def upsert_run_map(existing: DataFrame, new: DataFrame, run: str = "run_name") -> DataFrame:
+def upsert_run_map(existing: DataFrame, new: DataFrame, run: str = "run_name", order: Sequence[str] = ()) -> DataFrame:
     """Configuration per run; an entry in ``new`` replaces the existing one.
 
-    ``new`` has one row per run.  Write the result to a new location: its input is read lazily.
+    Of several new rows for a run the last one wins: the largest by ``order``
+    (columns of ``new`` that are not kept), then by the values themselves.
+    Write the result to a new location: its input is read lazily.
     """
-    kept = existing.join(new.select(run), run, "left_anti")
-    return kept.unionByName(new)
+    values = [c for c in existing.columns if c != run]
+    last = new.groupBy(run).agg(F.max(F.struct(*order, *values)).alias("_last"))
+    latest = last.select(run, *[F.col(f"_last.{c}").alias(c) for c in values])
+    return existing.join(latest.select(run), run, "left_anti").unionByName(latest)
 
 
 def filter_tokenizer_type(df: DataFrame, names: Sequence[str], column: str = "tokenizer") -> DataFrame:

@@ -8,6 +8,7 @@ batch once.  Masking is an array expression keyed by hashes.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -133,62 +134,144 @@ def _merge_symbols(c: Column, left: str, right: str, merged: str) -> Column:
     return F.regexp_replace(c, pattern, merged.replace("\\", "\\\\").replace("$", "\\$"))
 
 
-def _choose(rows, k: int):
-    """The best pairs of a round that share no symbol (so order is immaterial)."""
-    used, out = set(), []
-    for r in rows:
-        if len(out) < k and not {r["left"], r["right"]} & used:
-            used |= {r["left"], r["right"]}
-            out.append((r["left"], r["right"]))
-    return out
+class _PairTable:
+    """Counts of adjacent symbols and a heap of the best pairs.
+
+    One entry per pair of vocabulary entries that meets in some piece: its size
+    is bounded by the vocabulary, not by the corpus.
+    """
+
+    def __init__(self, likelihood: bool, min_frequency: int):
+        self.likelihood, self.least = likelihood, min_frequency
+        self.pairs: dict[tuple[str, str], int] = {}
+        self.single: dict[str, int] = {}
+        self.before: dict[str, set[str]] = {}  # symbol -> those that stand before it
+        self.after: dict[str, set[str]] = {}
+        self.heap: list[tuple[float, str, str]] = []
+
+    def value(self, pair: tuple[str, str]) -> float:
+        n = self.pairs.get(pair, 0)
+        if n <= 0 or n < self.least:
+            return 0.0
+        return n / (float(self.single[pair[0]]) * float(self.single[pair[1]])) if self.likelihood else n
+
+    def add(self, rows) -> None:
+        """Apply changes (left, right, count); without a right symbol it is a symbol's count."""
+        touched = set()
+        for left, right, n in rows:
+            if right is None:
+                self.single[left] = self.single.get(left, 0) + n
+                if self.likelihood:
+                    touched |= {(left, y) for y in self.after.get(left, ())} | {(x, left) for x in self.before.get(left, ())}
+                continue
+            pair = (left, right)
+            self.pairs[pair] = self.pairs.get(pair, 0) + n
+            self.before.setdefault(right, set()).add(left)
+            self.after.setdefault(left, set()).add(right)
+            touched.add(pair)
+        for pair in touched:
+            if self.value(pair) > 0:
+                heapq.heappush(self.heap, (-self.value(pair), *pair))
+
+    def _pop(self) -> tuple[str, str] | None:
+        while self.heap:
+            value, *pair = heapq.heappop(self.heap)
+            if self.value(tuple(pair)) == -value:
+                return tuple(pair)
+        return None
+
+    def _newborn(self, pair: tuple[str, str]) -> int:
+        """No pair with the merged symbol can be more frequent than this."""
+        a, b = pair
+        around = [self.pairs[x, a] for x in self.before.get(a, ())] + [self.pairs[b, y] for y in self.after.get(b, ())]
+        return min(self.pairs[pair], max(around, default=0))
+
+    def best(self, room: int, made_before) -> list[tuple[str, str]]:
+        """The next merges of the greedy order, as far as it is certain: each is the best
+        pair left, shares no symbol with those before it, and is more frequent than any
+        pair that they can give birth to.  Likelihoods are certain for one merge only."""
+        out, used, bound, popped = [], set(), 0, []
+        while len(out) < room and (pair := self._pop()):
+            popped.append(pair)
+            if out and (used & set(pair) or self.pairs[pair] <= bound):
+                break
+            out.append(pair)
+            used |= set(pair)
+            bound = max(bound, self._newborn(pair))
+            if self.likelihood or made_before(*pair):  # a symbol made before gains more pairs
+                break
+        for pair in popped:
+            heapq.heappush(self.heap, (-self.value(pair), *pair))
+        return out
+
+
+def _entries(symbols: Column, sign: int, singles: bool) -> Column:
+    """Pairs of a piece, and its symbols (right is NULL) if asked for, each counting ``sign``."""
+
+    def of(s: Column) -> Column:
+        entry = lambda x, y: F.struct(x.alias("left"), y.cast("string").alias("right"), F.lit(sign).alias("sign"))
+        pairs = F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s)), entry)
+        return F.concat(pairs, F.transform(s, lambda x: entry(x, F.lit(None)))) if singles else pairs
+
+    # transform over a one-element array binds the symbols, which are used repeatedly
+    return F.element_at(F.transform(F.array(symbol_array(symbols)), of), 1)
+
+
+def _changes(words: DataFrame, entries: Column):
+    """(left, right, count) that differ from zero."""
+    rows = words.select(F.explode(entries).alias("e"), "frequency")
+    counts = rows.groupBy("e.left", "e.right").agg(F.sum(F.col("e.sign") * F.col("frequency")).alias("count"))
+    return [tuple(r) for r in counts.where("count <> 0").collect()]
 
 
 def train_tokenizer(
     df: DataFrame, text: str = "text", family: str = "bpe", vocab_size: int = 30_000,
-    merges_per_round: int = 1, min_frequency: int = 1, cut_every: int = 8, score: str | None = None,
-    max_merges: int | None = None,
+    min_frequency: int = 1, cut_every: int = 8, score: str | None = None,
 ) -> Subwords:
     """Learn merges until the vocabulary is full or no pair is frequent enough.
 
-    One merge per round is the exact greedy order (best first, ties by symbols);
-    more per round takes the best pairs that share no symbol.  ``score`` is
-    "count" or, by default for wordpiece, "likelihood".
+    The order is the greedy one: best first, ties by symbols.  Pair counts are
+    kept between rounds: a round rewrites the pieces that hold a merged pair and
+    reports how their counts changed.  ``score`` is "count" (the default) or
+    "likelihood" (count over the product of both symbols' counts).
     """
+    lowered = family == "bert-base-uncased"
     family = family_of(family)
     wordpiece = family == "wordpiece"
-    likelihood = (score or ("likelihood" if wordpiece else "count")) == "likelihood"
+    likelihood = score == "likelihood"
     spark = df.sparkSession
+    if lowered:
+        df = df.select(F.lower(text).alias(text))
     words = pretokenize(df, text, family).withColumn("symbols", start_symbols("piece", family))
     words = checkpointed(words)
     specials = special_tokens(spark)
-    alphabet = checkpointed(
-        global_position(words.select(F.explode(symbol_array("symbols")).alias("token")).distinct(), ["token"], "pos")
-    )
+    symbols = words.select(F.explode(symbol_array("symbols")).alias("token"))
+    if family == "bytes":  # every byte, also those not seen
+        symbols = symbols.unionByName(spark.range(256).select(F.lpad(F.hex("id"), 2, "0").alias("token")))
+    alphabet = checkpointed(global_position(symbols.distinct(), ["token"], "pos"))
     n_special = specials.count()
     n_alphabet = alphabet.count()
     room = vocab_size - n_special - n_alphabet
-    if max_merges is not None:
-        room = min(room, max_merges)
+    table = _PairTable(likelihood, min_frequency)
+    table.add(_changes(words, _entries(F.col("symbols"), 1, likelihood)) if room > 0 else [])
+    merge = _merged if wordpiece else (lambda left, right: left + right)
     merges: list[tuple[int, str, str, str]] = []
     seen: set[str] = set()  # symbols made so far: two merges may build the same one
     rounds = 0
     while room > len(seen):
-        pairs = pair_scores(words) if likelihood else pair_counts(words)
-        rank = F.desc("score") if likelihood else F.desc("count")
-        want = min(merges_per_round, room - len(seen))
-        best = (
-            pairs.where(F.col("count") >= min_frequency).orderBy(rank, "left", "right")
-            .limit(want if want == 1 else 4 * want).collect()
-        )
+        best = table.best(room - len(seen), lambda left, right: merge(left, right) in seen)
         if not best:
             break
-        symbols = F.col("symbols")
-        for left, right in _choose(best, want):
-            merged = _merged(left, right) if wordpiece else left + right
+        new, held = F.col("symbols"), F.lit(False)
+        for left, right in best:
+            merged = merge(left, right)
             merges.append((len(merges), left, right, merged))
             seen.add(merged)
-            symbols = _merge_symbols(symbols, left, right, merged)
-        words = words.withColumn("symbols", symbols)
+            new = _merge_symbols(new, left, right, merged)
+            held = held | F.contains("symbols", F.lit(f"{SEP}{left}{SEP}{right}{SEP}"))
+        entries = F.concat(_entries(F.col("symbols"), -1, likelihood), _entries(new, 1, likelihood))
+        table.add(_changes(words.where(held), entries))
+        words = words.withColumn("symbols", F.when(held, new).otherwise(F.col("symbols")))
         rounds += 1
         if rounds % cut_every == 0:
             words = checkpointed(words)
@@ -207,39 +290,43 @@ def _splitter(family: str, ranks: dict, known: set):
     """Function from a piece to its tokens.  Small and self-contained, so that
     it can be sent to the Python workers on its own."""
     unk, cont = UNKNOWN[0], CONTINUATION
+    longest = max(map(len, known), default=0)  # of the vocabulary, so a long piece costs no more per character
 
     def longest_first(piece):
         out, start = [], 0
         while start < len(piece):
-            end = len(piece)
-            while end > start:
-                part = piece[start:end] if start == 0 else cont + piece[start:end]
-                if part in known:
-                    break
+            head = "" if start == 0 else cont
+            end = min(len(piece), start + longest)
+            while end > start and head + piece[start:end] not in known:
                 end -= 1
             if end == start:
                 return [unk]
-            out.append(part)
+            out.append(head + piece[start:end])
             start = end
         return out
 
     def by_merges(piece):
+        """The best pair first, its places from the left: a heap over a linked list."""
+        import heapq
+
         parts = [f"{b:02X}" for b in piece.encode("utf-8")] if family == "bytes" else list(piece)
-        while len(parts) > 1:
-            ranked = [(ranks[p], p) for p in zip(parts, parts[1:]) if p in ranks]
-            if not ranked:
-                break
-            pair = min(ranked)[1]
-            out, i = [], 0
-            while i < len(parts):
-                if tuple(parts[i : i + 2]) == pair:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return [p if p in known else unk for p in parts]
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(ranks[p], i, p) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]
+        heapq.heapify(heap)
+        while heap:
+            _, i, (left, right) = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] != left or j >= n or parts[j] != right:
+                continue
+            parts[i], parts[j] = left + right, None
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (parts[a], parts[b]) in ranks:
+                    heapq.heappush(heap, (ranks[parts[a], parts[b]], a, (parts[a], parts[b])))
+        return [p if p in known else unk for p in parts if p is not None]
 
     return longest_first if family == "wordpiece" else by_merges
 

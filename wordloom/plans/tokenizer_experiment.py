@@ -32,14 +32,14 @@ def score_tokenizer(
 
 def tokenizer_experiment(
     corpus: DataFrame, sentences: DataFrame, parts: DataFrame, families: Sequence[str], sizes: Sequence[int],
-    eval_sets: DataFrame | None = None, merges_per_round: int = 1, save=None, max_merges: int | None = None,
+    eval_sets: DataFrame | None = None, save=None,
 ) -> DataFrame:
     """Scores for every (family, size); ``save(name, model, scores)`` is called
     after each, so that a long grid leaves its finished rows behind."""
     out = None
     for family in families:
         for size in sizes:
-            model = train_tokenizer(corpus, "text", family, size, merges_per_round, max_merges=max_merges)
+            model = train_tokenizer(corpus, "text", family, size)
             row = score_tokenizer(family, str(size), model, sentences, parts, eval_sets)
             if save is not None:
                 save(f"{family}_{size}", model, row)

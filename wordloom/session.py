@@ -13,12 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-# Inputs below this estimated size are spread over the cores after the scan: a
-# few small files with one row group each would otherwise run on a few cores.
-# Larger inputs have enough splits of their own and are never reshuffled.
-SPREAD_BELOW_BYTES = 256 * 1024 * 1024
-
-
 def local_session(app: str = "wordloom", cpus: int | str = 8) -> SparkSession:
     """Session for tests and single-machine runs; clusters bring their own."""
     return (
@@ -62,18 +56,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Planner size estimate; runs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def spread(df: DataFrame, below: int = SPREAD_BELOW_BYTES) -> DataFrame:
-    """Rebalance a small scan over all cores; a no-op for anything large."""
-    if estimated_bytes(df) < below:
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return df
-
-
 def measured(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """A table known to be small, as a local relation with an exact size.
 

@@ -115,11 +115,15 @@ def _ddl_fields(schema: str) -> str:
 def read_vocab(spark: SparkSession, path: str, word_col: str = "word", schema: str | None = None) -> DataFrame:
     """Vocabulary CSV with a header; rows without a word are dropped.
 
-    Words such as ``null`` or ``nan`` stay words.
+    Words such as ``null`` or ``nan`` stay words.  Of a repeated word the largest
+    value of each other column stays.
     """
     reader = spark.read.option("header", True)
     df = (reader.schema(schema) if schema else reader).csv(path)
-    return df.withColumnRenamed(word_col, "word").where(F.col("word").isNotNull()).dropDuplicates(["word"])
+    df = df.withColumnRenamed(word_col, "word").where(F.col("word").isNotNull())
+    others = [F.max(c).alias(c) for c in df.columns if c != "word"]
+    once = df.groupBy("word").agg(*others) if others else df.distinct()
+    return once.select(*df.columns)
 
 
 def parse_age_lines(df: DataFrame, text: str = "value") -> DataFrame:
