@@ -20,6 +20,41 @@ def test_global_position_and_running_sum_with_ties_and_a_hot_value(spark):
     assert [(r["id"], r["p"], r["s"]) for r in out] == want
 
 
+def test_running_values_against_brute_force(spark):
+    """NULLs, many small groups, groups over several partitions and Arrow batches."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", "hot", *map(str, range(40))]), i, rng.choice([None, rng.randint(-9, 9)]), rng.random()) for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, i bigint, n int, x double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = {r["i"]: r for r in od.running_by_group(df, ["g"], ["i"], {"s": ("sum", F.col("n")), "lo": ("min", F.col("x")), "hi": ("max", F.col("n"))}, position="p").collect()}
+        total = {r["i"]: r["s"] for r in od.global_running_sum(df, ["i"], {"s": F.coalesce("n", F.lit(0))}).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == 700
+    for g in {r[0] for r in rows}:
+        own = sorted(r[1:] for r in rows if r[0] == g)
+        for k, (i, *_) in enumerate(own):
+            ns = [n for _, n, _ in own[: k + 1] if n is not None]
+            want = (k, sum(ns) if ns else None, min(x for *_, x in own[: k + 1]), max(ns) if ns else None)
+            assert (got[i]["p"], got[i]["s"] if ns else None, got[i]["lo"], got[i]["hi"]) == want
+    run = 0
+    for _, i, n, _ in rows:
+        run += n or 0
+        assert total[i] == run
+
+
+def test_running_values_shuffle_rows_once(spark):
+    df = spark.range(100).select("id", (F.col("id") % 3).alias("g"))
+    for out in (od.global_running_sum(df, ["id"], {"s": F.col("id")}), od.running_by_group(df, ["g"], ["id"], {"s": ("sum", F.col("id"))})):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        rows = plan[: plan.index("BroadcastExchange")] if "BroadcastExchange" in plan else plan
+        assert "Window" not in rows and "MapInArrow" in plan and "Exchange hashpartitioning(_part" not in rows
+
+
 def test_running_by_group_with_a_hot_group(spark):
     rnd = random.Random(4)
     rows = [(0 if i % 3 else i % 11, i, rnd.random()) for i in range(3000)]

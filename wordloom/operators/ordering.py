@@ -7,6 +7,8 @@ Two other ways are used here:
   broken by the caller's unique id, so a hot value is split as well), then fix
   that layout with a checkpoint.  Positions and running sums are then local to
   a partition plus an offset from a table with one row per partition.
+  Running values are taken in one pass over a partition as it lies (Arrow batches,
+  narrow columns only are computed on), so the rows are shuffled once.
 * ``cut_by_hash``: for orders given by a hash key only the rows near a cut need
   a rank.  Leading bits of the key give evenly filled, already ordered buckets;
   whole buckets fall on one side of a cut, and just the bucket holding the cut
@@ -42,8 +44,8 @@ def ordered_layout(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     return checkpointed(laid)
 
 
-def _with_offsets(laid: DataFrame, totals: Mapping[str, Column]) -> DataFrame:
-    """Adds ``_before_<name>``: the total of ``name`` over earlier partitions.
+def _with_offsets(laid: DataFrame, totals: Mapping[str, Column], rows: DataFrame | None = None) -> DataFrame:
+    """Adds ``_before_<name>``, the total of ``name`` over earlier partitions, to ``rows`` (default: ``laid``).
 
     The offset table has one row per partition, so its window is small.
     """
@@ -53,7 +55,68 @@ def _with_offsets(laid: DataFrame, totals: Mapping[str, Column]) -> DataFrame:
         "_part",
         *[F.coalesce(F.sum("_t_" + k).over(earlier), F.lit(0)).alias("_before_" + k) for k in totals],
     )
-    return laid.join(measured(offsets), "_part")
+    return (laid if rows is None else rows).join(measured(offsets), "_part")
+
+
+def _widened(df: DataFrame, sums: Sequence[str]) -> DataFrame:
+    """Small integers that are to be added up, as bigint."""
+    small = {"tinyint", "smallint", "int"}
+    return df.withColumns({c: F.col(c).cast("bigint") for c, kind in df.dtypes if c in sums and kind in small})
+
+
+def _run_through(laid: DataFrame, by: Sequence[str], running: Mapping[str, str]) -> DataFrame:
+    """Running values within a partition of ``laid``, in the order the rows lie in.
+
+    ``running`` maps a column to "sum", "min" or "max"; the column is replaced by
+    its running value, which starts anew with every change of ``by``.  NULLs do
+    not count; before the first value the result is NULL.
+    """
+    by = list(by)
+
+    def fold(batches):
+        import pandas as pd
+        import pyarrow as pa
+
+        last, carried = None, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.select(by).to_pandas() if by else pd.DataFrame(index=range(batch.num_rows))
+            same = pd.Series(True, index=keys.index)
+            for k in by:
+                c = keys[k]
+                same &= (c == c.shift()) | (c.isna() & c.shift().isna())
+            first = tuple(batch.column(k)[0].as_py() for k in by)
+            goes_on = last == first
+            same.iloc[0] = True
+            segment = (~same).cumsum()
+            columns = []
+            for name in batch.schema.names:
+                column = batch.column(name)
+                if name in running:
+                    kind = running[name]
+                    values = column.to_pandas(types_mapper=_NULLABLE.get)
+                    got = getattr(values.groupby(segment), "cum" + kind)().groupby(segment).ffill()
+                    before = carried.get(name) if goes_on else None
+                    if before is not None:
+                        head = segment == 0
+                        part = got[head]
+                        if kind == "sum":
+                            part = part.fillna(0) + before
+                        else:
+                            part = part.fillna(before).clip(**{"upper" if kind == "min" else "lower": before})
+                        got = pd.concat([part, got[~head]])
+                    carried[name] = None if pd.isna(got.iloc[-1]) else got.iloc[-1]
+                    column = pa.Array.from_pandas(got, type=column.type)
+                columns.append(column)
+            last = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in by)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    import pandas as pd
+    import pyarrow as pa
+
+    _NULLABLE = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype(), pa.float64(): pd.Float64Dtype()}
+    return laid.mapInArrow(fold, laid.schema)
 
 
 def global_position(df: DataFrame, order: Sequence[Column | str], name: str = "position") -> DataFrame:
@@ -71,14 +134,12 @@ def global_running_sum(
     position: str | None = None,
 ) -> DataFrame:
     """Running totals (current row included) in the given total order."""
-    staged = df.select("*", *[v.alias("_v_" + k) for k, v in sums.items()])
+    staged = _widened(df.select("*", *[v.alias("_v_" + k) for k, v in sums.items()]), ["_v_" + k for k in sums])
     laid = ordered_layout(staged, order)
     totals = {k: F.sum("_v_" + k) for k in sums} | {"n": F.count(F.lit(1))}
-    laid = _with_offsets(laid, totals)
-    upto = Window.partitionBy("_part").orderBy("_local").rowsBetween(Window.unboundedPreceding, 0)
-    out = laid
+    out = _with_offsets(laid, totals, _run_through(laid, [], {"_v_" + k: "sum" for k in sums}))
     for k in sums:
-        out = out.withColumn(k, F.col("_before_" + k) + F.sum("_v_" + k).over(upto))
+        out = out.withColumn(k, F.col("_before_" + k) + F.col("_v_" + k))
     if position:
         out = out.withColumn(position, F.col("_before_n") + F.col("_local"))
     drop = ["_part", "_local"] + ["_before_" + k for k in totals] + ["_v_" + k for k in sums]
@@ -149,7 +210,7 @@ def running_by_group(
     if position:
         spec[position] = ("sum", F.lit(1).cast("bigint"))
     staged = df.select("*", *[v[1].alias("_v_" + k) for k, v in spec.items()])
-    laid = ordered_layout(staged, [*by, *order])
+    laid = ordered_layout(_widened(staged, ["_v_" + k for k, v in spec.items() if v[0] == "sum"]), [*by, *order])
     pieces = laid.groupBy("_part", *by).agg(*[kinds[v[0]]("_v_" + k).alias("_t_" + k) for k, v in spec.items()])
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = pieces.select(
@@ -158,10 +219,10 @@ def running_by_group(
     # only a partition's first group can continue from the one before
     name = next(iter(spec))
     carried = measured(carried.where(F.col("_c_" + name).isNotNull()))
-    upto = Window.partitionBy("_part", *by).orderBy("_local").rowsBetween(Window.unboundedPreceding, 0)
-    out = laid.join(carried, ["_part", *by], "left")
+    run = _run_through(laid, by, {"_v_" + k: kind for k, (kind, _) in spec.items()})
+    out = run.join(carried, ["_part", *by], "left")
     for k, (kind, _) in spec.items():
-        out = out.withColumn(k, merge[kind](F.col("_c_" + k), kinds[kind]("_v_" + k).over(upto)))
+        out = out.withColumn(k, merge[kind](F.col("_c_" + k), F.col("_v_" + k)))
     if position:
         out = out.withColumn(position, F.col(position) - 1)
     drop = ["_part", "_local"] + ["_v_" + k for k in spec] + ["_c_" + k for k in spec]
