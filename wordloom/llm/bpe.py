@@ -218,8 +218,23 @@ class Speculative:
                 out[k] = [t for t in line if t >= 0]
         return out
 
+    def coded(self, words: list[str]) -> list[tuple[bytes, str]]:
+        """Ids (int32 bytes) and tokens joined by a blank of each word; a word is never empty."""
+        flat, stop, exact = self._tokens(words)
+        ids, names = self.ids[flat].tobytes(), list(map(self.texts.__getitem__, flat.tolist()))
+        bounds = [0, *stop.tolist()]
+        out = [(ids[4 * a : 4 * b], " ".join(names[a:b])) for a, b in zip(bounds, bounds[1:])]
+        for k, tok in exact.items():
+            out[k] = b"".join([self.id_bytes[t] for t in tok]), " ".join([self.texts[t] for t in tok])
+        return out
+
     def tokens(self, words: list[str]) -> list[list[int]]:
-        """Tokens (numbers of this class) of each word; a word is never empty."""
+        """Tokens (numbers of this class) of each word."""
+        flat, stop, exact = self._tokens(words)
+        return [exact.get(k, cut.tolist()) for k, cut in enumerate(np.split(flat, stop[:-1]))]
+
+    def _tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
+        """Greedy tokens of all words, where each word's end, and the tokens of those that failed."""
         raw = [w.encode() for w in words]
         symbols = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -233,21 +248,16 @@ class Speculative:
             at += jump[at]
         flat, starts = token[starts], np.array(starts)
         stop = np.searchsorted(starts, ends)
-        counts = np.diff(stop, prepend=0)
-        owner = np.repeat(np.arange(len(words)), counts)
+        owner = np.repeat(np.arange(len(words)), np.diff(stop, prepend=0))
         fails = np.zeros(len(words), bool)
         fails[owner[~self.reachable[flat]]] = True
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         if len(inner):
             keys, back = np.unique(flat[inner] * self.size + flat[inner + 1], return_inverse=True)
             fails[owner[inner[~self.compatible(keys // self.size, keys % self.size)[back]]]] = True
-        cut, stop = flat.tolist(), stop.tolist()
-        out = [cut[x:y] for x, y in zip([0, *stop], stop)]
-        bad = np.flatnonzero(fails)
-        for k, tok in zip(bad.tolist(), self.exact_all([symbols[ends[k] - sizes[k] : ends[k]] for k in bad.tolist()])):
-            out[k] = tok
+        bad = np.flatnonzero(fails).tolist()
         self.failed += len(bad)
-        return out
+        return flat, stop, dict(zip(bad, self.exact_all([symbols[ends[k] - sizes[k] : ends[k]] for k in bad])))
 
     # --- texts
     def _reset(self) -> None:
@@ -272,20 +282,29 @@ class Speculative:
                 out += part.split()
         return out
 
+    def _words(self, piece: str) -> list[str]:
+        """The words of a piece; the commonest forms need no pattern."""
+        if piece.isalpha():
+            return [piece]
+        if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+            return [piece[:-1], piece[-1]]
+        return self.split.findall(piece)
+
     def _learn(self, fresh: list[str]) -> None:
-        """Encode pieces not seen lately, all at once."""
-        split = [self.split.findall(p) if p[0] != " " else [] for p in fresh]
-        words = list(dict.fromkeys(w for ws in split for w in ws))
-        cuts = self.tokens(words) if words else []
-        coded = {w: (b"".join([self.id_bytes[t] for t in cut]), " ".join([self.texts[t] for t in cut])) for w, cut in zip(words, cuts)}
-        for piece, ws in zip(fresh, split):
+        """Encode pieces not seen lately, all at once.  A word that is a known piece needs nothing."""
+        known = self.known
+        split = [(p, self._words(p)) for p in fresh if p[0] != " "]
+        words = list({w for _, ws in split for w in ws}.difference(known))
+        new = dict(zip(words, self.coded(words) if words else ()))
+        for piece, ws in split:
             if len(ws) == 1:
-                self.known[piece] = coded[ws[0]]
-            elif ws:
-                ids, texts = zip(*[coded[w] for w in ws])
-                self.known[piece] = b"".join(ids), " ".join(texts)
+                known[piece] = new.get(ws[0]) or known[ws[0]]
             else:
-                self.known[piece] = np.int32(self.added[piece[1:]]).tobytes(), piece[1:]
+                parts = [new.get(w) or known[w] for w in ws]
+                known[piece] = b"".join([x[0] for x in parts]), " ".join([x[1] for x in parts])
+        for piece in fresh:
+            if piece[0] == " ":
+                known[piece] = np.int32(self.added[piece[1:]]).tobytes(), piece[1:]
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
         """Ids of each text and the decoded texts (tokens joined by a blank)."""
