@@ -11,6 +11,7 @@ from catalog.common import (
 from wordloom.functions import text as tx
 from wordloom.operators import curate as cu, pack as pk, sample as sa
 from wordloom.plans.corpora import constrained_corpus, unconstrained_corpus
+from wordloom.session import scratch_dir
 from wordloom.sources import readers as rd
 
 
@@ -85,13 +86,16 @@ def _(spark, sf):
 
 
 @query("read_markup_docs", r"""
-SELECT page_id, CAST(doc_no AS BIGINT) AS doc_no, text FROM (
-  SELECT page_id, unnest(range(0, len(p))) AS doc_no, unnest(list_transform(p, lambda x: string_split(x, '>')[-1])) AS text
-  FROM (SELECT page_id, string_split(html, '</p>') AS p FROM pages))
+SELECT CAST(doc_no AS BIGINT) AS doc_no, text FROM (
+  SELECT unnest(range(0, len(p))) AS doc_no, unnest(list_transform(p, lambda x: string_split(x, '>')[-1])) AS text
+  FROM (SELECT string_split(replace(replace(html, chr(10), ' '), chr(13), ' '), '</p>') AS p FROM pages))
 WHERE regexp_matches(text, '\S')""")
 def _(spark, sf):
-    pages = table(spark, sf, "pages", "page_id", "html")
-    return as_bigint(rd.split_markup_docs(pages, "html", end="</p>", head_end=">"), "doc_no")
+    """A file per page, its paragraphs as the documents."""
+    path = scratch_dir(spark, "markup")
+    flat = F.translate("html", "\n\r", "  ").alias("value")
+    table(spark, sf, "pages", flat).write.option("maxRecordsPerFile", 1).text(path)
+    return rd.read_markup_docs(spark, path, end="</p>", head_end=">").select("doc_no", "text")
 
 
 @query("drop_nulls", "SELECT vec_id, label FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL")
@@ -370,13 +374,17 @@ def _(spark, sf):
 
 
 @query("write_indexed_pairs", """
-SELECT row_number() OVER (ORDER BY a.conv_id, a.turn) - 1 AS "index", a.conv_id, a.turn, a.text AS s1, b.text AS s2
-FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
+SELECT row_number() OVER (ORDER BY a.conv_id, a.turn) - 1 AS "index", a.conv_id, a.turn,
+replace(a.text, chr(10), ' ') AS s1, replace(b.text, chr(10), ' ') AS s2 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
 def _(spark, sf):
     from catalog.evaluation import turn_pairs
-    from wordloom.sources.writers import indexed_rows
+    from wordloom.sources.writers import write_indexed_pairs
 
-    return indexed_rows(turn_pairs(spark, sf), ["conv_id", "turn"])
+    path = scratch_dir(spark, "indexed")
+    flat = {c: F.replace(F.col(c), F.lit("\n"), F.lit(" ")) for c in ("s1", "s2")}
+    write_indexed_pairs(turn_pairs(spark, sf).select("conv_id", "turn", "s1", "s2").withColumns(flat), path, ["conv_id", "turn"])
+    schema = "index bigint, conv_id bigint, turn bigint, s1 string, s2 string"
+    return spark.read.schema(schema).option("header", True).csv(path, sep="\t", quote="")
 
 
 # --- packing -----------------------------------------------------------------------------------

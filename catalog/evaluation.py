@@ -9,6 +9,7 @@ from catalog.common import (
 )
 from wordloom.functions import arrays as ar, scaling as sc, text as tx
 from wordloom.functions.keys import hash_key
+from wordloom.session import scratch_dir
 from wordloom.operators import curate as cu, evalset as ev, metrics as me
 from wordloom.operators.ordering import running_by_group
 
@@ -222,7 +223,11 @@ def _(spark, sf):
 @query("write_predictions", """
 SELECT event_id AS "index", printf('%.3f', value) AS prediction FROM events""")
 def _(spark, sf):
-    return me.format_predictions(table(spark, sf, "events"), "event_id", "value", regression=True)
+    from wordloom.sources.writers import write_predictions
+
+    path = scratch_dir(spark, "predictions")
+    write_predictions(table(spark, sf, "events"), path, "event_id", "value", regression=True)
+    return spark.read.schema("index bigint, prediction string").option("header", True).csv(path, sep="\t")
 
 
 # --- metrics ----------------------------------------------------------------------------------------------

@@ -87,13 +87,13 @@ def _(spark, sf):
 
 
 @query("read_string_lists", """
-SELECT doc_id, CAST(position AS BIGINT) AS position, text FROM (SELECT doc_id, unnest(range(0, len(p))) AS position, unnest(p) AS text
-FROM (SELECT doc_id, string_split(text, '.') AS p FROM documents))""")
+SELECT CAST(position AS BIGINT) AS position, text FROM (SELECT unnest(range(0, len(p))) AS position, unnest(p) AS text
+FROM (SELECT string_split(text, '.') AS p FROM documents))""")
 def _(spark, sf):
-    """A JSON array of its sentences per document, written and parsed."""
+    """A JSON array of its sentences per document, written and read."""
     path = scratch_dir(spark, "arrays")
-    documents(spark, sf, "doc_id", F.to_json(tx.dot_sentences("text")).alias("value")).write.json(path)
-    return as_bigint(rd.parse_string_lists(spark.read.schema("doc_id bigint, value string").json(path)), "position")
+    documents(spark, sf, F.to_json(tx.dot_sentences("text")).alias("value")).write.text(path)
+    return as_bigint(rd.read_string_lists(spark, path, lines=True), "position").select("position", "text")
 
 
 @query("read_record_map", "SELECT CAST(doc_id AS VARCHAR) AS record_id, text AS \"TEXT\", source AS \"DATA_SOURCE\" FROM documents")
@@ -102,17 +102,19 @@ def _(spark, sf):
     path = scratch_dir(spark, "maps")
     record = F.struct(F.col("text").alias("TEXT"), F.col("source").alias("DATA_SOURCE"))
     documents(spark, sf).select(F.to_json(F.create_map(F.col("doc_id").cast("string"), record)).alias("value")).write.text(path)
-    return rd.parse_record_maps(spark.read.text(path), value_schema="TEXT string, DATA_SOURCE string")
+    return rd.read_record_map(spark, path, "TEXT string, DATA_SOURCE string", lines=True)
 
 
 @query("read_age_lines", r"""
 SELECT word, round(CAST(days AS DOUBLE) / 365, 9) AS age, CAST(days AS VARCHAR) AS raw_age FROM (
 SELECT doc_id * 7 % 2190 + 1 AS days, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS word FROM documents)""")
 def _(spark, sf):
+    path = scratch_dir(spark, "ages")
     days = ((F.col("doc_id") * 7) % 2190 + 1).cast("string")
     words = F.array_join(F.transform(tx.word_tokens("text"), lambda w: F.concat(F.lit("'"), w, F.lit("'"))), ", ")
     lines = documents(spark, sf, "text", F.concat(days, F.lit(":\n["), words, F.lit("]")).alias("value"))
-    return rounded(rd.parse_age_lines(lines.where(F.size(tx.word_tokens("text")) > 0)), "age", digits=9)
+    lines.where(F.size(tx.word_tokens("text")) > 0).select("value").write.text(path)
+    return rounded(rd.read_age_lines(spark, path), "age", digits=9)
 
 
 @query("read_eval_files", """
@@ -122,7 +124,7 @@ def _(spark, sf):
     path = scratch_dir(spark, "evalfiles")
     rows = table(spark, sf, "benchmark", "item_id", F.length("text").cast("bigint").alias("label"))
     for name in ("train", "validation"):
-        rows.coalesce(1).write.option("header", True).csv(f"{path}/{name}.csv")
+        rows.write.option("header", True).csv(f"{path}/{name}.csv")
     return rd.read_eval_files(spark, f"{path}/train.csv", f"{path}/validation.csv", schema="item_id bigint, label bigint")
 
 
@@ -190,10 +192,13 @@ def _(spark, sf):
 
 @query("stream_resume", f"WITH {KEPT} SELECT doc_id, source, start, n_tokens, span FROM kept")
 def _(spark, sf):
-    """Started twice on the same checkpoint: nothing is repeated."""
-    sink, marks = scratch_dir(spark, "sink"), scratch_dir(spark, "marks")
-    vocab, stream = vocabulary(spark, sf), _stream(spark, sf)
+    """Started twice on one checkpoint, with new files in between: nothing is repeated or missed."""
+    path, sink, marks = (scratch_dir(spark, n) for n in ("incoming", "sink", "marks"))
+    vocab, docs = vocabulary(spark, sf), documents(spark, sf)
+    docs.where("doc_id % 2 = 0").repartition(3).write.parquet(path)
+    stream = rd.stream_corpus(spark, path, "doc_id bigint, source string, text string", files_per_batch=2)
     st.stream_filter(stream, vocab, sink, marks).awaitTermination()
+    docs.where("doc_id % 2 = 1").repartition(3).write.mode("append").parquet(path)
     return as_bigint(_finish(st.stream_filter(stream, vocab, sink, marks), spark, sink), "start")
 
 

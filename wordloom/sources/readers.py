@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wordloom.operators.ordering import running_by_group
+
 # --- fixed values: text column and splits of the named corpora ---------------------------
 CORPORA = {
     "wikipedia": ("text", ("train",)),
@@ -71,10 +73,16 @@ def _literal(s: str) -> str:
     return re.escape(s)
 
 
-def read_markup_docs(spark: SparkSession, glob: str, keep_blank: bool = False) -> DataFrame:
-    """path, doc_no, text from extractor files holding many documents each."""
-    files = spark.read.text(glob, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    return split_markup_docs(files, "value", keep_blank=keep_blank)
+def read_markup_docs(spark: SparkSession, glob: str, keep_blank: bool = False, end: str = DOC_END, head_end: str = DOC_HEAD_END) -> DataFrame:
+    """path, doc_no, text from extractor files holding many documents each.
+
+    A document, not a file, is a record: large files are split and read in parallel.
+    """
+    parts = spark.read.text(glob, lineSep=end).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"),
+        F.element_at(F.split("value", _literal(head_end)), -1).alias("text"))
+    docs = running_by_group(parts, ["path"], ["_start", "_at"], {}, position="doc_no").select("path", "doc_no", "text")
+    return docs if keep_blank else docs.where(F.col("text").rlike(r"\S"))
 
 
 def parse_string_lists(df: DataFrame, text: str = "value") -> DataFrame:
@@ -83,9 +91,10 @@ def parse_string_lists(df: DataFrame, text: str = "value") -> DataFrame:
     return df.select(*others, F.posexplode(F.from_json(text, "array<string>")).alias("position", "text"))
 
 
-def read_string_lists(spark: SparkSession, glob: str) -> DataFrame:
-    """path, position, text from files that are JSON arrays of strings."""
-    files = spark.read.text(glob, wholetext=True).select(F.input_file_name().alias("path"), "value")
+def read_string_lists(spark: SparkSession, glob: str, lines: bool = False) -> DataFrame:
+    """path, position, text from files that are JSON arrays of strings, or hold one on
+    each line (``lines``: such files are split)."""
+    files = spark.read.text(glob, wholetext=not lines).select(F.input_file_name().alias("path"), "value")
     return parse_string_lists(files)
 
 
@@ -95,9 +104,10 @@ def parse_record_maps(df: DataFrame, text: str = "value", value_schema: str = RE
     return maps.select(F.explode("_m").alias("record_id", "_r")).select("record_id", "_r.*")
 
 
-def read_record_map(spark: SparkSession, glob: str, value_schema: str = RECORD_SCHEMA) -> DataFrame:
-    """record_id and fields from files that are JSON objects of records."""
-    return parse_record_maps(spark.read.text(glob, wholetext=True), value_schema=value_schema)
+def read_record_map(spark: SparkSession, glob: str, value_schema: str = RECORD_SCHEMA, lines: bool = False) -> DataFrame:
+    """record_id and fields from files that are JSON objects of records, or hold one on
+    each line (``lines``: such files are split)."""
+    return parse_record_maps(spark.read.text(glob, wholetext=not lines), value_schema=value_schema)
 
 
 def _ddl_fields(schema: str) -> str:
