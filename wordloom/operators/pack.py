@@ -42,22 +42,33 @@ def _summaries(laid: DataFrame, limit: int) -> DataFrame:
         flushes = np.zeros(limit + 1, dtype="int64")
         part = first = last = None
         state = closed = 0
+        merged = None  # the one state left once all starting states have met, which takes a few rows
+        extra = 0      # sequences closed since then
         for pdf in batches:
             for p, shard, n in zip(pdf["_part"], pdf["_shard"], pdf["n_words"]):
                 if part is None:
                     part, first, last = p, shard, shard
                 if shard != last:
                     last, state, closed = shard, 0, 0
-                if shard == first:
+                if shard == first and merged is not None:
+                    full = merged > 0 and merged + n >= limit
+                    extra += full
+                    merged = min(n if full else merged + n, limit)
+                elif shard == first:
                     full = (ends > 0) & (ends + n >= limit)
                     flushes += full
                     ends = np.minimum(np.where(full, n, ends + n), limit)
+                    if (ends == ends[0]).all():
+                        merged = int(ends[0])
                 if state > 0 and state + n >= limit:
                     closed += 1
                     state = min(n, limit)
                 else:
                     state = min(state + n, limit)
         if part is not None:
+            if merged is not None:
+                ends = np.full(limit + 1, merged)
+                flushes += extra
             yield pd.DataFrame(
                 {
                     "part": [part], "first_shard": [first], "last_shard": [last], "one": [first == last],
@@ -99,11 +110,14 @@ def pack_assign(
     schema = laid.withColumn("seq_no", F.lit(0).cast("bigint")).schema
 
     def assign(batches):
+        """Reads part, shard and count of a row; all else stays in its Arrow buffers."""
+        import pyarrow as pa
+
         last = None
         state = closed = 0
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for p, s, n in zip(pdf["_part"], pdf["_shard"], pdf["n_words"]):
+            for p, s, n in zip(*(batch.column(c).to_pylist() for c in ("_part", "_shard", "n_words"))):
                 if s != last:
                     state, closed = starts[p] if last is None else (0, 0)
                     last = s
@@ -113,9 +127,9 @@ def pack_assign(
                 else:
                     state += n
                 out.append(closed)
-            yield pdf.assign(seq_no=out)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "seq_no"])
 
-    return laid.mapInPandas(assign, schema).drop("_part", "_local", "_shard")
+    return laid.mapInArrow(assign, schema).drop("_part", "_local", "_shard")
 
 
 def pack_sequences(
