@@ -8,6 +8,17 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from wordloom.session import local_session  # noqa: E402
 
 
+def pytest_configure(config):
+    config.addinivalue_line("markers", "oracle: every query against its oracle SQL (slow; run with -m oracle)")
+
+
+def pytest_collection_modifyitems(config, items):
+    if "oracle" not in (config.getoption("-m") or ""):
+        for item in items:
+            if "oracle" in item.keywords and item.get_closest_marker("oracle"):
+                item.add_marker(pytest.mark.skip(reason="run with -m oracle"))
+
+
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("tests", 4)
