@@ -227,9 +227,6 @@ def _(spark, sf):
     return rounded(vo.cumulative_vocab(ages(spark, sf)), "age", digits=9)
 
 
-_RANKED_AGES = f"{AGES}, {RANKED}, ra AS (SELECT a.word, age, word_rank FROM ages a LEFT JOIN ranked USING (word))"
-
-
 def _ranked_ages(spark, sf):
     english = documents(spark, sf, "lang", "text").where("lang = 'en'")
     ranked = vo.word_rank(vo.word_frequency(english))

@@ -20,11 +20,6 @@ def hash_key(seed: int | str, *ids: Column | str) -> Column:
     return F.coalesce(key, F.lit(0).cast("bigint"))
 
 
-def hash_unit(seed: int | str, *ids: Column | str) -> Column:
-    """Uniform number in [0, 1)."""
-    return hash_key(seed, *ids) / F.lit(float(2**KEY_BITS))
-
-
 def hash_bucket(key: Column, bits: int) -> Column:
     """Leading ``bits`` of a hash key: ordered, evenly filled buckets."""
     return F.shiftright(key, KEY_BITS - bits)

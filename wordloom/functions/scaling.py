@@ -37,11 +37,14 @@ def flops_hoffman(
     e, h, i, a, n, v, s = map(
         _num, (embedding, hidden, intermediate, heads, layers, vocab_size, seq_len)
     )
-    lookup = 2 * s * e * (v + h)
-    attention = s * (6 * h * h + s * (2 * h + 3 * a))
-    feed_forward = 4 * s * h * i
+    embedding = 2 * s * v * e + 2 * s * e * h
+    query_key_value = 2 * 3 * s * h * h
+    scores = 2 * s * s * h
+    softmax = 3 * a * s * s
+    feed_forward = 2 * s * (h * i + h * i)
     logits = 2 * s * h * v
-    return 3 * (lookup + n * (attention + feed_forward) + logits)
+    forward = embedding + n * (query_key_value + scores + softmax + feed_forward) + logits
+    return 3 * forward
 
 
 def flops_kaplan(non_embedding_parameters, seq_len=DEFAULT_SEQ_LEN) -> Column:

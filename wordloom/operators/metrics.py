@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wordloom.functions.scaling import perplexity
 from wordloom.operators.joins import lookup_join
 from wordloom.operators.ordering import global_position, global_running_sum, running_by_group
+from wordloom.session import checkpointed
 
 # --- fixed values: metrics by task ------------------------------------------------------
 TASK_METRICS = {
@@ -60,6 +61,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
         F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")
     ).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    pairs = checkpointed(pairs)  # read five times below
     mid = (pairs.agg(F.sum("_n")).scalar() + 1) / 2
     ranked = lookup_join(pairs, average_ranks(pairs, "_a"), ["_a"], "inner", ["_b"])
     ranked = lookup_join(ranked, average_ranks(pairs, "_b"), ["_b"], "inner", ["_a"])
@@ -114,11 +116,6 @@ def predict_argmax(df: DataFrame, logits: str, labels: DataFrame | None = None,
     return lookup_join(out, names, [name])
 
 
-def predict_regression(df: DataFrame, logits: str, name: str = "prediction") -> DataFrame:
-    """The single output of a regression head."""
-    return df.withColumn(name, F.get(logits, F.lit(0)))
-
-
 def format_predictions(df: DataFrame, index: str, prediction: str, regression: bool = False) -> DataFrame:
     """index, prediction as written to a prediction file."""
     text = F.format_string("%.3f", F.col(prediction).cast("double")) if regression else F.col(prediction).cast("string")

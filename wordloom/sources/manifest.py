@@ -16,11 +16,6 @@ def pending(df: DataFrame, manifest: DataFrame, file: str = "file", row: str = "
     return out.where(F.col("_end").isNull() | (F.col(row) >= F.col("_end"))).drop("_end")
 
 
-def pending_keys(df: DataFrame, manifest: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key is not in the manifest."""
-    return df.join(manifest.select(*keys).distinct(), list(keys), "left_anti")
-
-
 def advance(manifest: DataFrame, done: DataFrame, file: str = "file", row: str = "row_no") -> DataFrame:
     """New manifest: the furthest end per file (end_row is exclusive)."""
     new = done.groupBy(file).agg((F.max(row) + 1).alias("end_row"))
