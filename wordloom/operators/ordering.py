@@ -10,9 +10,10 @@ Two other ways are used here:
   Running values are taken in one pass over a partition as it lies (Arrow batches,
   narrow columns only are computed on), so the rows are shuffled once.
 * ``cut_by_hash``: for orders given by a hash key only the rows near a cut need
-  a rank.  Leading bits of the key give evenly filled, already ordered buckets;
-  whole buckets fall on one side of a cut, and just the bucket holding the cut
-  is ranked.
+  a rank.  Leading bits of the key give evenly filled, already ordered buckets,
+  and just the bucket holding a cut is ranked, which gives the row at the cut.
+  These two passes read ids only; the rows themselves are read once and compared
+  with the cuts.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from wordloom.functions.keys import hash_bucket, hash_key
 from wordloom.session import checkpointed, measured
 
 LOCAL_BITS = 33  # low bits of monotonically_increasing_id: row within partition
-BUCKET_BITS = 12
+BUCKET_BITS = 16
 
 
 def _order(columns: Sequence[Column | str]) -> list[Column]:
@@ -164,31 +165,49 @@ def cut_by_hash(
     within ``by``; they must ascend.  ``descending`` ranks from the largest key.
     """
     key = hash_key(seed, *ids)
-    keyed = df.withColumn("_key", -key - 1 + 2**60 if descending else key).withColumn(
-        "_bucket", hash_bucket(F.col("_key"), bits)
+    key = -key - 1 + 2**60 if descending else key
+    cut_cols = [(F.lit(c) if isinstance(c, int) else c).cast("bigint") for c in cuts]
+    columns = list(dict.fromkeys([*by, *ids]))
+    narrow = df.select(
+        *columns, key.alias("_key"), hash_bucket(key, bits).alias("_bucket"), *[c.alias(f"_c{k}") for k, c in enumerate(cut_cols)]
     )
-    groups = [*by, "_bucket"]
-    counts = keyed.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    counts = narrow.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"), *[F.min(f"_c{k}").alias(f"_c{k}") for k in range(len(cuts))])
     # at most 2**bits rows per group
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     ranges = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    placed = keyed.join(measured(ranges), groups)
-    cut_cols = [F.lit(c) if isinstance(c, int) else c for c in cuts]
-    inside = F.lit(False)
-    below = F.lit(0)
-    for c in cut_cols:
-        inside = inside | ((c > F.col("_before")) & (c < F.col("_before") + F.col("_n")))
-        below = below + F.when(c <= F.col("_before"), 1).otherwise(0)
-    placed = placed.withColumn("_mixed", inside)
+    spots = ranges.select("*", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("k"), F.greatest(F.col(f"_c{k}"), F.lit(0)).alias("at")) for k in range(len(cuts))])).alias("_cut"))
+    nth = F.col("_cut.at") - F.col("_before")
+    spots = spots.where((nth >= 0) & (nth < F.col("_n"))).select(*by, "_bucket", F.col("_cut.k").alias("_k"), nth.alias("_nth"))
+    # the rows at the cuts, from their buckets only
+    near = narrow.select(*columns, "_key", "_bucket").join(measured(spots), [*by, "_bucket"])
     tie = [F.col(i).desc() if descending else F.col(i).asc() for i in ids]
-    rank = F.row_number().over(Window.partitionBy(*groups).orderBy("_key", *tie))
-    mixed = placed.where("_mixed").withColumn("_rank", F.col("_before") + rank - 1)
-    passed = sum((F.when(F.col("_rank") >= c, 1).otherwise(0) for c in cut_cols), F.lit(0))
-    keep = [*df.columns, name]
-    return (
-        placed.where(~F.col("_mixed")).withColumn(name, below).select(keep)
-        .unionByName(mixed.withColumn(name, passed).select(keep))
-    )
+    rank = F.row_number().over(Window.partitionBy(*by, "_k").orderBy("_key", *tie)) - 1
+    at = near.withColumn("_rank", rank).where(F.col("_rank") == F.col("_nth"))
+    mark = F.struct("_key", *[F.col(i).alias(f"_i{j}") for j, i in enumerate(ids)])
+    marks = at.groupBy(*by).agg(*[F.max(F.when(F.col("_k") == k, mark)).alias(f"_t{k}") for k in range(len(cuts))])
+    keyed = df.withColumn("_key", key)
+    if by:
+        keyed = keyed.join(measured(marks), list(by), "left")
+    else:
+        row, types = marks.first(), dict(df.dtypes)  # one row
+
+        def literal(value) -> Column:
+            own = [F.lit(value["_key"]).alias("_key")] + [F.lit(value[f"_i{j}"]).cast(types[i]).alias(f"_i{j}") for j, i in enumerate(ids)]
+            return F.struct(*own)
+
+        keyed = keyed.withColumns({f"_t{k}": F.lit(None) if row[f"_t{k}"] is None else literal(row[f"_t{k}"]) for k in range(len(cuts))})
+        missing = {k for k in range(len(cuts)) if row[f"_t{k}"] is None}
+    own = F.struct(*[F.col(i).alias(f"_i{j}") for j, i in enumerate(ids)])
+
+    def passed(k: int) -> Column:
+        if not by and k in missing:
+            return F.lit(0)
+        cut = F.struct(*[F.col(f"_t{k}._i{j}").alias(f"_i{j}") for j in range(len(ids))])
+        tied = own <= cut if descending else own >= cut
+        return F.when((F.col("_key") > F.col(f"_t{k}._key")) | ((F.col("_key") == F.col(f"_t{k}._key")) & tied), 1).otherwise(0)
+
+    return keyed.withColumn(name, sum((passed(k) for k in range(len(cuts))), F.lit(0))).select(*df.columns, name)
 
 
 def running_by_group(

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wordloom.operators.curate import dedup_spans, limited_vocab_spans
@@ -59,15 +59,17 @@ def stream_dedup(
     stream: DataFrame, sink: str, checkpoint: str, text: str = "span", ids: Sequence[str] = ("doc_id", "start"),
     across_batches: bool = False,
 ) -> StreamingQuery:
-    """One row per text within a batch; optionally also against what earlier
-    batches wrote."""
+    """One row per text within a batch; optionally also against earlier batches.
+
+    Across batches a state store keeps the hash of every text seen, so a batch
+    costs the same however much was written before; of equal texts that arrive in
+    one batch any row may stay.  Use the RocksDB state store for many texts.
+    """
+    if across_batches:
+        stream = stream.withColumn("_hash", F.sha2(text, 256)).dropDuplicates(["_hash"]).drop("_hash")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        unique = dedup_spans(batch, text, list(ids))
-        if across_batches and batch_id > 0:
-            seen = spark.read.option("basePath", sink).parquet(sink)
-            unique = unique.join(seen.where(seen["batch_id"] < batch_id).select(text), text, "left_anti")
+        unique = batch if across_batches else dedup_spans(batch, text, list(ids))
         unique.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     return _run(stream, each, checkpoint)
