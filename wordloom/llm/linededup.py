@@ -144,11 +144,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATC
     for k in range(len(cuts) + 1):
         found = runs.add(pairs.where(F.col("batch") == k).select("doc_id", "h"))
         drops = found if drops is None else drops.unionByName(found)
-    lists = drops.groupBy("doc_id").agg(F.collect_set("h").alias("_drop")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(lists, last == F.col("_id"), "left")
-    out = joined.withColumn("_new", without_lines(docs["text"], F.col("_drop"), min_chars))
-    new = {"text": F.col("_new.text"), "n_lines": F.col("_new.n_lines"), "n_dropped": F.col("_new.n_dropped")}
-    return set_columns(out, new).drop("_new", "_drop", "_id")
+    lists = drops.groupBy("doc_id").agg(F.collect_set("h").alias("dedup_drop")).withColumnRenamed("doc_id", "dedup_id")
+    joined = docs.join(lists, last == F.col("dedup_id"), "left")
+    out = joined.withColumn("dedup_new", without_lines(docs["text"], F.col("dedup_drop"), min_chars))
+    new = {c: F.col(f"dedup_new.{c}") for c in ("text", "n_lines", "n_dropped")}
+    return set_columns(out, new).drop("dedup_new", "dedup_drop", "dedup_id")
 
 
 _SQL = r"""

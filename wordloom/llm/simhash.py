@@ -210,9 +210,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET)
 def keep_one(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """Of each class the document with the smallest doc_id, all its columns; a
     repeated row stays repeated, and rows without a doc_id stay only if their class has none."""
-    gone = _classes(docs, size, budget).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (row_key(docs) == F.col("_row"))
-    return docs.join(written(gone.distinct(), "simhash-gone"), same, "left_anti")
+    gone = written(_classes(docs, size, budget).where("not (doc_id <=> component_id)").select("doc_id", "row").distinct(), "simhash-gone")
+    # no broadcast: what goes grows with the documents
+    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["doc_id"]) & (row_key(docs) == gone["row"]), "left_anti")
 
 
 @query("op7_simhash_dedup")
