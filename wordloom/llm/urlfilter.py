@@ -95,6 +95,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None =
     blocked = classes.join(bad, "root").select(F.col("node").alias("_node"), F.lit("block").alias("_alias"))
     named = known.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("rule").alias("_rule"), F.col("action").alias("_action"))
     out = pages.withColumn("_host", host).withColumn("_path", path).withColumn("_key", node_of(pages["url"]))
+    # no broadcast: both tables grow with the pages, and compress so well that their files look small
+    named, blocked = named.hint("merge"), blocked.hint("merge")
     out = out.join(named, (F.col("_host") == F.col("_h")) & (F.col("_path") == F.col("_p")), "left").join(blocked, F.col("_key") == F.col("_node"), "left")
     verdict = F.coalesce("_action", "_alias", F.lit("allow"))
     return set_columns(out, {"host": F.col("_host"), "path": F.col("_path"), "rule": F.col("_rule"), "verdict": verdict}).drop(
