@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,8 +22,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wordloom.llm.common import set_columns, table
 from wordloom.llm.registry import query
 
-CACHE_PIECES = 250_000   # pieces that a worker remembers, besides those used shortly before
-CHUNK_CHARS = 2_000_000  # text handled at once
+CACHE_PIECES = 200_000   # pieces that a worker remembers, besides those used shortly before
+CHUNK_CHARS = 1_000_000  # text handled at once
 _SPACE = regex.compile(r"\S+")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 SHORT = 48   # symbols of a word up to which words are merged side by side
@@ -330,31 +331,37 @@ def vocabulary(path: str) -> Speculative:
     return Speculative(path)
 
 
-def encode(text: Column, path: str) -> Column:
-    """struct(ids array<int>, decoded string); a null text counts as empty."""
+def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most CHUNK_CHARS together, or one longer text."""
+    at = 0
+    while at < len(texts):
+        end, chars = at + 1, len(texts[at])
+        while end < len(texts) and chars + len(texts[end]) <= CHUNK_CHARS:
+            chars += len(texts[end])
+            end += 1
+        yield at, end
+        at = end
 
-    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
-    def run(texts: pa.Array) -> pa.Array:
+
+def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+    """Sets ``ids`` (array<int>) and ``decoded`` on every row; other columns stay, also
+    repeated rows.  A null text counts as empty.  A task holds the results of
+    CHUNK_CHARS characters at a time."""
+    kept = set_columns(docs, {"ids": F.lit(None).cast("array<int>"), "decoded": F.lit(None).cast("string")})
+    others = kept.columns[:-2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        values = [t or "" for t in texts.to_pylist()]
-        offsets, parts, decoded = [0], [], []
-        at = 0
-        while at < len(values):
-            end, chars = at, 0
-            while end < len(values) and (end == at or chars + len(values[end]) <= CHUNK_CHARS):
-                chars += len(values[end])
-                end += 1
-            ids, texts_out = bpe.encode(values[at:end])
-            for x in ids:
-                offsets.append(offsets[-1] + len(x))
-            parts += ids
-            decoded += texts_out
-            at = end
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-        return pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string())], ["ids", "decoded"])
-
-    return run(text)
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for at, end in _slices(texts):
+                ids, decoded = bpe.encode(texts[at:end])
+                offsets = np.r_[0, np.cumsum([len(x) for x in ids])]
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                part = batch.slice(at, end - at)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], lists, pa.array(decoded, pa.string())], [*others, "ids", "decoded"])
+
+    return docs.mapInArrow(run, kept.schema)
 
 
 def decode(ids: Column, path: str) -> Column:
@@ -368,12 +375,6 @@ def decode(ids: Column, path: str) -> Column:
     return run(ids)
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """Sets ``ids`` and ``decoded`` on every row; other columns stay, also repeated rows."""
-    out = docs.withColumn("_bpe", encode(docs["text"], path))
-    return set_columns(out, {"ids": F.col("_bpe.ids"), "decoded": F.col("_bpe.decoded")}).drop("_bpe")
-
-
 def digests(encoded: DataFrame) -> DataFrame:
     return encoded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
