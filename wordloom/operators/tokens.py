@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from wordloom.functions import text as tx
 from wordloom.functions.arrays import attention_mask, fit_array
 from wordloom.functions.keys import KEY_BITS, hash_key
+from wordloom.operators.merging import FlatPieces, replayer
 from wordloom.operators.ordering import global_position
 from wordloom.session import checkpointed, local_table
 
@@ -41,6 +42,7 @@ FAMILY_OF = {
 IGNORED_LABEL = -100
 # -------------------------------------------------------------------------------------------
 SEP = "\u0001"  # between the symbols of a piece
+LOCAL_SYMBOLS = 40_000_000  # pieces of so many symbols together are merged on the driver
 
 
 @dataclass(frozen=True)
@@ -224,16 +226,36 @@ def _changes(words: DataFrame, entries: Column):
     return [tuple(r) for r in counts.where("count <> 0").collect()]
 
 
+def _symbol_rows(words: DataFrame):
+    """Symbols and frequency of each piece, through Arrow."""
+    for batch in words.select("symbols", "frequency").toArrow().to_batches():
+        for symbols, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            yield [s for s in symbols.split(SEP) if s], n
+
+
+def _replayed(merges: list[tuple[int, str, str, str]]):
+    """Column function: start symbols of a piece to its tokens after ``merges``."""
+    replay = replayer(merges)
+
+    @F.pandas_udf("array<string>")
+    def tokens(rows):
+        return rows.map(lambda symbols: replay([s for s in symbols.split(SEP) if s]))
+
+    return tokens
+
+
 def train_tokenizer(
     df: DataFrame, text: str = "text", family: str = "bpe", vocab_size: int = 30_000,
-    min_frequency: int = 1, cut_every: int = 8, score: str | None = None,
+    min_frequency: int = 1, cut_every: int = 8, score: str | None = None, local_symbols: int = LOCAL_SYMBOLS,
 ) -> Subwords:
     """Learn merges until the vocabulary is full or no pair is frequent enough.
 
-    The order is the greedy one: best first, ties by symbols.  Pair counts are
-    kept between rounds: a round rewrites the pieces that hold a merged pair and
-    reports how their counts changed.  ``score`` is "count" (the default) or
-    "likelihood" (count over the product of both symbols' counts).
+    The order is the greedy one: best first, ties by symbols.  The distinct pieces
+    are counted first: up to ``local_symbols`` symbols they are merged on the driver.
+    Beyond, a round is a job: pair counts are kept between rounds, a round rewrites
+    the pieces that hold a merged pair and reports how their counts changed.  Both
+    ways give the same merges.  ``score`` is "count" (the default) or "likelihood"
+    (count over the product of both symbols' counts).
     """
     lowered = family == "bert-base-uncased"
     family = family_of(family)
@@ -252,13 +274,17 @@ def train_tokenizer(
     n_special = specials.count()
     n_alphabet = alphabet.count()
     room = vocab_size - n_special - n_alphabet
-    table = _PairTable(likelihood, min_frequency)
-    table.add(_changes(words, _entries(F.col("symbols"), 1, likelihood)) if room > 0 else [])
     merge = _merged if wordpiece else (lambda left, right: left + right)
     merges: list[tuple[int, str, str, str]] = []
+    n_symbols = words.agg(F.sum(F.size(symbol_array("symbols")) + 1)).first()[0] or 0
+    local = room > 0 and n_symbols <= local_symbols
+    if local:
+        merges = FlatPieces(_symbol_rows(words), likelihood, min_frequency).train(room, merge)
+    table = _PairTable(likelihood, min_frequency)
+    table.add(_changes(words, _entries(F.col("symbols"), 1, likelihood)) if room > 0 and not local else [])
     seen: set[str] = set()  # symbols made so far: two merges may build the same one
     rounds = 0
-    while room > len(seen):
+    while not local and room > len(seen):
         best = table.best(room - len(seen), lambda left, right: merge(left, right) in seen)
         if not best:
             break
@@ -282,7 +308,8 @@ def train_tokenizer(
         made.select(F.col("merged").alias("token"), (F.col("pos") + n_special + n_alphabet).alias("id"))
     )
     vocab = vocab.groupBy("token").agg(F.min("id").alias("id"))
-    return Subwords(family, vocab, merge_rows, words.select("piece", "frequency", symbol_array("symbols").alias("tokens")))
+    tokens = _replayed(merges)("symbols") if local else symbol_array("symbols")
+    return Subwords(family, vocab, merge_rows, words.select("piece", "frequency", tokens.alias("tokens")))
 
 
 # --- encoding --------------------------------------------------------------------------------
