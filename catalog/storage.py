@@ -220,6 +220,9 @@ def _(spark, sf):
 
 
 # --- grid of subword vocabularies -----------------------------------------------------------
+FAMILIES, GRID_SIZES = ("BPE", "WordPiece"), (30_000, 32_000)
+
+
 @query("tokenizer_experiment")
 def _(spark, sf):
     docs = documents(spark, sf, "text")
@@ -227,4 +230,4 @@ def _(spark, sf):
         "word", F.array(F.substring("word", 1, 3), F.expr("substring(word, 4)")).alias("parts")
     )
     tasks = documents(spark, sf, F.col("lang").alias("task"), "text")
-    return tokenizer_experiment(docs, docs, parts, ["BPE"], [230, 240], tasks)
+    return tokenizer_experiment(docs, docs, parts, FAMILIES, GRID_SIZES, tasks)

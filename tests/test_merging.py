@@ -39,3 +39,13 @@ def test_queries_train_far_beyond_the_alphabet(spark):
     from __spark_entry__ import queries
 
     assert queries()["train_bpe"](spark, SF).count() > 5_000
+
+
+def test_experiment_query_has_both_families_at_full_size(monkeypatch, spark):
+    from catalog import QUERIES, storage
+
+    seen = []
+    monkeypatch.setattr(storage, "tokenizer_experiment", lambda *args: seen.append(args))
+    monkeypatch.setattr(storage, "documents", lambda *args: spark.createDataFrame([("a b",)], "text string"))
+    QUERIES["tokenizer_experiment"](spark, SF)
+    assert {"BPE", "WordPiece"} <= set(seen[0][3]) and min(seen[0][4]) >= 30_000
