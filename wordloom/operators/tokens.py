@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from wordloom.functions import text as tx
 from wordloom.functions.arrays import attention_mask, fit_array
 from wordloom.functions.keys import KEY_BITS, hash_key
+from wordloom.operators import rounds
 from wordloom.operators.merging import FlatPieces, replayer
 from wordloom.operators.ordering import global_position
 from wordloom.session import checkpointed, local_table
@@ -42,7 +43,7 @@ FAMILY_OF = {
 IGNORED_LABEL = -100
 # -------------------------------------------------------------------------------------------
 SEP = "\u0001"  # between the symbols of a piece
-LOCAL_SYMBOLS = 40_000_000  # pieces of so many symbols together are merged on the driver
+LOCAL_SYMBOLS = 4_000_000  # pieces of so many symbols together (16 MB) are merged on the driver
 
 
 @dataclass(frozen=True)
@@ -233,6 +234,10 @@ def _symbol_rows(words: DataFrame):
             yield [s for s in symbols.split(SEP) if s], n
 
 
+def _split_symbols(symbols: str) -> list[str]:
+    return [s for s in symbols.split(SEP) if s]
+
+
 def _replayed(merges: list[tuple[int, str, str, str]]):
     """Column function: start symbols of a piece to its tokens after ``merges``."""
     replay = replayer(merges)
@@ -252,10 +257,10 @@ def train_tokenizer(
 
     The order is the greedy one: best first, ties by symbols.  The distinct pieces
     are counted first: up to ``local_symbols`` symbols they are merged on the driver.
-    Beyond, a round is a job: pair counts are kept between rounds, a round rewrites
-    the pieces that hold a merged pair and reports how their counts changed.  Both
-    ways give the same merges.  ``score`` is "count" (the default) or "likelihood"
-    (count over the product of both symbols' counts).
+    Beyond, they stay distributed and the driver sees the regions around the best
+    pairs (``rounds``).  ``score`` is "count" (the default) or "likelihood" (count over
+    the product of both symbols' counts), whose order no bound makes certain: then a
+    round of one merge is a job.  All ways give the same merges.
     """
     lowered = family == "bert-base-uncased"
     family = family_of(family)
@@ -278,13 +283,19 @@ def train_tokenizer(
     merges: list[tuple[int, str, str, str]] = []
     n_symbols = words.agg(F.sum(F.size(symbol_array("symbols")) + 1)).first()[0] or 0
     local = room > 0 and n_symbols <= local_symbols
+    spread = room > 0 and not local and not likelihood
     if local:
         merges = FlatPieces(_symbol_rows(words), likelihood, min_frequency).train(room, merge)
+    elif spread:
+        names = [r["token"] for r in alphabet.orderBy("pos").collect()]
+        pieces = rounds.numbered(words, _split_symbols, {s: k for k, s in enumerate(names)})
+        pieces, merges = rounds.train(pieces, names, room, merge, min_frequency)
+    job_a_merge = room > 0 and not local and not spread
     table = _PairTable(likelihood, min_frequency)
-    table.add(_changes(words, _entries(F.col("symbols"), 1, likelihood)) if room > 0 and not local else [])
+    table.add(_changes(words, _entries(F.col("symbols"), 1, likelihood)) if job_a_merge else [])
     seen: set[str] = set()  # symbols made so far: two merges may build the same one
-    rounds = 0
-    while not local and room > len(seen):
+    done = 0
+    while job_a_merge and room > len(seen):
         best = table.best(room - len(seen), lambda left, right: merge(left, right) in seen)
         if not best:
             break
@@ -298,8 +309,8 @@ def train_tokenizer(
         entries = F.concat(_entries(F.col("symbols"), -1, likelihood), _entries(new, 1, likelihood))
         table.add(_changes(words.where(held), entries))
         words = words.withColumn("symbols", F.when(held, new).otherwise(F.col("symbols")))
-        rounds += 1
-        if rounds % cut_every == 0:
+        done += 1
+        if done % cut_every == 0:
             words = checkpointed(words)
     merge_rows = local_table(spark, merges, "rank bigint, left string, right string, merged string")
     made = merge_rows.groupBy("merged").agg(F.min("rank").alias("rank"))
@@ -308,6 +319,8 @@ def train_tokenizer(
         made.select(F.col("merged").alias("token"), (F.col("pos") + n_special + n_alphabet).alias("id"))
     )
     vocab = vocab.groupBy("token").agg(F.min("id").alias("id"))
+    if spread:
+        return Subwords(family, vocab, merge_rows, rounds.named(pieces, names))
     tokens = _replayed(merges)("symbols") if local else symbol_array("symbols")
     return Subwords(family, vocab, merge_rows, words.select("piece", "frequency", tokens.alias("tokens")))
 
