@@ -8,6 +8,8 @@ from catalog.common import VOCAB, documents, hkey, query, rounded, table, tok, v
 from catalog.evaluation import IDS, _joined, token_ids, turn_pairs
 from wordloom.functions import arrays as ar, text as tx
 from wordloom.operators import metrics as me, tokens as tk, vocab as vo
+from wordloom.session import scratch_dir
+from wordloom.sources import models
 
 _PRE = r"regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+')"
 PIECES = f"pieces AS (SELECT piece, count(*) AS frequency FROM (SELECT unnest({_PRE}) AS piece FROM documents) GROUP BY piece)"
@@ -110,26 +112,66 @@ def _(spark, sf):
     return _train(spark, sf, "BPE").vocab.select("token", "id")
 
 
-@query("special_tokens_small", _training_sql("BPE") + """
+def _special_sql() -> str:
+    return _training_sql("BPE") + """
 SELECT token, min(id) AS id FROM (
   SELECT unnest(['<s>', '</s>', '<mask>', '<pad>', '<unk>', '<cls>']) AS token, unnest(range(0, 6)) AS id UNION ALL
   SELECT '<extra_id_' || i || '>', i + 6 FROM range(0, 100) t(i) UNION ALL
   SELECT x, row_number() OVER (ORDER BY x) + 105 FROM (SELECT DISTINCT unnest(c) AS x FROM s0) UNION ALL
   SELECT merged, 106 + (SELECT count(DISTINCT x) FROM (SELECT unnest(c) AS x FROM s0)) + row_number() OVER (ORDER BY rank) - 1
-  FROM (SELECT merged, min(rank) AS rank FROM merges GROUP BY merged)) GROUP BY token""")
+  FROM (SELECT merged, min(rank) AS rank FROM merges GROUP BY merged)) GROUP BY token"""
+
+
+@query("special_tokens_small", _special_sql())
 def _(spark, sf):
     return _train(spark, sf, "BPE", size=SIZES["BPE"]).vocab.select("token", "id")
 
 
+# --- trained once, saved, read again -----------------------------------------------------
+_SAVED: dict[tuple, str] = {}
+
+
+def trained(spark, sf, family, size=VOCAB_ENTRIES):
+    """The vocabulary of these tables, read from where it was saved; the first use in a session trains and saves it."""
+    key = (spark.sparkContext.applicationId, sf, family, size)
+    if key not in _SAVED:
+        path = scratch_dir(spark, "subword-models")
+        models.write_subwords(_train(spark, sf, family, size=size), path)
+        _SAVED[key] = path
+    return models.read_subwords(spark, _SAVED[key])
+
+
+@query("saved_vocabulary_small", _special_sql())
+def _(spark, sf):
+    return trained(spark, sf, "BPE", SIZES["BPE"]).vocab.select("token", "id")
+
+
+@query("saved_merges_small", _training_sql("WordPiece") + "SELECT * FROM merges")
+def _(spark, sf):
+    return trained(spark, sf, "WordPiece", SIZES["WordPiece"]).merges
+
+
+@query("retrain_like_unigram")
+def _(spark, sf):
+    """Unigram vocabulary: token, id, score."""
+    return trained(spark, sf, "t5-base").vocab.select("token", "id", "score")
+
+
+@query("encode_unigram")
+def _(spark, sf):
+    docs = documents(spark, sf, "doc_id", "text")
+    return _joined(tk.encode_text(docs, trained(spark, sf, "t5-base")), "input_ids", "attention_mask").drop("text")
+
+
 @query("encode_text")
 def _(spark, sf):
     docs = documents(spark, sf, "doc_id", "text")
-    return _joined(tk.encode_text(docs, _train(spark, sf, "BPE")), "input_ids", "attention_mask").drop("text")
+    return _joined(tk.encode_text(docs, trained(spark, sf, "BPE")), "input_ids", "attention_mask").drop("text")
 
 
 @query("encode_pair")
 def _(spark, sf):
-    out = tk.encode_pair(turn_pairs(spark, sf), _train(spark, sf, "WordPiece"), "s1", "s2")
+    out = tk.encode_pair(turn_pairs(spark, sf), trained(spark, sf, "WordPiece"), "s1", "s2")
     return _joined(out, "input_ids", "attention_mask").drop("s1", "s2")
 
 
@@ -177,6 +219,42 @@ def _(spark, sf):
     return rounded(me.position_accuracy(tk.mask_tokens(rows, ["doc_id"]), "input_ids", "gold"), "accuracy", digits=9)
 
 
+# The same operators on the ids of a trained vocabulary; tests hold them against brute force.
+def _encoded(spark, sf):
+    docs = documents(spark, sf, "doc_id", "text")
+    return tk.encode_text(docs, trained(spark, sf, "BPE")).select("doc_id", "input_ids")
+
+
+@query("mask_tokens_trained")
+def _(spark, sf):
+    return _joined(tk.mask_tokens(_encoded(spark, sf), ["doc_id"]), "input_ids", "labels")
+
+
+@query("mask_tokens_bert_trained")
+def _(spark, sf):
+    return _joined(tk.mask_tokens_bert(_encoded(spark, sf), ["doc_id"], VOCAB_ENTRIES), "input_ids", "labels")
+
+
+@query("mask_check_trained")
+def _(spark, sf):
+    rows = tk.mask_tokens(_encoded(spark, sf), ["doc_id"], pad_label=3)
+    return tk.mask_check(rows).select("doc_id", "n_masked", "n_predicted", "differs")
+
+
+@query("tokenizer_split_ratio_trained")
+def _(spark, sf):
+    docs = documents(spark, sf, "text")
+    words = docs.select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    out = tk.tokenizer_split_ratio(docs, tk.encode_words(words, trained(spark, sf, "BPE")))
+    return rounded(out, "sentence_length", "sentence_split_ratio", "word_split_ratio")
+
+
+@query("morph_score_trained")
+def _(spark, sf):
+    _, parts = _morph_tables(spark, sf)
+    return rounded(tk.morph_score(tk.encode_words(parts, trained(spark, sf, "WordPiece")), parts), "morph_score")
+
+
 # --- scores -----------------------------------------------------------------------------------
 def _thirds(words):
     """A fixed encoding: pieces of three characters."""

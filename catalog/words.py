@@ -228,13 +228,12 @@ def _(spark, sf):
 
 
 def _ranked_ages(spark, sf):
-    english = documents(spark, sf, "lang", "text").where("lang = 'en'")
-    ranked = vo.word_rank(vo.word_frequency(english))
+    ranked = vo.word_rank(vo.word_frequency(documents(spark, sf, "text")))
     return vo.word_rank_lookup(ages(spark, sf), ranked).select("word", "age", "word_rank")
 
 
 _RANKED_AGES = (
-    f"{AGES}, {FREQ.replace('FROM documents', 'FROM documents WHERE lang = ' + chr(39) + 'en' + chr(39))}, "
+    f"{AGES}, {FREQ}, "
     "ranked AS (SELECT word, row_number() OVER (ORDER BY frequency DESC, word) - 1 AS word_rank FROM freq), "
     "ra AS (SELECT a.word, age, word_rank FROM ages a LEFT JOIN ranked USING (word))"
 )

@@ -228,3 +228,12 @@ def test_runs(spark):
     assert sorted(map(tuple, ru.upsert_run_map(old, new).collect())) == [("a", 1), ("b", 9), ("c", 3)]
     labels = ru.bucket_labels(spark.createDataFrame([(2_500_000,), (7_600_000,)], "v bigint"), "v").orderBy("band").collect()
     assert labels[3]["label"] == "6 < Num. par. <= 8 Mil." and labels[0]["label"].startswith("0 < ")
+
+
+def test_windows_and_chunks_leave_out_null_ranks(spark):
+    rows = [(f"w{k:02d}", float(k // 2), None if k % 3 == 0 else k) for k in range(20)]
+    df = spark.createDataFrame(rows, "word string, age double, word_rank bigint")
+    got = vo.age_windows(df, step=4)
+    assert {r["word"] for r in got.collect()} == {w for w, a, k in rows if k is not None and a <= 8}
+    chunks = {r["chunk_no"]: r["n_ranked"] for r in vo.vocab_chunks(df, size=5, chunks=3).collect()}
+    assert chunks == {c: sum(rows[k][2] is not None for k in range(5 * c, 5 * c + 5)) for c in range(3)}

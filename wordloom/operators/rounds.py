@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wordloom.operators.merging import FlatPieces
-from wordloom.session import scratch_dir
+from wordloom.session import scratch_dir, spread
 
 HOT = 300_000          # pairs that the driver holds
 REGIONS = 150_000      # regions that a round may send to it
@@ -345,7 +345,7 @@ def train(pieces: DataFrame, names: list[str], room: int, merge: Callable[[str,
         return symbol
 
     seen: set[int] = set()
-    rewrite()
+    stored = spread(stored)
     table.read(_counts(stored, []), least)
     many, context = 16, 1
     while room > len(seen):

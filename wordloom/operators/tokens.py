@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from wordloom.functions import text as tx
 from wordloom.functions.arrays import attention_mask, fit_array
 from wordloom.functions.keys import KEY_BITS, hash_key
-from wordloom.operators import rounds
+from wordloom.operators import rounds, unigram
 from wordloom.operators.merging import FlatPieces, replayer
 from wordloom.operators.ordering import global_position
 from wordloom.session import checkpointed, local_table
@@ -37,9 +37,11 @@ FAMILY_OF = {
     "ByteLevelBPE": "bytes",
     "roberta-base": "bytes",
     "bert-base-uncased": "wordpiece",
-    "t5-base": "sentencepiece",
-    "albert-base-v2": "sentencepiece",
+    "Unigram": "unigram",
+    "t5-base": "unigram",
+    "albert-base-v2": "unigram",
 }
+LOWERED = ("bert-base-uncased", "albert-base-v2")
 IGNORED_LABEL = -100
 # -------------------------------------------------------------------------------------------
 SEP = "\u0001"  # between the symbols of a piece
@@ -51,8 +53,8 @@ class Subwords:
     """A trained subword vocabulary."""
 
     family: str
-    vocab: DataFrame  # token, id
-    merges: DataFrame  # rank, left, right, merged
+    vocab: DataFrame  # token, id, and for the unigram family score
+    merges: DataFrame  # rank, left, right, merged; none in the unigram family
     words: DataFrame  # piece, frequency, tokens
 
 
@@ -72,7 +74,7 @@ def text_pieces(text: Column | str, family: str) -> Column:
     c = F.replace(F.col(text) if isinstance(text, str) else text, F.lit(SEP), F.lit("�"))
     if family == "bytes":
         return F.regexp_extract_all(c, F.lit(BYTE_PIECES), F.lit(0))
-    if family == "sentencepiece":
+    if family in ("sentencepiece", "unigram"):
         words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
         return F.transform(words, lambda w: F.concat(F.lit(BOUNDARY), w))
     return tx.pre_tokens(c)
@@ -260,15 +262,18 @@ def train_tokenizer(
     Beyond, they stay distributed and the driver sees the regions around the best
     pairs (``rounds``).  ``score`` is "count" (the default) or "likelihood" (count over
     the product of both symbols' counts), whose order no bound makes certain: then a
-    round of one merge is a job.  All ways give the same merges.
+    round of one merge is a job.  All ways give the same merges.  The unigram family has
+    no merges; it is learned by ``unigram``.
     """
-    lowered = family == "bert-base-uncased"
+    lowered = family in LOWERED
     family = family_of(family)
     wordpiece = family == "wordpiece"
     likelihood = score == "likelihood"
     spark = df.sparkSession
     if lowered:
         df = df.select(F.lower(text).alias(text))
+    if family == "unigram":
+        return _train_unigram(pretokenize(df, text, family), vocab_size)
     words = pretokenize(df, text, family).withColumn("symbols", start_symbols("piece", family))
     words = checkpointed(words)
     specials = special_tokens(spark)
@@ -325,6 +330,33 @@ def train_tokenizer(
     return Subwords(family, vocab, merge_rows, words.select("piece", "frequency", tokens.alias("tokens")))
 
 
+def _train_unigram(pieces: DataFrame, vocab_size: int) -> Subwords:
+    spark = pieces.sparkSession
+    pieces = checkpointed(pieces)
+    specials = special_tokens(spark)
+    first = specials.count()
+    scores = unigram.train(pieces, max(0, vocab_size - first))
+    order = sorted(scores, key=lambda t: (-scores[t], t))
+    learned = local_table(spark, [(t, first + k, scores[t]) for k, t in enumerate(order)], "token string, id bigint, score double")
+    vocab = learned.unionByName(specials, allowMissingColumns=True).groupBy("token").agg(F.min_by("score", "id").alias("score"), F.min("id").alias("id"))
+    model = Subwords("unigram", vocab, local_table(spark, [], "rank bigint, left string, right string, merged string"), pieces)
+    tokens = token_splitter(model)(F.array("piece"))
+    return Subwords("unigram", vocab, model.merges, pieces.select("piece", "frequency", tokens.alias("tokens")))
+
+
+def cut_to(model: Subwords, vocab_size: int) -> Subwords:
+    """The vocabulary that training to a smaller size gives: greedy merges are a prefix of
+    more greedy merges.  ``words`` are encoded anew.  Not for the unigram family."""
+    if model.family == "unigram":
+        raise ValueError("a smaller unigram vocabulary is trained anew")
+    vocab = model.vocab.where(F.col("id") < vocab_size)
+    made = model.merges.groupBy(F.col("merged").alias("token")).agg(F.min("rank").alias("rank"))
+    last = made.join(vocab, "token").agg(F.max("rank")).first()[0]
+    out = Subwords(model.family, vocab, model.merges.where(F.col("rank") <= (-1 if last is None else last)), model.words)
+    tokens = token_splitter(out)(F.array("piece"))
+    return Subwords(out.family, out.vocab, out.merges, model.words.select("piece", "frequency", tokens.alias("tokens")))
+
+
 # --- encoding --------------------------------------------------------------------------------
 def _splitter(family: str, ranks: dict, known: set):
     """Function from a piece to its tokens.  Small and self-contained, so that
@@ -368,12 +400,18 @@ def _splitter(family: str, ranks: dict, known: set):
                     heapq.heappush(heap, (ranks[parts[a], parts[b]], a, (parts[a], parts[b])))
         return [p if p in known else unk for p in parts if p is not None]
 
+    if family == "unigram":
+        unknown = unigram.penalty(ranks)
+        return lambda piece: [unk if t is None else t for t in unigram.best_cut(piece, ranks, unknown)[1]]
     return longest_first if family == "wordpiece" else by_merges
 
 
 def _tables(model: Subwords) -> tuple[dict, dict]:
-    """Merge ranks and token ids; both at most the vocabulary size."""
+    """Merge ranks (scores in the unigram family) and token ids; both at most the vocabulary size."""
     ranks: dict = {}
+    if model.family == "unigram":
+        rows = model.vocab.collect()
+        return {r["token"]: r["score"] for r in rows if r["score"] is not None}, {r["token"]: r["id"] for r in rows}
     for r in model.merges.orderBy("rank").collect():
         ranks.setdefault((r["left"], r["right"]), r["rank"])
     ids = {r["token"]: r["id"] for r in model.vocab.collect()}

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from wordloom.operators.tokens import (
-    Subwords, encode_words, morph_score, text_pieces, token_splitter, tokenizer_split_ratio, train_tokenizer, unk_rate,
+    Subwords, cut_to, encode_words, family_of, morph_score, text_pieces, token_splitter, tokenizer_split_ratio, train_tokenizer, unk_rate,
 )
 
 PRETRAINED = "pretrained"
@@ -35,11 +35,18 @@ def tokenizer_experiment(
     eval_sets: DataFrame | None = None, save=None,
 ) -> DataFrame:
     """Scores for every (family, size); ``save(name, model, scores)`` is called
-    after each, so that a long grid leaves its finished rows behind."""
+    after each, so that a long grid leaves its finished rows behind.  A family of merges is
+    trained once, to the largest size; the smaller vocabularies are cut from it."""
     out = None
     for family in families:
+        largest = train_tokenizer(corpus, "text", family, max(sizes))
         for size in sizes:
-            model = train_tokenizer(corpus, "text", family, size)
+            if size == max(sizes):
+                model = largest
+            elif family_of(family) == "unigram":
+                model = train_tokenizer(corpus, "text", family, size)
+            else:
+                model = cut_to(largest, size)
             row = score_tokenizer(family, str(size), model, sentences, parts, eval_sets)
             if save is not None:
                 save(f"{family}_{size}", model, row)

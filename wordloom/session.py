@@ -56,6 +56,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A checkpoint dealt out evenly over as many partitions as shuffles have: for work that
+    costs far more a row than the row's size, by which small partitions are merged."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(df.repartition(parts))
+
+
 def measured(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """A table known to be small, as a local relation with an exact size.
 
