@@ -9,7 +9,7 @@ from catalog.common import (
     tok, vocabulary, DICT,
 )
 from wordloom.functions import text as tx
-from wordloom.operators import curate as cu, pack as pk, sample as sa
+from wordloom.operators import curate as cu, pack as pk, sample as sa, sentences as se
 from wordloom.plans.corpora import constrained_corpus, unconstrained_corpus
 from wordloom.session import scratch_dir
 from wordloom.sources import readers as rd
@@ -128,6 +128,28 @@ def _(spark, sf):
     return as_bigint(cu.to_sentences(documents(spark, sf, "doc_id", "text")), "part_no")
 
 
+_TOKENS = r"""tok AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\s+'),
+  lambda w: regexp_replace(w, '^[^\p{L}\p{N}.]+|[^\p{L}\p{N}.]+$', '', 'g')), lambda w: w <> '') AS w FROM documents),
+occ AS (SELECT lower(regexp_replace(t, '\.+$', '')) AS bare, t LIKE '%.' AS dot FROM (SELECT unnest(w) AS t FROM tok)),
+cnt AS (SELECT CASE WHEN regexp_matches(bare, '^[0-9][0-9.,]*$') THEN '##' ELSE bare END AS type, count(*) AS n, count(*) FILTER (WHERE dot) AS n_period FROM occ GROUP BY 1),
+share AS (SELECT sum(n_period)::DOUBLE / sum(n)::DOUBLE AS p FROM cnt)"""
+
+
+@query("boundary_types", rf"""
+WITH {_TOKENS}, s AS (SELECT *, length(replace(type, '.', '')) AS k, n - n_period AS b FROM cnt, share)
+SELECT type, n, n_period, round(CASE WHEN n_period > 0 AND k > 0 AND regexp_matches(type, '\p{{L}}') THEN
+  2 * (n_period * ln(0.99) + b * ln(1 - 0.99) - n_period * ln(p) - b * ln(1 - p)) * exp(-k) * (length(type) - k + 1) * pow(k, -b) ELSE 0 END, 6) AS score FROM s""")
+def _(spark, sf):
+    return rounded(se.boundary_types(se.token_rows(documents(spark, sf, "text"))), "score")
+
+
+@query("trained_sentences")
+def _(spark, sf):
+    """Cut by abbreviations, collocations and starters that are learned from the same documents."""
+    docs = documents(spark, sf, "doc_id", "text")
+    return as_bigint(se.trained_sentences(docs, se.learn_boundaries(docs)), "part_no")
+
+
 @query("to_dot_sentences", _parts_sql("string_split(text, '.')"))
 def _(spark, sf):
     return as_bigint(cu.to_dot_sentences(documents(spark, sf, "doc_id", "text")), "part_no")
