@@ -133,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int =
     key = F.xxhash64(F.lit("toxicity"), "label_id")
     chosen = measured(known.select("label_id", "toxic", key.alias("order")).orderBy("order", "label_id").limit(sample), sample)
     narrow = docs.select(docs["doc_id"].cast("bigint").alias("label_id"), docs["text"].alias("text"))
-    rows = narrow.join(chosen, "label_id").groupBy("order", "label_id", "toxic").agg(F.min("text").alias("text"))
+    # at most ``sample`` rows of three numbers: texts of other documents are not shuffled
+    rows = narrow.join(F.broadcast(chosen), "label_id").groupBy("order", "label_id", "toxic").agg(F.min("text").alias("text"))
     rows = written(_features(rows.select("order", "toxic", "text"), bits), "toxicity-features")
     size = 1 << bits
 
