@@ -33,6 +33,17 @@ def set_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in taken], *[v.alias(k) for k, v in columns.items()])
 
 
+def carried(docs: DataFrame, needed: tuple[str, ...], sets: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on the columns it needs and, as one struct, all others: no name of theirs can
+    clash with names inside.  Returns the columns of ``docs`` that are not set, and ``sets``."""
+    own = {c.lower(): c for c in docs.columns}
+    others = [c for c in docs.columns if c.lower() not in needed]
+    rest = [F.struct(*[docs[f"`{c}`"] for c in others]).alias("rest_")] if others else []
+    out = work(docs.select(*[docs[f"`{own[n]}`"].alias(n) for n in needed], *rest))
+    kept = [c for c in docs.columns if c.lower() not in sets]
+    return out.select(*[(F.col(c.lower()) if c.lower() in needed else F.col("rest_").getField(c)).alias(c) for c in kept], *sets)
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

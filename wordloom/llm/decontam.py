@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wordloom.llm.common import let, lower_ascii, set_columns, table, written
+from wordloom.llm.common import carried, let, lower_ascii, set_columns, table, written
 from wordloom.llm.registry import query
 
 N = 13
@@ -112,8 +112,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int = M
 
     Every row of ``docs`` stays a row, with its other columns.  Null, empty and
     wordless texts have no words and are never contaminated; an empty benchmark
-    contaminates nothing; equal windows of several items count once.
+    contaminates nothing; equal windows of several items count once.  Other columns may have any name.
     """
+    return carried(docs, ("text",), ("n_words", "n_hit", "spans", "contaminated"), lambda rows: _scan(rows, benchmark, n, max_windows))
+
+
+def _scan(docs: DataFrame, benchmark: DataFrame, n: int, max_windows: int) -> DataFrame:
     wins = windows(benchmark, n)
     some = wins.select("n", "window", "probe").distinct().limit(max_windows + 1).collect()  # bounded
     if len(some) <= max_windows:
@@ -138,7 +142,9 @@ def items_of(scanned: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     rows = scanned.select("doc_id", "n_words", "n_hit", "contaminated", F.array_distinct(F.col("spans.window")).alias("wins"))
     once = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
     items = windows(benchmark, n).where("item_id is not null").select("item_id", "window").distinct()
-    each = once.withColumn("window", F.explode_outer("wins"))
+    # rows without a window get a key of their own that no window has: null keys would meet in one task
+    own = F.concat(F.lit("\n"), F.xxhash64("doc_id", "n_words", "copies").cast("string"))
+    each = once.withColumn("window", F.explode(F.when(F.size("wins") > 0, F.col("wins")).otherwise(F.array(own))))
     named = each.join(items, "window", "left").groupBy(*keys, "copies").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     return named.withColumn("n_items", F.size("items").cast("bigint")).withColumn("_", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("_", "copies", "wins")
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wordloom.llm.common import set_columns, table
+from wordloom.llm.common import carried, table
 from wordloom.llm.registry import query
 
 # Fixed values of the contract: phrase, label.
@@ -110,10 +110,15 @@ def scan_licenses(docs: DataFrame, phrases: tuple = PHRASES, notices: tuple = NO
 
     Places are word ranges in order; ``base`` ones are exact phrases, also where
     they overlap, the others notices with at most one edit per CHARS_PER_EDIT
-    characters.  A null, empty or wordless text has no words and no places.
+    characters.  A null, empty or wordless text has no words and no places; texts of any
+    length are read whole.  Of places with the same label and range the one with fewer
+    edits comes first.  Other columns may have any name.
     """
-    out = docs.withColumn("_found", licenses(docs["text"], phrases, notices))
-    return set_columns(out, {"n_words": F.col("_found.n_words"), "places": F.col("_found.places")}).drop("_found")
+    def work(rows: DataFrame) -> DataFrame:
+        found = rows.withColumn("found_", licenses(rows["text"], phrases, notices))
+        return found.withColumns({"n_words": F.col("found_.n_words"), "places": F.col("found_.places")})
+
+    return carried(docs, ("text",), ("n_words", "places"), work)
 
 
 @query("op8_license_scan")

@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wordloom.llm.common import set_columns, table, written
+from wordloom.llm.common import carried, set_columns, table, written
 from wordloom.llm.registry import query
 from wordloom.session import scratch_dir
 
@@ -130,8 +130,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATC
     runs in batches of ascending doc_id, so the smallest holder of a line keeps
     it.  A null or empty text is one empty line and becomes an empty text.  A
     null doc_id comes after all others.  Rows of one doc_id are one document:
-    they keep the same lines, and every row stays a row.
+    they keep the same lines, and every row stays a row.  Other columns may have any name.
     """
+    return carried(docs, ("doc_id", "text"), ("text", "n_lines", "n_dropped"), lambda rows: _dedup(rows, min_chars, batches, fanout))
+
+
+def _dedup(docs: DataFrame, min_chars: int, batches: int, fanout: int) -> DataFrame:
     spark = docs.sparkSession
     last = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
     shares = [k / batches for k in range(1, batches)]

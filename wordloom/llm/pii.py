@@ -279,13 +279,15 @@ def find_personal_data(docs: DataFrame, sure: float = SURE, keep: list[str] | No
     no spans; rows stay, also repeated ones; a column named base or added is
     replaced.  Without any pattern span nothing is added: there is nothing to learn from.
     """
-    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("base", "added", "tokens_")]
-    found = docs.select(*[docs[f"`{c}`"] for c in names], analysed(docs["text"]).alias("found_"))
-    found = written(found.select(*[f"`{c}`" for c in names], F.col("found_.base").alias("base"), F.col("found_.tokens").alias("tokens_")), "pii-tokens")
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("base", "added")]
+    rest = [F.struct(*[docs[f"`{c}`"] for c in names]).alias("rest_")] if names else []  # any names
+    found = docs.select(*rest, analysed(docs["text"]).alias("found_"))
+    found = written(found.select(*found.columns[:-1], F.col("found_.base").alias("base"), F.col("found_.tokens").alias("tokens_")), "pii-tokens")
     counts = found.where("size(tokens_) > 0").select("tokens_").mapInArrow(_count, "what string, a bigint, b bigint, n bigint")
     # one row for each combination of features and label, a number that does not grow with the documents
     rows = counts.groupBy("what", "a", "b").agg(F.sum("n").alias("n")).orderBy("what", "a", "b").collect()
-    return found.withColumn("added", _consistent(Weights([tuple(r) for r in rows]), sure)).drop("tokens_")
+    out = found.withColumn("added", _consistent(Weights([tuple(r) for r in rows]), sure))
+    return out.select(*[F.col("rest_").getField(c).alias(c) for c in names], "base", "added")
 
 
 def redact(text, spans: list[tuple[int, int, int]]) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wordloom.llm.common import lower_ascii, set_columns, table, written
+from wordloom.llm.common import carried, lower_ascii, set_columns, table, written
 from wordloom.llm.graph import components
 from wordloom.llm.registry import query
 
@@ -80,8 +80,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None =
     alias of, over any chain of canonical links, refreshes and rows of
     ``redirects`` (src, dst), is under a block rule; an explicit allow of the
     page itself comes first.  All others are allowed.  Urls are one node if they
-    differ in scheme or fragment only; pages without a host are allowed.
+    differ in scheme or fragment only; pages without a host are allowed.  Other columns may have any name.
     """
+    return carried(pages, ("url", "html"), ("host", "path", "rule", "verdict"), lambda rows: _judge(rows, rules, redirects))
+
+
+def _judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None) -> DataFrame:
     host, path = host_and_path(pages["url"])
     links = alias_links(pages)
     if redirects is not None:
