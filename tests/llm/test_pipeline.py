@@ -16,7 +16,8 @@ def test_run_matches_brute_force(spark):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(bpe.default_path())
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = {r["doc_id"] for r in quality.judge(docs).where("kept").collect()}
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    kept = {r["doc_id"] for r in quality.judge(docs, labels=labels).where("kept").collect()}
     texts = sorted((r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in kept)
     texts = sorted((d, t[0]) for d, t in test_linededup.brute(texts).items())
     label = test_simhash.brute_classes([test_simhash.brute_print(t) for _, t in texts])
