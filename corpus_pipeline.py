@@ -14,7 +14,7 @@ from wordloom.llm.common import table, written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
     """Documents that the base rule and the outlier estimate keep."""
-    return quality.keep(docs)
+    return quality.keep(docs, labels=table(spark, sf, "labels", "doc_id", "quality"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
