@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import KEPT, VOCAB, as_bigint, documents, hkey, query, rounded, table, vocabulary, SPANS
+from catalog.common import KEPT, ORACLE, VOCAB, as_bigint, documents, hkey, query, rounded, table, vocabulary, SPANS
 from catalog.evaluation import turn_pairs
 from wordloom.functions import text as tx
 from wordloom.operators import curate as cu, sample as sa
 from wordloom.plans.tokenizer_experiment import tokenizer_experiment
 from wordloom.session import scratch_dir
-from wordloom.sources import manifest as mf, readers as rd, writers as wr
+from wordloom.sources import arrowfolders as af, intervals as iv, manifest as mf, readers as rd, writers as wr
 from wordloom.streaming import corpus as st
 
 _DOCS = "SELECT doc_id, source, text FROM documents"
@@ -162,6 +162,46 @@ def _(spark, sf):
     return mf.advance(manifest, mf.pending(rows, manifest))
 
 
+def _turns(spark, sf):
+    """Numbered rows of files: three writers take turns of fifty rows."""
+    rows = documents(spark, sf, F.col("source").alias("file"), F.col("doc_id").alias("row_no"))
+    return rows, F.floor(F.col("row_no") / 50) % 3
+
+
+def _committed(spark, sf, *writers):
+    """A resume table after ``writers`` have finished, in this order."""
+    path = scratch_dir(spark, "intervals")
+    rows, writer = _turns(spark, sf)
+    for w in writers:
+        iv.commit(iv.covered(rows.where(writer == w)), path)
+    return iv.read(spark, path)
+
+
+_TURN = "doc_id // 50 % 3"
+
+
+@query("resume_intervals", f"SELECT source AS file, doc_id AS row_no FROM documents WHERE NOT coalesce({_TURN} <> 1 AND source IS NOT NULL, false)")
+def _(spark, sf):
+    """Rows left after two of three writers finished, the last one first."""
+    return iv.pending(_turns(spark, sf)[0], _committed(spark, sf, 2, 0))
+
+
+@query("finished_intervals", f"""
+SELECT file, min(doc_id) AS start_row, max(doc_id) + 1 AS end_row FROM (
+SELECT source AS file, doc_id, doc_id - row_number() OVER (PARTITION BY source ORDER BY doc_id) AS run
+FROM (SELECT DISTINCT source, doc_id FROM documents WHERE {_TURN} <> 1 AND source IS NOT NULL)) GROUP BY file, run""")
+def _(spark, sf):
+    return _committed(spark, sf, 2, 0)
+
+
+@query("arrow_splits", ORACLE["write_splits"])
+def _(spark, sf):
+    """The splits of ``write_splits`` as folders of Arrow files, written and read."""
+    path = scratch_dir(spark, "arrow")
+    af.write_arrow_splits(sa.split_tail(documents(spark, sf, "doc_id", "text"), ["doc_id"], 90, 60, seed=4), path)
+    return af.read_arrow_splits(spark, path)
+
+
 # --- incremental -------------------------------------------------------------------------
 def _stream(spark, sf):
     """The documents as a growing folder of several files."""
