@@ -58,8 +58,12 @@ def test_arrow_folders_round_trip(spark, tmp_path):
     af.write_folder(docs.drop("split"), f"{path}/train", mode="append")
     assert af.read_folder(spark, f"{path}/train").count() == 160 + 200
     assert af.read_arrow_splits(spark, f"{path}/test").where("split = 'train'").count() == 40
-    with pytest.raises(ValueError):
-        af.write_arrow_splits(docs, path, splits=("train",))
+    for bad in (docs, docs.withColumn("split", F.lit(None).cast("string"))):
+        with pytest.raises(Exception, match="no such split"):
+            af.write_arrow_splits(bad, path, splits=("train",))
+    assert af.read_arrow_splits(spark, path).count() == 360 + 40
+    af.write_arrow_splits(docs.limit(0), path)
+    assert af.read_arrow_splits(spark, path).count() == 0 and len(os.listdir(f"{path}/train")) == 1
 
 
 def test_failed_task_leaves_nothing_that_is_read(spark, tmp_path):

@@ -14,9 +14,11 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -52,46 +54,65 @@ def _save(path: str, name: str, value: dict) -> None:
     system.move(draft, f"{inner}/{name}")
 
 
+def _delete(path: str, names: list[str]) -> None:
+    system, inner = _open(path)
+    for name in names:
+        system.delete_file(f"{inner}/{name}")
+
+
 @dataclass
 class _Written(WriterCommitMessage):
-    file: str | None
+    files: list[tuple[str | None, str]]  # split, name
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, schema: StructType, overwrite: bool):
-        self.path, self.schema, self.overwrite = path, schema, overwrite
+    """One folder; or, with ``splits``, one for each value of the column ``split``, in one pass."""
+
+    def __init__(self, path: str, schema: StructType, overwrite: bool, splits: list[str] | None):
+        self.path, self.overwrite, self.splits = path, overwrite, splits
+        self.schema = StructType([f for f in schema if not splits or f.name != "split"])
+
+    def _folder(self, split: str | None) -> str:
+        return self.path if split is None else f"{self.path}/{split}"
+
+    def _parts(self, batch: pa.RecordBatch) -> Iterator[tuple[str | None, pa.Table]]:
+        rows, types = pa.Table.from_batches([batch]), to_arrow_schema(self.schema)
+        for split in self.splits or [None]:
+            part = rows if split is None else rows.filter(pc.equal(rows["split"], split))
+            if part.num_rows:
+                yield split, part.select(types.names).cast(types)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        system, inner = _open(self.path)
-        types, sink, file = to_arrow_schema(self.schema), None, f"data-{uuid.uuid4().hex}.arrow"
-        try:
+        open_files, names = {}, []
+        with ExitStack() as stack:
             for batch in iterator:
-                if batch.num_rows and sink is None:
-                    system.create_dir(inner)
-                    out = system.open_output_stream(f"{inner}/{file}")
-                    sink = pa.ipc.new_stream(out, types)
-                if batch.num_rows:
-                    sink.write_table(pa.Table.from_batches([batch]).cast(types))
-        finally:
-            if sink:
-                sink.close()
-                out.close()
-        return _Written(file if sink else None)
+                for split, part in self._parts(batch):
+                    if split not in open_files:
+                        system, inner = _open(self._folder(split))
+                        system.create_dir(inner)
+                        names.append((split, f"data-{uuid.uuid4().hex}.arrow"))
+                        out = stack.enter_context(system.open_output_stream(f"{inner}/{names[-1][1]}"))
+                        open_files[split] = stack.enter_context(pa.ipc.new_stream(out, part.schema))
+                    open_files[split].write_table(part)
+        return _Written(names)
 
     def commit(self, messages: list[_Written | None]) -> None:
-        old = (_load(self.path, STATE) or {}).get("_data_files", [])
-        new = [{"filename": m.file} for m in messages if m and m.file]
-        _save(self.path, STATE, {"_data_files": new if self.overwrite else old + new, "_schema": self.schema.json()})
-        if self.overwrite:  # only after the new list stands
-            system, inner = _open(self.path)
-            for f in old:
-                system.delete_file(f"{inner}/{f['filename']}")
+        old = {}
+        for split in self.splits or [None]:
+            folder = self._folder(split)
+            old[folder] = (_load(folder, STATE) or {}).get("_data_files", [])
+            new = [{"filename": name} for m in messages if m for of, name in m.files if of == split]
+            _save(folder, STATE, {"_data_files": new if self.overwrite else old[folder] + new, "_schema": self.schema.json()})
+        if self.splits:
+            _save(self.path, SPLITS, {"splits": self.splits})
+        if self.overwrite:  # only after the new lists stand
+            for folder, files in old.items():
+                _delete(folder, [f["filename"] for f in files])
 
     def abort(self, messages: list[_Written | None]) -> None:
-        system, inner = _open(self.path)
         for m in messages:
-            if m and m.file:
-                system.delete_file(f"{inner}/{m.file}")
+            for split, name in m.files if m else ():
+                _delete(self._folder(split), [name])
 
 
 class _Reader(DataSourceReader):
@@ -136,7 +157,8 @@ class ArrowFolder(DataSource):
         return _Reader(self.options["path"], schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"], schema, overwrite)
+        splits = self.options.get("splits")
+        return _Writer(self.options["path"], schema, overwrite, json.loads(splits) if splits else None)
 
 
 def write_folder(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -150,13 +172,13 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_arrow_splits(df: DataFrame, path: str, splits: Sequence[str] = ("train", "validation", "test")) -> None:
-    """One folder per split; the list of splits comes last.  Raises ValueError, before writing,
-    if a row is in none of ``splits``."""
-    if not df.where(~F.coalesce(F.col("split").isin(*splits), F.lit(False))).isEmpty():
-        raise ValueError(f"rows outside of the splits {list(splits)}")
-    for split in splits:
-        write_folder(df.where(F.col("split") == split).drop("split"), f"{path}/{split}")
-    _save(path, SPLITS, {"splits": list(splits)})
+    """One folder per split, in one pass; the list of splits comes last.  A row that is in none
+    of ``splits`` fails the write, and nothing of it is read."""
+    known = F.col("split").isin(*splits)
+    checked = F.when(known, F.col("split")).otherwise(F.raise_error(F.concat(F.lit("no such split: "), F.coalesce("split", F.lit("null")))))
+    df.sparkSession.dataSource.register(ArrowFolder)
+    rows = df.withColumn("split", checked)
+    rows.write.format(FORMAT).option("splits", json.dumps(list(splits))).mode("overwrite").save(path)
 
 
 def read_arrow_splits(spark: SparkSession, path: str) -> DataFrame:
