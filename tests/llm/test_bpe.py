@@ -48,3 +48,28 @@ def test_small_cache_forgets_nothing_needed(monkeypatch):
     library = tokenizers.Tokenizer.from_file(bpe.default_path())
     for t in ["one two three four", "two five", "six two seven eight nine", "one"]:
         assert own.encode([t])[0][0].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_every_code_point_as_in_the_library():
+    """Each code point between letters, also those newer than Python's tables."""
+    library = tokenizers.Tokenizer.from_file(bpe.default_path())
+    own = bpe.Speculative(bpe.default_path())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 100_000):
+        cases = [f"aB{chr(c)}Ce\u0301" for c in points[at : at + 100_000]]
+        want = library.encode_batch(cases, add_special_tokens=False)
+        got, _ = own.encode(cases)
+        wrong = [case for case, ids, w in zip(cases, got, want) if ids.tolist() != w.ids]
+        assert not wrong, (len(wrong), wrong[:5])
+
+
+def test_texts_with_newer_code_points():
+    library = tokenizers.Tokenizer.from_file(bpe.default_path())
+    own = bpe.Speculative(bpe.default_path())
+    rng = random.Random(3)
+    letters = "aBz '\u0301.9\u1c89\ua7cb\u0c5c\U00010940\U0001e5ee"
+    for t in ("".join(rng.choices(letters, k=40)) for _ in range(500)):
+        ids, decoded = own.encode([t])
+        want = library.encode(t, add_special_tokens=False).ids
+        assert ids[0].tolist() == want, t
+        assert decoded[0] == library.decode(want, skip_special_tokens=False)

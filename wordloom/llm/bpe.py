@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,6 +40,24 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=1)
+def _unassigned() -> re.Pattern:
+    """Finds code points that Python's tables do not know; newer tables may."""
+    known = [unicodedata.category(chr(c)) != "Cn" for c in range(sys.maxunicode + 1)]
+    starts = [c for c in range(len(known)) if not known[c] and (c == 0 or known[c - 1])]
+    ends = [c for c in range(len(known)) if not known[c] and (c + 1 == len(known) or known[c + 1])]
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends)) + "]")
+
+
+@lru_cache(maxsize=2)
+def _library_parts(pattern: str):
+    """Normaliser and splitter of the tokenizer library."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+    return normalizer, pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+
+
 class Speculative:
     """A byte-level BPE vocabulary with word ends, read from a tokenizer file."""
 
@@ -289,8 +309,17 @@ class Speculative:
             return [piece]
         if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
             return [piece[:-1], piece[-1]]
+        if not piece.isascii() and _unassigned().search(piece):
+            return self._newer_words(piece)
         return self.split.findall(piece)
 
+    def _newer_words(self, piece: str) -> list[str]:
+        """The words of a piece with code points newer than Python's tables: its letters,
+        case and composition come from the tokenizer library's own tables."""
+        normalizer, splitter = _library_parts(self.split.pattern)
+        norm = normalizer.normalize_str(piece)
+        return [norm[a:b] for _, (a, b) in splitter.pre_tokenize_str(norm)]
+
     def _learn(self, fresh: list[str]) -> None:
         """Encode pieces not seen lately, all at once.  A word that is a known piece needs nothing."""
         known = self.known
