@@ -48,7 +48,7 @@ def test_messages_match_enumeration():
     w.chain, w.skip = (lambda a: a + a.T)(rng.normal(size=w.chain.shape)), (lambda a: a + a.T)(rng.normal(size=w.skip.shape))
     features = np.array([3, 5, 9, 17])
     chain, skip = np.array([[0, 1], [1, 2]]), np.array([[1], [3]])
-    got = pii.posteriors(w, features, chain, skip, rounds=60)
+    got = pii.posteriors(w, features, chain, skip, tolerance=1e-9)
     x = (features[:, None] >> np.arange(pii.N_FEATURES) & 1).astype(float)
     node = np.log(pii._softmax(x @ w.w))
     want = np.zeros((4, pii.LABELS))
@@ -59,6 +59,50 @@ def test_messages_match_enumeration():
     assert np.allclose(got, want / want.sum(axis=1, keepdims=True), atol=1e-6)
 
 
+def _field():
+    w = pii.Weights([])
+    w.w = np.zeros_like(w.w)
+    w.w[1, 2] = 6.0  # feature 1 is clear evidence for a label, feature 2 says nothing
+    w.skip = np.clip(np.eye(pii.LABELS) * 6 - 3, -3, 3)
+    return w
+
+
+def test_evidence_reaches_far_occurrences():
+    """30 equal tokens in a row, one of them clear: the far end gets the exact share."""
+    w = _field()
+    n = 30
+    features = np.array([2] + [4] * (n - 1))
+    skip = np.stack([np.arange(n - 1), np.arange(1, n)])
+    got = pii.posteriors(w, features, np.zeros((2, 0), int), skip)
+    p = pii._softmax(np.array([w.w[1], w.w[2]]))
+    at, pass_on = p[0], np.exp(w.skip)
+    for k in range(1, n):  # exact sums along the row; the other tokens are even
+        at = at @ pass_on
+        at = at / at.sum()
+        if k < n - 1:
+            at = at * p[1]
+    assert np.allclose(got[-1], at, atol=1e-3)
+    assert got[-1, 2] > 0.5
+
+
+def test_texts_do_not_wait_or_change_each_other():
+    rng = np.random.default_rng(4)
+    w = pii.Weights([])
+    w.w = rng.normal(size=w.w.shape)
+    w.skip = w.skip + 0.5 * np.eye(pii.LABELS)
+    parts, features, chain, skip, rows = [], [], [], [], []
+    for text, n in enumerate((1, 3, 40, 2, 0, 12)):
+        f = rng.integers(1, 1 << 10, n)
+        c, s = np.stack([np.arange(n - 1), np.arange(1, n)]) if n > 1 else np.zeros((2, 0), int), np.zeros((2, 0), int)
+        if n > 4:
+            s = np.array([[0, 1], [n - 1, n - 2]])
+        parts.append(pii.posteriors(w, f, c, s))
+        at = sum(map(len, features))
+        features.append(f), chain.append(c + at), skip.append(s + at), rows.append(np.full(n, text))
+    got = pii.posteriors(w, *[np.concatenate(features)], np.concatenate(chain, axis=1), np.concatenate(skip, axis=1), np.concatenate(rows))
+    assert np.allclose(got, np.concatenate(parts), atol=1e-3)
+
+
 def test_a_like_token_is_added(spark):
     rng = np.random.default_rng(2)
 

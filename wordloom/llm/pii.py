@@ -21,7 +21,8 @@ from wordloom.llm.registry import query
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0 is "none"
-ROUNDS = 8               # of message passing
+TOLERANCE = 1e-4         # a text's messages are passed until none changes by more
+ROUNDS = 2000            # a text whose messages keep swinging is left there
 SURE = 0.9               # posterior from which an unmatched token becomes a span
 EPOCHS, RATE, RIDGE = 300, 0.5, 1e-3
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -218,30 +219,50 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def posteriors(weights: Weights, features: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Label posteriors of all tokens: all messages are renewed at once, half old, half new."""
+def _sums(node: np.ndarray, target: np.ndarray, message: np.ndarray) -> np.ndarray:
+    return node + np.stack([np.bincount(target, message[:, y], len(node)) for y in range(LABELS)], axis=1)
+
+
+def posteriors(
+    weights: Weights, features: np.ndarray, chain: np.ndarray, skip: np.ndarray, rows: np.ndarray | None = None,
+    tolerance: float = TOLERANCE, rounds: int = ROUNDS,
+) -> np.ndarray:
+    """Label posteriors of all tokens: all messages are renewed at once, half old, half new.
+
+    ``rows``: the text of each token.  A text is done when none of its messages changes by more
+    than ``tolerance``, however far they had to go; the others go on.  Messages on loops may
+    swing for ever: such a text keeps those of the last of ``rounds``.
+    """
     x = (features[:, None] >> np.arange(N_FEATURES) & 1).astype(float)
     node = np.log(_softmax(x @ weights.w) + 1e-12)
-    source = np.concatenate([chain[0], chain[1], skip[0], skip[1]]).astype(int)
-    target = np.concatenate([chain[1], chain[0], skip[1], skip[0]]).astype(int)
-    back = np.concatenate([np.arange(chain.shape[1]) + chain.shape[1], np.arange(chain.shape[1]),
-                           np.arange(skip.shape[1]) + 2 * chain.shape[1] + skip.shape[1], np.arange(skip.shape[1]) + 2 * chain.shape[1]]).astype(int)
-    is_skip = np.arange(len(source)) >= 2 * chain.shape[1]
-    message = np.zeros((len(source), LABELS))
-    for _ in range(rounds if len(source) else 0):
-        belief = node.copy()
-        np.add.at(belief, target, message)
-        out = belief[source] - message[back]
+    ends = np.concatenate([chain, skip], axis=1).astype(int)
+    n = ends.shape[1]
+    source, target = np.concatenate([ends[0], ends[1]]), np.concatenate([ends[1], ends[0]])
+    back = np.concatenate([np.arange(n) + n, np.arange(n)])
+    is_skip = np.tile(np.arange(n) >= chain.shape[1], 2)
+    text = (np.zeros(len(node), int) if rows is None else np.asarray(rows))[source]
+    final, live = np.zeros((2 * n, LABELS)), np.arange(2 * n)
+    message = final.copy()
+    for step in range(rounds):
+        if not len(live):
+            break
+        out = _sums(node, target, message)[source] - message[back]
         new = np.empty_like(message)
         for kind, pot in ((False, weights.chain), (True, weights.skip)):
             z = out[is_skip == kind][:, :, None] + pot[None]
             top = z.max(axis=1, keepdims=True)
             new[is_skip == kind] = np.log(np.exp(z - top).sum(axis=1)) + top[:, 0]
         new -= new.max(axis=1, keepdims=True)
+        moved = np.abs(new - message).max(axis=1) > tolerance
         message = (message + new) / 2
-    belief = node.copy()
-    np.add.at(belief, target, message)
-    return _softmax(belief)
+        if step % 4 == 3 or not moved.any():  # texts that are done leave, with all their edges
+            on = np.isin(text, np.unique(text[moved]))
+            final[live[~on]] = message[~on]
+            place = np.cumsum(on) - 1
+            source, target, is_skip, text, live, message = (a[on] for a in (source, target, is_skip, text, live, message))
+            back = place[back[on]]
+    final[live] = message
+    return _softmax(_sums(node, np.concatenate([ends[1], ends[0]]), final))
 
 
 def _consistent(weights: Weights, sure: float):
@@ -251,7 +272,7 @@ def _consistent(weights: Weights, sure: float):
     def run(lists: pa.Array) -> pa.Array:
         rows, t = _nodes(lists)
         chain, skip = edges(rows, t)
-        p = posteriors(weights, t["features"], chain, skip) if len(rows) else np.zeros((0, LABELS))
+        p = posteriors(weights, t["features"], chain, skip, rows) if len(rows) else np.zeros((0, LABELS))
         best = p.argmax(axis=1) if len(rows) else np.zeros(0, int)
         new = (best > 0) & (t["label"] == 0) & (p.max(axis=1, initial=0) >= sure)
         counts, spans = np.zeros(len(lists), np.int64), []
