@@ -8,7 +8,7 @@ from catalog.common import (
     AGES, KEPT, SPANS, SPAN_TOKENS, VOCAB, ages, as_bigint, dictionary, documents, hkey, prep, query, rounded, table,
     tok, vocabulary, DICT,
 )
-from wordloom.functions import text as tx
+from wordloom.functions import permute as pe, text as tx
 from wordloom.operators import curate as cu, pack as pk, sample as sa, sentences as se
 from wordloom.plans.corpora import constrained_corpus, unconstrained_corpus
 from wordloom.session import scratch_dir
@@ -460,3 +460,26 @@ FROM fold JOIN items USING (shard, i) GROUP BY shard, seq_no""")
 def _(spark, sf):
     """All rows in one shard: the order of the whole table, still parallel."""
     return pk.pack_sequences(_pack_rows(spark, sf), [], ["conv_id", "turn"])
+
+
+def _place_sql(seed) -> str:
+    """doc_id and place as the permutation gives them, written out round by round."""
+    def network(v: str) -> str:
+        left, right = f"({v} // m)", f"({v} % m)"
+        for factor, addend in pe.round_keys(seed):
+            left, right = right, f"xor({left}, (({right} * {factor} + {addend}) % {pe.PRIME}) % m)"
+        return f"{left} * m + {right}"
+
+    return f"""
+size AS (SELECT n, CAST(1 AS BIGINT) << greatest(1, (CASE WHEN n > 1 THEN length(bin(n - 1)) ELSE 0 END + 1) // 2) AS m FROM (SELECT count(*) AS n FROM documents)),
+walk AS (SELECT doc_id, n, m, {network('doc_id')} AS place FROM documents, size
+UNION ALL SELECT doc_id, n, m, {network('place')} FROM walk WHERE place >= n)"""
+
+
+@query("split_by_place", f"""
+WITH RECURSIVE {_place_sql(11)}
+SELECT doc_id, place, CASE WHEN place >= n - 60 THEN 'test' WHEN place >= n - 150 THEN 'validation' ELSE 'train' END AS split FROM walk WHERE place < n""")
+def _(spark, sf):
+    """Documents are numbered without gaps: their ids are positions."""
+    docs = documents(spark, sf, "doc_id")
+    return pe.split_by_place(docs, "doc_id", docs.count(), 90, 60, seed=11)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import query, rounded, table
+from catalog.common import frequencies, query, rounded, table
 from catalog.evaluation import LOG, eval_log
 from wordloom.functions import scaling as sc
-from wordloom.operators import metrics as me, runs as ru
+from wordloom.operators import curves as cv, metrics as me, runs as ru, vocab as vo
 
 
 def run_table(spark, sf):
@@ -154,3 +154,10 @@ SELECT round(regr_slope(ln(y), ln(x)), 6) AS exponent, round(exp(regr_intercept(
 def _(spark, sf):
     best = me.best_checkpoint(eval_log(spark, sf)).join(run_table(spark, sf), "run_name")
     return rounded(me.scaling_fit(best.select(_flops().alias("x"), "perplexity"), "x", "perplexity"), "exponent", "factor")
+
+
+@query("power_fit")
+def _(spark, sf):
+    """Frequency as a power of the rank with an offset, over all words (no SQL form: iterated)."""
+    ranked = vo.word_rank(frequencies(spark, sf))
+    return rounded(cv.power_fit(ranked.select((F.col("word_rank") + 1).alias("rank"), "frequency"), "rank", "frequency"), "factor", "exponent", "offset", digits=3)

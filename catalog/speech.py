@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import TRANSCRIPTS, as_bigint, documents, query, rounded, transcripts
+from catalog.common import TRANSCRIPTS, VOCAB, as_bigint, documents, query, rounded, transcripts, vocabulary
+from wordloom.functions import literals as li
 from wordloom.operators import grammar as gr
 
 
@@ -88,3 +89,13 @@ CAST(n_syllables AS BIGINT) AS n_syllables,
 round(206.835::DOUBLE - 1.015::DOUBLE * n_words / n_sentences - 84.6::DOUBLE * (n_syllables / n_words), 6) AS reading_ease FROM c""")
 def _(spark, sf):
     return rounded(gr.book_readability(documents(spark, sf, "doc_id", "text"), ["doc_id"]), "reading_ease")
+
+
+@query("literal_totals", f"""
+WITH {VOCAB} SELECT word AS literal,
+CAST(sum((length(text) - length(replace(text, word, ''))) // length(word)) AS BIGINT) AS n_occurrences, count(*) FILTER (WHERE contains(text, word)) AS n_texts
+FROM vocab, (SELECT coalesce(text, '') AS text FROM documents) GROUP BY word""")
+def _(spark, sf):
+    """Each word of the target vocabulary as a literal, anywhere in a document."""
+    words = [r["word"] for r in vocabulary(spark, sf).collect()]  # VOCAB_SIZE at most
+    return li.literal_totals(documents(spark, sf, "text"), words)

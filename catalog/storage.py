@@ -252,6 +252,14 @@ def _(spark, sf):
     return as_bigint(st.read_sample(found, 1000, seed=9), "start")
 
 
+@query("stream_reservoir", ORACLE["stream_sample"])
+def _(spark, sf):
+    """As ``stream_sample``, but only the total of 1,000 spans is ever kept."""
+    sink, marks = scratch_dir(spark, "sink"), scratch_dir(spark, "marks")
+    st.stream_reservoir(_stream(spark, sf), 4, 1000, sink, marks, total_seed=9).awaitTermination()
+    return as_bigint(st.read_reservoir(spark, sink), "start")
+
+
 @query("stream_dedup", "SELECT DISTINCT text FROM documents")
 def _(spark, sf):
     sink, marks = scratch_dir(spark, "sink"), scratch_dir(spark, "marks")

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from wordloom.functions.keys import hash_key
 from wordloom.operators.curate import dedup_spans, limited_vocab_spans
 from wordloom.operators.sample import sample_n, sample_spans_per_doc
 from wordloom.session import measured
+from wordloom.sources.intervals import commits
 
 
 def _run(stream: DataFrame, each, checkpoint: str) -> StreamingQuery:
@@ -55,6 +57,50 @@ def read_sample(sampled: DataFrame, limit: int, ids: Sequence[str] = ("doc_id",
     return sample_n(sampled, limit, ids, seed)
 
 
+def _versions(spark: SparkSession, sink: str) -> dict[int, str]:
+    """The finished versions of a reservoir by number."""
+    return {int(f.rsplit("=", 1)[1]): f for f in commits(spark, sink) if "/version=" in f}
+
+
+def read_reservoir(spark: SparkSession, sink: str) -> DataFrame:
+    """The rows that a reservoir holds now."""
+    found = _versions(spark, sink)
+    return spark.read.parquet(found[max(found)])
+
+
+def stream_reservoir(
+    stream: DataFrame, k: int, limit: int, sink: str, checkpoint: str, ids: Sequence[str] = ("doc_id",),
+    seed: int | str = 0, total_seed: int | str = 0,
+) -> StreamingQuery:
+    """k spans per document, and of all documents seen so far only ``limit`` spans.
+
+    The reservoir always equals ``read_sample`` over everything that arrived, however the
+    stream was cut into batches.  A full reservoir has a largest key: spans beyond it are
+    dropped inside their rows, so later batches shuffle few rows or none.  Each batch writes
+    the whole reservoir as a new version from the last one before it; a batch repeated
+    after a failure does the same again.  Two versions are kept, at most 2 * ``limit`` rows.
+    """
+    by = [*ids, "start"]
+    key = hash_key(total_seed, *by)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = {v: f for v, f in _versions(spark, sink).items() if v < batch_id}
+        rows = sample_spans_per_doc(batch, k, ids, seed=seed)
+        if before:
+            held = spark.read.parquet(before[max(before)])
+            size, last = held.agg(F.count(F.lit(1)), F.max(key)).first()
+            rows = (rows.where(key <= last) if size >= limit and size else rows).unionByName(held)
+        written = sample_n(rows, limit, by, total_seed).write.mode("overwrite")
+        written.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{sink}/version={batch_id}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for folder in sorted(before.items())[:-1]:
+            old = path(folder[1])
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+    return _run(stream, each, checkpoint)
+
+
 def stream_dedup(
     stream: DataFrame, sink: str, checkpoint: str, text: str = "span", ids: Sequence[str] = ("doc_id", "start"),
     across_batches: bool = False,
