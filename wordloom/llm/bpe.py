@@ -8,6 +8,7 @@ which array operations test for all pairs; only words that fail are merged.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wordloom.llm.common import set_columns, table
 from wordloom.llm.registry import query
 
-CACHE_PIECES = 200_000   # pieces that a worker remembers, besides those used shortly before
+CACHE_PIECES = 400_000   # pieces that a worker remembers, besides those used shortly before: some 200 MB
 CHUNK_CHARS = 1_000_000  # text handled at once
 _SPACE = regex.compile(r"\S+")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -58,6 +59,38 @@ def _library_parts(pattern: str):
     return normalizer, pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
 
 
+class _Code:
+    """A piece's ids as int32 bytes and its tokens joined by a blank; empty until encoded."""
+
+    __slots__ = ("ids", "names")
+
+    def __init__(self):
+        self.ids = self.names = None
+
+
+class _Known(dict):
+    """piece -> _Code.  A piece that is not known gets its place at once, to be filled later;
+    what ``older`` knows is taken over when it is used."""
+
+    def __init__(self, older: dict[str, _Code] | None = None):
+        super().__init__()
+        self.older = dict(older or {})
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> _Code:
+        code = self.older.get(piece)
+        if code is None:
+            code = _Code()
+            self.fresh.append(piece)
+        self[piece] = code
+        return code
+
+    def taken(self) -> list[str]:
+        """The pieces to fill, once."""
+        out, self.fresh = self.fresh, []
+        return out
+
+
 class Speculative:
     """A byte-level BPE vocabulary with word ends, read from a tokenizer file."""
 
@@ -283,8 +316,7 @@ class Speculative:
     # --- texts
     def _reset(self) -> None:
         self.failed = 0
-        self.known: dict[str, tuple[bytes, str]] = {}  # piece -> ids as int32 bytes, tokens joined by a blank
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.known = _Known()
 
     def pieces(self, text: str) -> list[str]:
         """Normalised text cut at white space, which no token spans.  Added tokens, which are
@@ -323,32 +355,39 @@ class Speculative:
     def _learn(self, fresh: list[str]) -> None:
         """Encode pieces not seen lately, all at once.  A word that is a known piece needs nothing."""
         known = self.known
-        split = [(p, self._words(p)) for p in fresh if p[0] != " "]
-        words = list({w for _, ws in split for w in ws}.difference(known))
+        split = [(known[p], self._words(p)) for p in fresh if p[0] != " "]
+        words = list({w for _, ws in split for w in ws if (c := known.get(w)) is None or c.ids is None})
         new = dict(zip(words, self.coded(words) if words else ()))
-        for piece, ws in split:
+        old = {w: (known[w].ids, known[w].names) for _, ws in split for w in ws if w not in new}
+        new |= old
+        for code, ws in split:
             if len(ws) == 1:
-                known[piece] = new.get(ws[0]) or known[ws[0]]
+                code.ids, code.names = new[ws[0]]
             else:
-                parts = [new.get(w) or known[w] for w in ws]
-                known[piece] = b"".join([x[0] for x in parts]), " ".join([x[1] for x in parts])
+                parts = [new[w] for w in ws]
+                code.ids, code.names = b"".join([x[0] for x in parts]), " ".join([x[1] for x in parts])
         for piece in fresh:
             if piece[0] == " ":
-                known[piece] = np.int32(self.added[piece[1:]]).tobytes(), piece[1:]
+                known[piece].ids, known[piece].names = np.int32(self.added[piece[1:]]).tobytes(), piece[1:]
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
         """Ids of each text and the decoded texts (tokens joined by a blank)."""
         if len(self.known) > CACHE_PIECES:  # what was not used lately is forgotten
-            self.older, self.known = self.known, {}
-        cut = [self.pieces(t) for t in texts]
-        values = [list(map(self.known.get, ps)) for ps in cut]
-        fresh = {p for ps, vs in zip(cut, values) if None in vs for p, v in zip(ps, vs) if v is None}
-        for p in fresh.intersection(self.older):
-            self.known[p] = self.older[p]
-        self._learn(list(fresh.difference(self.older)))
-        values = [list(map(self.known.__getitem__, ps)) if None in vs else vs for ps, vs in zip(cut, values)]
-        ids = [np.frombuffer(b"".join([v[0] for v in vs]), np.int32) for vs in values]
-        return ids, [" ".join([v[1] for v in vs]) for vs in values]
+            self.known = _Known(self.known)
+        look = self.known.__getitem__
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and looking through all known pieces takes long
+        try:
+            codes = [list(map(look, self.pieces(t))) for t in texts]
+            self._learn(self.known.taken())
+        except BaseException:
+            self.known = _Known()  # places that stayed empty
+            raise
+        finally:
+            if collecting:
+                gc.enable()
+        ids = [np.frombuffer(b"".join([c.ids for c in cs]), np.int32) for cs in codes]
+        return ids, [" ".join([c.names for c in cs]) for cs in codes]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.names[i] for i in ids if i in self.names)
