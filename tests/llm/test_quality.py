@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from wordloom.llm import quality as ql
@@ -146,3 +147,13 @@ def test_cutoff(spark):
     assert ql.fit_cutoff(rows, labels) == 200.0 == ql.fit_cutoff(rows, labels.unionByName(labels))
     assert ql.fit_cutoff(rows, labels.limit(0)) == ql.fence(rows) > 400
     assert ql.fence(rows.limit(0)) == np.inf
+
+
+def test_cutoff_of_all_labels(spark):
+    """More labels than any bounded sample would hold: the rule on all of them."""
+    rng = np.random.default_rng(3)
+    d = rng.lognormal(3, 1, 40_000)
+    good = d * rng.lognormal(0, 0.5, len(d)) < 60
+    table = pa.table({"doc_id": np.arange(len(d)), "d2": d, "quality": good.astype(np.int32)})
+    rows = spark.createDataFrame(table)
+    assert abs(ql.fit_cutoff(rows.select("doc_id", "d2"), rows.select("doc_id", "quality")) / ql.best_cutoff(d, good) - 1) < 1e-12

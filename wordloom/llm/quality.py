@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wordloom.llm.common import table, written
 from wordloom.llm.registry import query
-from wordloom.session import measured
+from wordloom.operators.ordering import global_running_sum
 
 WINDOW = 5
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -29,7 +29,6 @@ _SYMBOLS = re.compile(r"[#*$%&|<>]")
 SUPPORT = 0.75      # share of a group that an estimate rests on
 STEPS = 10          # at most so many concentration steps from each start
 TOLERANCE = 1e-2    # a step that lowers no group's log determinant by more is the last
-SAMPLE = 12_000     # labelled documents that the cutoff is learned from, chosen by a hash of doc_id
 CLEAN = 10.0        # a good text rejected costs as much as so many bad texts kept
 FENCE = 1.5         # without labels: so many quartile ranges above the upper quartile, in logarithms
 PRIOR = 200         # documents that the estimate of all documents counts for in a group's estimate
@@ -211,22 +210,29 @@ def best_cutoff(distances: np.ndarray, good: np.ndarray, clean: float = CLEAN) -
     return float(np.sqrt(max(d[k], 1e-9) * d[k + 1]))
 
 
-def fit_cutoff(distances: DataFrame, labels: DataFrame | None, sample: int = SAMPLE) -> float:
+def fit_cutoff(distances: DataFrame, labels: DataFrame | None, clean: float = CLEAN) -> float:
     """A cutoff of squared distances for rows of doc_id, d2.
 
-    ``labels`` (doc_id, quality 0 or 1): at most ``sample`` of their documents, those with the
-    smallest hash of doc_id, are compared (``best_cutoff``); only they reach the driver.  The
+    ``labels`` (doc_id, quality 0 or 1): all their documents are compared, by the rule of
+    ``best_cutoff``, on running counts over the ordered distances; one row reaches the driver.  The
     largest distance of a document's rows counts; of conflicting labels the worse; null ids and labels are not read.
-    Without a usable sample the cutoff is ``fence``.
+    Without usable labels the cutoff is ``fence``.
     """
     distances = distances.where("d2 is not null")
     if labels is not None:
         known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        chosen = measured(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), sample)
-        rows = distances.join(chosen, "doc_id").groupBy("doc_id").agg(F.max("d2").alias("d2"), F.first("quality").alias("quality")).toPandas()
-        cutoff = best_cutoff(rows["d2"].to_numpy(float), rows["quality"].to_numpy(float) > 0)
-        if cutoff is not None:
-            return cutoff
+        rows = distances.join(known, "doc_id").groupBy("doc_id").agg(F.greatest(F.max("d2"), F.lit(1e-9)).alias("d"), F.first("quality").alias("quality"))
+        counts = rows.groupBy("d").agg(F.count_if(F.col("quality") > 0).alias("good"), F.count_if(F.col("quality") <= 0).alias("bad"))
+        sums = {"upto_good": F.col("good"), "upto_bad": F.col("bad")}
+        upto = written(global_running_sum(counts, ["d"], sums, "at").select("at", "d", *sums), "quality-upto")
+        good, bad = upto.agg(F.max("upto_good"), F.max("upto_bad")).first()
+        if good and bad:
+            following = upto.select((F.col("at") - 1).alias("at"), F.col("d").alias("after"))
+            cost = F.col("upto_bad") + F.lit(float(clean)) * (good - F.col("upto_good"))  # after rejecting all beyond d
+            steps = upto.join(following, "at").select("d", "after", cost.alias("cost"), (F.log("after") - F.log("d")).alias("gap"))
+            best = steps.where("gap > 0").orderBy("cost", F.col("gap").desc(), "d").first()  # one row
+            if best is not None and best["cost"] < bad:
+                return math.sqrt(best["d"] * best["after"])
     return fence(distances)
 
 
