@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
-from wordloom.operators import curate as cu, evalset as ev, grammar as gr, pack as pk, runs as ru
+from wordloom.operators import curate as cu, evalset as ev, grammar as gr, pack as pk, runs as ru, vocab as vo
 from wordloom.sources import readers as rd
 
 ROWS = [(1, "the cat sat"), (1, "the dog"), (2, None), (3, ""), (4, "the cat sat"), (4, "the cat sat"), (None, "cat")]
@@ -93,3 +93,24 @@ def test_repeated_vocabulary_words(spark, tmp_path):
     (tmp_path / "v.csv").write_text("word,frequency\ncat,1\ncat,7\ndog,2\n")
     got = rd.read_vocab(spark, str(tmp_path / "v.csv"), schema="word string, frequency bigint").collect()
     assert sorted(map(tuple, got)) == [("cat", 7), ("dog", 2)]
+
+
+@pytest.mark.parametrize("most", [4_000_000, 0])
+def test_word_lists_beyond_the_inline_bound(spark, monkeypatch, most):
+    """Broadcast or joined: the same rows; a broadcast list sends no token through a shuffle."""
+    monkeypatch.setattr(vo, "SET_WORDS", most)
+    texts = ["The cat sat-on http://x/1 the 12 cats", None, "", "dog  the\tcat\ncat", "the cat the", "the cat the", " ".join(["the cat emu"] * 70)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(4, "the cat the")], "doc_id bigint, text string")
+    vocab = spark.createDataFrame([("the",), ("cat",), ("cat",), (None,)], "word string")
+    english = spark.createDataFrame([("the",), ("cat",), ("sat",), ("dog",)], "word string")
+    lower = docs.select("doc_id", F.lower("text").alias("text"))
+    for listed in (None, english):
+        want, got = ([
+            sorted(map(str, cu.vocab_hits(docs, ["doc_id"], tx.word_tokens("text"), vocab, inline, english_vocab=listed).collect())),
+            sorted(map(str, cu.filter_limited_vocab(cu.to_spans(lower), ["doc_id", "start"], vocab, min_tokens=2, english_vocab=listed, inline=inline).collect())),
+            sorted(map(str, cu.limited_vocab_spans(docs, vocab, ["doc_id"], min_tokens=2, english_vocab=listed, inline=inline).collect())),
+            sorted(map(str, cu.restrict_to_english_vocab(docs, ["doc_id"], tx.word_tokens("text"), english, inline).collect())),
+        ] for inline in ((20_000, 0) if most else (0, 0)))
+        assert got == want and all(want)
+    plan = cu.filter_limited_vocab(cu.to_spans(lower), ["doc_id", "start"], vocab, english_vocab=english, inline=0)._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange" in plan) == (most == 0)

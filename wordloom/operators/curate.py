@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import gcd
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wordloom.functions import text as tx
 from wordloom.operators.joins import lookup_join
-from wordloom.operators.vocab import INLINE_WORDS, bounded_words, earliest_bin, sql_in
+from wordloom.operators.vocab import INLINE_WORDS, bounded_words, earliest_bin, sql_in, word_set
 
 SPAN_WORDS = 110
 SPAN_STRIDE = 30
 MIN_TOKENS = 40
 OOV_UNIT = 2**40  # one out-of-vocabulary token, in the packed per-word counts
+WORD_END = "\v"  # holds the place of a space while a text is normalised
 FULL = 2**60  # where packed counts stop: far beyond one violation, far below an overflow
 
 
@@ -99,6 +103,73 @@ def _word_marks(vocab: DataFrame, english_vocab: DataFrame | None) -> DataFrame:
     return listed.join(hits, "_w", "left").select("_w", F.coalesce("_hit", F.lit(False)).alias("_hit"))
 
 
+def _inline(words: frozenset[str] | None, inline: int) -> list[str] | None:
+    """The words as a list if they are few enough for an SQL expression."""
+    return None if words is None or not 0 < inline >= len(words) else sorted(words)
+
+
+def _ends(column: pa.ListArray) -> np.ndarray:
+    """Where each list begins, and the last ends, in the flattened column."""
+    return np.append(0, np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64))
+
+
+def _with_tokens(df: DataFrame, tokens: Column) -> DataFrame:
+    """Adds ``_toks`` by a generator: Spark does not put the expression into a Python function's
+    arguments, where lambda functions can keep it from being recognised."""
+    return df.select("*", F.explode(F.array(tokens)).alias("_toks"))
+
+
+class _WordTest:
+    """Codes of tokens: 1 in the vocabulary, 2 outside, 0 not listed (no say), 3 WORD_END.  Runs in
+    Arrow batches: the word lists are broadcast once, no token is shuffled."""
+
+    def __init__(self, spark: SparkSession, words: frozenset[str], listed: frozenset[str] | None = None):
+        self.sets = spark.sparkContext.broadcast((words if listed is None else words & listed, listed))
+
+    def codes(self, column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all rows' tokens in one array, and where each row begins (and the last ends)."""
+        words, listed = self.sets.value
+        found, ends = column.flatten().dictionary_encode(), _ends(column)
+        code = [3 if w == WORD_END else 1 if w in words else 2 if listed is None or w in listed else 0 for w in found.dictionary.to_pylist()]
+        at = found.indices.fill_null(-1).to_numpy()  # a NULL element takes the code added last
+        return np.array([*code, 0], np.int8)[at], ends
+
+    def counts(self, tokens: Column) -> Column:
+        """struct of n_tokens and n_in_vocab."""
+
+        def run(column: pa.Array) -> pa.Array:
+            codes, ends = self.codes(column)
+            sums = [np.append(0, np.cumsum(hit, dtype=np.int64))[ends] for hit in (codes > 0, codes == 1)]
+            return pa.StructArray.from_arrays([pa.array(np.diff(s)) for s in sums], ["n_tokens", "n_in_vocab"])
+
+        return F.arrow_udf(run, "struct<n_tokens:bigint,n_in_vocab:bigint>").asNondeterministic()(tokens)  # never computed twice
+
+    def hits(self, tokens: Column) -> Column:
+        """Array of booleans: the token is in the vocabulary."""
+
+        def run(column: pa.Array) -> pa.Array:
+            codes, ends = self.codes(column)
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes == 1))
+
+        return F.arrow_udf(run, "array<boolean>").asNondeterministic()(tokens)
+
+    def blocks(self, marked: Column, g: int) -> Column:
+        """For tokens with WORD_END between the words: the number that count in each block of g
+        words, or OOV_UNIT where one is outside."""
+
+        def run(column: pa.Array) -> pa.Array:
+            codes, ends = self.codes(column)
+            before = np.append(0, np.cumsum(codes == 3))
+            sizes = (before[ends[1:]] - before[ends[:-1]]) // g + 1  # blocks of a row
+            first = np.append(0, np.cumsum(sizes))
+            word = before[:-1] - np.repeat(before[ends[:-1]], np.diff(ends))
+            block = np.repeat(first[:-1], np.diff(ends)) + word // g
+            count, out = (np.bincount(block[codes == k], minlength=first[-1]) for k in (1, 2))
+            return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(np.where(out > 0, OOV_UNIT, count), pa.int64()))
+
+        return F.arrow_udf(run, "array<bigint>").asNondeterministic()(marked)
+
+
 def vocab_hits(
     df: DataFrame, ids: Sequence[str], tokens: Column, vocab: DataFrame, inline: int = INLINE_WORDS,
     keep: str = "true", english_vocab: DataFrame | None = None,
@@ -110,12 +181,13 @@ def vocab_hits(
     A vocabulary within the inline bound is tested inside the row: no shuffle.
     There the condition is part of a generator: as a filter on the computed
     columns it would be pushed below them and compute the tokens again.
-    A larger vocabulary is joined to the exploded tokens, by ids and a hash of the
-    tokens, so repeated ids change nothing.  A NULL text has no tokens.
+    A larger vocabulary is broadcast and tested in Arrow batches (``word_set`` says
+    how large), also without a shuffle.  One beyond that is joined to the exploded tokens, by ids and
+    a hash of the tokens, so repeated ids change nothing.  A NULL text has no tokens.
     """
     tokens = F.coalesce(tokens, F.array().cast("array<string>"))
-    words = bounded_words(vocab, inline)
-    english = bounded_words(english_vocab, inline) if english_vocab is not None else []
+    word_list, listed = word_set(vocab), word_set(english_vocab) if english_vocab is not None else frozenset()
+    words, english = _inline(word_list, inline), _inline(listed, inline) if english_vocab is not None else []
     if words is not None and english is not None:
         if english_vocab is not None:
             df = df.withColumn("_toks", tokens)
@@ -127,6 +199,10 @@ def vocab_hits(
         rows = F.expr(f"inline(filter(array({counts}), r -> {keep}))")
         others = [c for c in df.columns if c != "_toks"]
         return df.withColumn("_toks", tokens).select(*others, rows)
+    if word_list is not None and listed is not None:
+        test = _WordTest(df.sparkSession, word_list, listed if english_vocab is not None else None)
+        staged = _with_tokens(df, tokens).withColumn("_counts", test.counts(F.col("_toks")))
+        return staged.select(*df.columns, F.expr(f"inline(filter(array(_counts), r -> {keep}))"))
     keys = [*ids, "_row"]
     staged = df.withColumn("_row", F.xxhash64(tokens))
     rows = staged.select(*keys, F.posexplode_outer(tokens).alias("_pos", "_w"))
@@ -147,11 +223,15 @@ def restrict_to_english_vocab(
 ) -> DataFrame:
     """Adds ``tokens``: only those listed in a reference word list, order kept."""
     tokens = F.coalesce(tokens, F.array().cast("array<string>"))
-    words = bounded_words(english_vocab, inline)
+    listed = word_set(english_vocab)
+    words = _inline(listed, inline)
     if words is not None:
         return df.withColumn("_toks", tokens).withColumn(
             "tokens", F.expr(f"filter(_toks, w -> {sql_in('w', words)})")
         ).drop("_toks")
+    if listed is not None:
+        staged = _with_tokens(df, tokens).withColumn("_hits", _WordTest(df.sparkSession, listed).hits(F.col("_toks")))
+        return staged.withColumn("tokens", F.expr("filter(_toks, (w, i) -> _hits[i])")).drop("_toks", "_hits")
     keep = english_vocab.select(F.col("word").alias("_w")).distinct()
     keys = [*ids, "_row"]  # equal rows have equal tokens: a set of places counts each once
     staged = df.withColumn("_row", F.xxhash64(tokens))
@@ -176,8 +256,8 @@ def filter_limited_vocab(
     return vocab_hits(spans, ids, tokens, vocab, inline, keep, english_vocab).drop("n_in_vocab")
 
 
-def _prepared_words_sql(text: str) -> str:
-    """SQL for the array of normalised words, one per space-separated word.
+def _prepared_text_sql(text: str) -> str:
+    """SQL for the normalised words, one per space-separated word, with WORD_END between them.
 
     No normalisation pattern reaches over a space, so the words are normalised
     in one pass over the text with the spaces held by another white-space mark.
@@ -187,7 +267,12 @@ def _prepared_words_sql(text: str) -> str:
     out = f"regexp_replace({out}, r'{tx.NUMBER_JOINERS}', '{tx.NUMBER_MARK}')"
     out = f"regexp_replace({out}, r'{tx.LEADING_DIGITS}', '$1{tx.NUMBER_MARK} ')"
     out = f"regexp_replace({out}, r'{tx.LINK_PATTERN}', '{tx.LINK_MARK}')"
-    return f"split(lower({out}), '\\u000B')"
+    return f"lower({out})"
+
+
+def _prepared_words_sql(text: str) -> str:
+    """SQL for the array of normalised words."""
+    return f"split({_prepared_text_sql(text)}, '\\u000B')"
 
 
 def limited_vocab_spans(
@@ -202,18 +287,21 @@ def limited_vocab_spans(
     blocks of gcd(length, stride) words, and a window adds up its blocks.  Only
     surviving windows are rebuilt as text.
 
-    With a vocabulary (and reference list) within the inline bound there is no
-    shuffle at all.  Otherwise the words of a document, not of its windows, are
-    joined to the vocabulary and summed by block.
+    With a vocabulary (and reference list) within the inline bound, or within that of
+    ``word_set``, there is no shuffle at all.  Otherwise the words of a document, not of its
+    windows, are joined to the vocabulary and summed by block.
     Adds ``start``, ``n_tokens``, ``span``; drops the text column.
     """
     others = [c for c in docs.columns if c != text]
     g = gcd(length, stride)
-    words = bounded_words(vocab, inline)
-    english = bounded_words(english_vocab, inline) if english_vocab is not None else []
+    word_list, listed = word_set(vocab), word_set(english_vocab) if english_vocab is not None else frozenset()
+    words, english = _inline(word_list, inline), _inline(listed, inline) if english_vocab is not None else []
     if words is not None and english is not None:
         source = docs
         blocks = _inline_blocks_sql(text, words, english if english_vocab is not None else None, g)
+    elif word_list is not None and listed is not None:
+        test = _WordTest(docs.sparkSession, word_list, listed if english_vocab is not None else None)
+        source, blocks = docs.withColumn("_blocks", test.blocks(F.expr(_marked_tokens_sql(text)), g)), "_blocks"
     else:
         keys = [*ids, "_row"]  # repeated ids are told apart by their text
         staged = docs.withColumn("_row", F.xxhash64(text))
@@ -253,6 +341,11 @@ def _inline_blocks_sql(text: str, words: Sequence[str], english: Sequence[str] |
     )
 
 
+def _marked_tokens_sql(text: str) -> str:
+    """SQL for an array of all tokens, with WORD_END between the normalised words."""
+    return f"coalesce(regexp_extract_all({_prepared_text_sql('`' + text + '`')}, r'\\u000B|{tx.TOKEN_PATTERN}', 0), array())"
+
+
 def _joined_blocks(
     docs: DataFrame, ids: Sequence[str], text: str, vocab: DataFrame, english_vocab: DataFrame | None, g: int,
 ) -> DataFrame:

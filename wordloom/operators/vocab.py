@@ -17,6 +17,7 @@ from wordloom.operators.ordering import global_position, global_running_sum
 # Vocabularies up to this many words may be placed inside an expression, which
 # makes the lookup row-local; larger ones are joined.
 INLINE_WORDS = 20_000
+SET_WORDS, SET_BYTES = 4_000_000, 128_000_000  # a word list up to this size is sent whole to the Python workers
 
 
 def bounded_words(vocab: DataFrame, limit: int = INLINE_WORDS, word: str = "word") -> list[str] | None:
@@ -30,6 +31,14 @@ def bounded_words(vocab: DataFrame, limit: int = INLINE_WORDS, word: str = "word
     return None if len(rows) > limit else sorted(r[0] for r in rows)
 
 
+def word_set(vocab: DataFrame, word: str = "word") -> frozenset[str] | None:
+    """The distinct words if they are at most SET_WORDS and SET_BYTES, else None."""
+    if SET_WORDS <= 0:
+        return None
+    rows = vocab.select(word).where(F.col(word).isNotNull()).distinct().limit(SET_WORDS + 1).toArrow()
+    return None if rows.num_rows > SET_WORDS or rows.nbytes > SET_BYTES else frozenset(rows.column(0).to_pylist())
+
+
 def sql_in(variable: str, words: Sequence[str]) -> str:
     """SQL membership test of a lambda variable in a literal set."""
     if not words:
