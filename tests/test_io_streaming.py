@@ -47,6 +47,22 @@ def test_age_lines(spark, tmp_path):
     assert out == {"cat": (1.0, "365.0"), "do": (1.0, "365.0"), "emu": (2.0, "730")}
 
 
+def test_age_lines_are_split(spark, tmp_path):
+    """Files are read in parts, with the rows of whole files: lines pair up across parts."""
+    for name, last in (("a", ""), ("b", "9:"), ("c", "9:\n"), ("d", "9:\n['z']")):
+        write(tmp_path / "ages" / name, "".join(f"{k}:\n['{name}{k}', 'x']\n" for k in range(40)) + last)
+    path = str(tmp_path / "ages")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        out = rd.read_age_lines(spark, path)
+        assert rd.read_age_lines(spark, path + "/a").rdd.getNumPartitions() > 1
+        want = rd.parse_age_lines(spark.read.text(path, wholetext=True))
+        assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_eval_files(spark, tmp_path):
     a, b = write(tmp_path / "a.csv", "s,label\nx,1\n"), write(tmp_path / "b.csv", "s,label\ny,0\n")
     assert {(r["s"], r["split"]) for r in rd.read_eval_files(spark, a, b).collect()} == {("x", "train"), ("y", "validation")}

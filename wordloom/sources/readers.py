@@ -9,9 +9,10 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from wordloom.operators.ordering import running_by_group
+from wordloom.session import measured, scratch_dir
 
 # --- fixed values: text column and splits of the named corpora ---------------------------
 CORPORA = {
@@ -150,8 +151,12 @@ def parse_age_lines(df: DataFrame, text: str = "value") -> DataFrame:
             )
         ).alias("_p")
     )
-    raw = F.regexp_replace("_p.age_line", ".$", "")
-    body = F.substring("_p.words_line", 2, 2**31 - 1)
+    return _age_words(pairs.select("_p.*"))
+
+
+def _age_words(pairs: DataFrame) -> DataFrame:
+    raw = F.regexp_replace("age_line", ".$", "")
+    body = F.substring("words_line", 2, 2**31 - 1)
     words = pairs.select(raw.alias("raw_age"), F.explode(F.split(body, ",")).alias("_w"))
     return words.select(
         F.regexp_replace("_w", "[ '\\]]", "").alias("word"), (F.col("raw_age").cast("double") / 365).alias("age"), "raw_age"
@@ -159,7 +164,31 @@ def parse_age_lines(df: DataFrame, text: str = "value") -> DataFrame:
 
 
 def read_age_lines(spark: SparkSession, path: str) -> DataFrame:
-    return parse_age_lines(spark.read.text(path, wholetext=True))
+    """``parse_age_lines`` of files.  A line, not a file, is a record: large files are split.
+
+    Lines are written once with their place in their split; one row per split then gives
+    their number in the file, and an age line meets the line after it by a join.
+    """
+    scan = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"),
+        F.monotonically_increasing_id().alias("at"), (F.octet_length("value") + 1).alias("bytes"), "value")
+    kept = scratch_dir(spark, "age-lines")
+    scan.write.parquet(kept)
+    lines = spark.read.schema(scan.schema).parquet(kept)
+    splits = lines.groupBy("path", "start").agg(
+        F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.max("size").alias("size"))
+    file = Window.partitionBy("path")  # of its splits
+    earlier = file.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = measured(splits.select(
+        "path", "start", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"),
+        (F.sum("bytes").over(file) == F.col("size")).alias("closed")))
+    numbered = lines.select("path", "start", "at", "value").join(offsets, ["path", "start"]).withColumn("_n", F.col("at") + F.col("shift"))
+    pair = F.floor(F.col("_n") / 2).alias("pair")
+    ages = numbered.where("_n % 2 = 0").select("path", pair, "closed", F.col("value").alias("age_line"))
+    words = numbered.where("_n % 2 = 1").select("path", pair, F.col("value").alias("words_line"))
+    both = ages.join(words, ["path", "pair"], "left")
+    # a last age line that is ended stands before an empty line
+    return _age_words(both.where("closed OR words_line IS NOT NULL").select("age_line", F.coalesce("words_line", F.lit("")).alias("words_line")))
 
 
 def read_eval_files(
