@@ -69,3 +69,32 @@ def test_training_spread_or_on_the_driver_is_the_same(spark):
         rows = lambda d: sorted(tuple(map(str, r)) for r in d.collect())
         assert rows(near.merges) == rows(far.merges) and near.merges.count() > 10
         assert rows(near.vocab) == rows(far.vocab) and rows(near.words) == rows(far.words)
+
+
+@pytest.mark.parametrize("options", [{}, {"segments": 0}, {"segments": 400}, {"segments": 1500, "hot": 12}, {"hot": 4}])
+def test_stages_make_the_same_merges(spark, options):
+    rng = random.Random(4)
+    words = [(w, n * n) for w, n in invented(rng, "abcd", 250, 12)] + [("z" * 9, 3), ("zzzzza", 2), ("q", 1000)]
+    assert spread(spark, words, 60, **options) == local(words, 60)
+
+
+def test_few_jobs_where_segments_fit(spark, monkeypatch):
+    calls = []
+    old = rounds._regions
+    monkeypatch.setattr(rounds, "_regions", lambda *a: calls.append(1) or old(*a))
+    words = invented(random.Random(6), "abcde", 200, 12)
+    assert spread(spark, words, 50) == local(words, 50)
+    assert not calls
+
+
+def test_segments_are_cut_at_rare_pairs_only():
+    ends = np.array([0, 5, 5, 6, 8])
+    sym = np.array([1, 2, 3, 1, 2, 1, 2, 3], np.int32)
+    key = lambda a, b: a << 32 | b
+    cut = rounds._Cut({key(1, 2): 9, key(2, 3): 5, key(3, 1): 2})
+    found = cut.frequencies(sym, ends)
+    assert found.tolist() == [9, 5, 2, 9, 0, 0, 5, 0]
+    segments = lambda least: [sym[a:b].tolist() for a, b in zip(*cut.segments(found, least))]
+    assert segments(2) == [[1, 2, 3, 1, 2], [2, 3]]
+    assert segments(5) == [[1, 2, 3], [1, 2], [2, 3]]
+    assert segments(9) == [[1, 2], [1, 2]]

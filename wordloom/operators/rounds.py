@@ -14,6 +14,14 @@ A round makes at least one merge.  If its regions are too many, it is tried agai
 fewer candidates and less context; without context it makes exactly one merge, and the
 changed counts come from a job.  Pieces are rewritten after a few rounds; in between
 the merges made since are applied again while reading.
+
+Where possible a stage takes the place of many rounds.  A pair less frequent than some
+least count stays so, and so does every later pair that spans one of its places; so the
+pieces may be cut there as long as the best pair is at least so frequent.  What is left
+are segments, of which far fewer are different; the driver merges them in the greedy
+order down to the least count.  The count is the lowest one, of a few, whose segments are
+not too many; a sample of them by hash tells that beforehand, and they are measured
+before they are sent.  An old symbol made again in another way ends a stage.
 """
 
 from __future__ import annotations
@@ -34,6 +42,9 @@ REGIONS = 150_000      # regions that a round may send to it
 CANDIDATES = 4_096     # of a round, at most
 CONTEXT = 4            # symbols kept on each side of a candidate, at most
 REWRITE = 6            # rounds between two versions of the pieces
+SEGMENTS = 4_000_000   # symbols of all segments that a stage may send to the driver
+LEVELS = (16, 64, 256, 1_024, 4_096, 16_384)  # of the first pairs, from which a stage's least count is chosen
+SAMPLED = 64           # one of so many segments is counted beforehand
 UNKNOWN = -2           # beyond a region inside a piece, as it is sent
 EDGE = 2**31 - 1       # the same while merging
 _SHIFT = 32
@@ -233,13 +244,89 @@ def _regions(pieces: DataFrame, merges: list[tuple[int, int, int]], candidates:
     return rows.groupBy("region").agg(F.sum("n").alias("count"))
 
 
+class _Cut:
+    """Finds the segments of pieces between pairs less frequent than a least count."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.keys = np.array(sorted(counts), np.int64)
+        self.counts = np.array([counts[k] for k in self.keys.tolist()], np.int64)
+
+    def frequencies(self, sym: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Count of the pair that starts at each symbol; 0 if it is not among the given ones."""
+        out = np.zeros(len(sym), np.int64)
+        places, which = _found(_keys(sym, ends), self.keys)
+        out[places] = self.counts[which]
+        return out
+
+    @staticmethod
+    def segments(frequencies: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each segment begins and ends."""
+        inside = np.concatenate([[False], frequencies >= least, [False]])
+        turns = np.flatnonzero(inside[1:] != inside[:-1])
+        return turns[::2], turns[1::2] + 1
+
+
+def _sizes(pieces: DataFrame, counts: dict[int, int], levels: list[int]) -> dict[int, int]:
+    """Symbols of the different segments for each least count, estimated from a sample of the segments by hash."""
+    shared = pieces.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        cut = _Cut(shared.value)
+        for batch in batches:
+            sym, ends = _flat(batch.column(0))
+            if not len(sym):
+                continue
+            frequencies = cut.frequencies(sym, ends)
+            # a segment's hash: the sum of its symbols' hashes, each by its place times a power of an odd number
+            with np.errstate(over="ignore"):
+                mixed = (sym.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(29)
+                powers = np.cumprod(np.full(len(sym), 0xD6E8FEB86659FD93, np.uint64))
+                back = np.cumprod(np.full(len(sym), pow(0xD6E8FEB86659FD93, -1, 2**64), np.uint64))
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed * powers)])
+                for level in levels:
+                    begin, stop = cut.segments(frequencies, level)
+                    value = (sums[stop] - sums[begin]) * back[begin]
+                    value ^= value >> np.uint64(32)
+                    value *= np.uint64(0x9E3779B97F4A7C15)
+                    pick = (value >> np.uint64(32)) % np.uint64(SAMPLED) == 0
+                    found, first = np.unique(value[pick], return_index=True)
+                    size = (stop - begin)[pick][first]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), level)), pa.array(found.view(np.int64)), pa.array(size.astype(np.int64))], ["level", "hash", "size"])
+
+    rows = pieces.select("ids").mapInArrow(run, "level bigint, hash bigint, size bigint").groupBy("level", "hash").agg(F.max("size").alias("size"))
+    found = {r[0]: r[1] for r in rows.groupBy("level").agg(F.sum("size")).collect()}
+    return {level: SAMPLED * found.get(level, 0) for level in levels}
+
+
+def _segments(pieces: DataFrame, counts: dict[int, int], least: int) -> DataFrame:
+    """region (symbols as bytes), count: the segments, equal ones added up."""
+    shared = pieces.sparkSession.sparkContext.broadcast({k: n for k, n in counts.items() if n >= least})
+
+    def run(batches):
+        cut = _Cut(shared.value)
+        for batch in batches:
+            sym, ends = _flat(batch.column(1))
+            if not len(sym):
+                continue
+            begin, stop = cut.segments(cut.frequencies(sym, ends), least)
+            weight = batch.column(0).to_numpy()[np.searchsorted(ends, begin, "right") - 1]
+            data, sums = sym.tobytes(), Counter()
+            for a, b, n in zip((begin * 4).tolist(), (stop * 4).tolist(), weight.tolist()):
+                sums[data[a:b]] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], ["region", "n"])
+
+    rows = pieces.select("frequency", "ids").mapInArrow(run, "region binary, n bigint")
+    return rows.groupBy("region").agg(F.sum("n").alias("count"))
+
+
 # --- the rounds ------------------------------------------------------------------------------
 class _Regions(FlatPieces):
     """The regions of a round as pieces; the symbols keep their numbers."""
 
     def __init__(self, regions: list[bytes], counts: list[int], names: list[str], number: dict[str, int], least: int):
         self.likelihood, self.least, self.hot = False, least, 0.0
-        self.names, self.number = names, number
+        self.names, self.number, self.old = names, number, len(names)
         gap = np.array([-1], np.int32).tobytes()
         self.sym = np.frombuffer(gap + gap.join(regions) + gap, np.int32).copy()
         self.sym[self.sym == UNKNOWN] = EDGE
@@ -269,6 +356,8 @@ class _Regions(FlatPieces):
         return bool((self.sym[self._before(first)] == EDGE).any() or (self.sym[self._after(second)] == EDGE).any())
 
     def merge(self, key: int, symbol: int) -> None:
+        if symbol >= self.old:
+            self.places.setdefault(symbol, np.empty(0, np.int32))  # a new symbol stands nowhere yet
         self._places(symbol)
         self._merge(self.names[key >> _SHIFT], self.names[key & (2**_SHIFT - 1)], self.names[symbol])
 
@@ -310,8 +399,33 @@ class _HotPairs:
                 self.count.pop(pair, None)
 
 
+def _levels(table: _HotPairs, least: int, room: int) -> list[int]:
+    """Least counts to choose from, the lowest first: at most half as frequent as the pair that is last if
+    the order stays as it is, and those of the first pairs."""
+    order = sorted(table.count.values(), reverse=True)
+    bound = 1 - table.bound[0] if table.bound is not None else 1  # pairs that are not held stay below
+    lowest = max(least, bound, order[min(room, len(order)) - 1] // 2 if order else 1)
+    return sorted({lowest, *(order[k] for k in LEVELS if k < len(order) and order[k] > lowest)})
+
+
+def _stage_rows(pieces: DataFrame, counts: dict[int, int], levels: list[int], most: int) -> tuple[int, pa.Table] | None:
+    """The lowest of the least counts whose segments have at most ``most`` symbols, and these."""
+    spark = pieces.sparkSession
+    counts = {k: n for k, n in counts.items() if n >= levels[0]}
+    if not counts:
+        return None
+    sizes = _sizes(pieces, counts, levels)
+    for level in (n for n in levels if sizes[n] <= most):
+        path = scratch_dir(spark, "subword-segments")
+        _segments(pieces, counts, level).write.parquet(path)
+        rows = spark.read.schema("region binary, count bigint").parquet(path)
+        if (rows.agg(F.sum(F.length("region") / 4)).first()[0] or 0) <= most:
+            return level, rows.toArrow()
+    return None
+
+
 def train(pieces: DataFrame, names: list[str], room: int, merge: Callable[[str, str], str], min_frequency: int = 1,
-          hot: int = HOT, regions: int = REGIONS) -> tuple[DataFrame, list[tuple[int, str, str, str]]]:
+          hot: int = HOT, regions: int = REGIONS, segments: int = SEGMENTS) -> tuple[DataFrame, list[tuple[int, str, str, str]]]:
     """The pieces after the merges, and the greedy merges (rank, left, right, merged) that make
     ``room`` symbols.  ``names`` are the symbols of the numbers in ``pieces`` and grow."""
     spark = pieces.sparkSession
@@ -348,7 +462,18 @@ def train(pieces: DataFrame, names: list[str], room: int, merge: Callable[[str,
     stored = spread(stored)
     table.read(_counts(stored, []), least)
     many, context = 16, 1
+    fresh = True  # the stored pieces have all merges, and the table was just read
     while room > len(seen):
+        if fresh and (levels := _levels(table, least, room - len(seen))) and (stage := _stage_rows(stored, table.count, levels, segments)):
+            floor, rows = stage
+            before, old = len(made), len(names)
+            _play_down(_Regions(rows.column(0).to_pylist(), rows.column(1).to_pylist(), names, number, floor), room, take, seen, old)
+            if len(made) > before:
+                if room > len(seen):
+                    rewrite()
+                    table.read(_counts(stored, []), least)
+                continue
+        fresh = False
         first = heapq.nsmallest(many + 1, table.count, key=table.key)
         if not first or table.bound is not None and table.key(first[0]) >= table.bound:
             if table.bound is None:
@@ -382,10 +507,23 @@ def train(pieces: DataFrame, names: list[str], room: int, merge: Callable[[str,
         rounds += 1
         if rounds % REWRITE == 0:
             rewrite()
+            table.read(_counts(stored, []), least)
+            fresh = True
     rewrite()
     return stored, [(k, names[a], names[b], names[m]) for k, (a, b, m) in enumerate(made)]
 
 
+def _play_down(flat: _Regions, room: int, take: Callable[[int], int], seen: set[int], old: int) -> None:
+    """Merges on the segments of a stage, until no pair is frequent enough or a symbol is made in a second way."""
+    done: set[int] = set()
+    while len(seen) < room and (best := flat.best()) is not None:
+        symbol = take(best)
+        if symbol < old or symbol in done:
+            break  # its pairs may be where pieces were cut
+        done.add(symbol)
+        flat.merge(best, symbol)
+
+
 def _play(flat: _Regions, room: int, limit: tuple | None, take: Callable[[int], int], seen: set[int], old: int) -> dict[int, int]:
     """Merges on the regions of a round; returns how the counts of pairs changed."""
     start, names, first = dict(flat.pairs), flat.names, True
