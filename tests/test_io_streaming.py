@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +152,24 @@ def test_stream_sample(spark, tmp_path):
     got = spark.read.parquet(sink)
     assert got.groupBy("doc_id").count().agg(F.max("count")).first()[0] == 2
     assert st.read_sample(got, 10).count() == 10
+
+
+def test_markup_docs_on_lines(spark, tmp_path):
+    lines = ['<p class="a">one</p><p>two</p>\t', "", '<p>three</p><p> </p>tail']
+    write(tmp_path / "L" / "w", "\n".join(lines) + "\n")
+    rows = rd.read_markup_docs(spark, str(tmp_path / "L"), end="</p>", head_end=">", lines=True)
+    assert sorted((r["doc_no"], r["text"]) for r in rows.collect()) == [(0, "one"), (0, "three"), (1, "two"), (2, "tail")]
+    assert rows.schema["doc_no"].dataType.typeName() == "long"
+    # a source is a line of a file, not a file of its own
+    spark.createDataFrame([(f"<p>{i}</p><p>x</p>",) for i in range(300)], "html string").coalesce(2).write.parquet(str(tmp_path / "sf" / "pages.parquet"))
+    seen = []
+    import catalog.corpus as cc
+    from catalog.common import QUERIES
+    known = cc.scratch_dir
+    cc.scratch_dir = lambda s, name: seen.append(str(tmp_path / name)) or seen[-1]
+    try:
+        found = QUERIES["read_markup_docs"](spark, str(tmp_path / "sf")).collect()
+    finally:
+        cc.scratch_dir = known
+    assert sorted(tuple(r) for r in found) == sorted([(0, str(i)) for i in range(300)] + [(1, "x")] * 300)
+    assert len(list((tmp_path / "markup").glob("part-*"))) <= 4

@@ -74,11 +74,18 @@ def _literal(s: str) -> str:
     return re.escape(s)
 
 
-def read_markup_docs(spark: SparkSession, glob: str, keep_blank: bool = False, end: str = DOC_END, head_end: str = DOC_HEAD_END) -> DataFrame:
-    """path, doc_no, text from extractor files holding many documents each.
+def read_markup_docs(
+    spark: SparkSession, glob: str, keep_blank: bool = False, end: str = DOC_END, head_end: str = DOC_HEAD_END, lines: bool = False,
+) -> DataFrame:
+    """path, doc_no, text from extractor files holding many documents each, or with the documents of
+    one source on each line (``lines``), counted anew on every line.
 
-    A document, not a file, is a record: large files are split and read in parallel.
+    A document or a line, not a file, is a record: large files are split and read in parallel.
     """
+    if lines:
+        files = spark.read.text(glob).select(F.col("_metadata.file_path").alias("path"), "value")
+        docs = split_markup_docs(files, "value", end, head_end, keep_blank)
+        return docs.select("path", F.col("doc_no").cast("bigint").alias("doc_no"), "text")
     parts = spark.read.text(glob, lineSep=end).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"),
         F.element_at(F.split("value", _literal(head_end)), -1).alias("text"))
