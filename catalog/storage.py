@@ -235,10 +235,11 @@ def _(spark, sf):
     """Started twice on one checkpoint, with new files in between: nothing is repeated or missed."""
     path, sink, marks = (scratch_dir(spark, n) for n in ("incoming", "sink", "marks"))
     vocab, docs = vocabulary(spark, sf), documents(spark, sf)
-    docs.where("doc_id % 2 = 0").repartition(3).write.parquet(path)
-    stream = rd.stream_corpus(spark, path, "doc_id bigint, source string, text string", files_per_batch=2)
+    some = -(-spark.sparkContext.defaultParallelism // 2)  # files of a batch: two batches at each start, every core has work
+    docs.where("doc_id % 2 = 0").repartition(3 * some).write.parquet(path)
+    stream = rd.stream_corpus(spark, path, "doc_id bigint, source string, text string", files_per_batch=2 * some)
     st.stream_filter(stream, vocab, sink, marks).awaitTermination()
-    docs.where("doc_id % 2 = 1").repartition(3).write.mode("append").parquet(path)
+    docs.where("doc_id % 2 = 1").repartition(3 * some).write.mode("append").parquet(path)
     return as_bigint(_finish(st.stream_filter(stream, vocab, sink, marks), spark, sink), "start")
 
 

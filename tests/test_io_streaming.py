@@ -173,3 +173,16 @@ def test_markup_docs_on_lines(spark, tmp_path):
         cc.scratch_dir = known
     assert sorted(tuple(r) for r in found) == sorted([(0, str(i)) for i in range(300)] + [(1, "x")] * 300)
     assert len(list((tmp_path / "markup").glob("part-*"))) <= 4
+
+
+def test_resumed_stream_has_work_for_every_core(spark, tmp_path, monkeypatch):
+    import catalog
+    text = " ".join(["the red fox and the dog ran home"] * 12)
+    spark.createDataFrame([(i, "s", "en", text) for i in range(80)], "doc_id bigint, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    batches = []
+    known = st.limited_vocab_spans
+    monkeypatch.setattr(st, "limited_vocab_spans", lambda batch, *a, **k: batches.append(batch.select(F.input_file_name()).distinct().count()) or known(batch, *a, **k))
+    rows = catalog.QUERIES["stream_resume"](spark, str(tmp_path)).collect()
+    want = cu.limited_vocab_spans(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.createDataFrame([(w,) for w in set(text.split())], "word string"), ["doc_id"])
+    assert Counter((r["doc_id"], r["start"]) for r in rows) == Counter((r["doc_id"], r["start"]) for r in want.collect())
+    assert rows and len(batches) == 4 and max(batches) >= spark.sparkContext.defaultParallelism
