@@ -88,3 +88,64 @@ def test_bounded_sets_and_empty_table(spark, texts):
     assert [r["part"] for r in se.trained_sentences(texts.where("doc_id > 999"), empty).collect()] == []
     df = spark.createDataFrame([("One. Two",)], "text string").withColumn("part_x", F.lit(1))
     assert [r["part"] for r in se.trained_sentences(df, empty).orderBy("part_no").collect()] == ["One.", "Two"]
+
+
+def every_token(text, model):
+    """The sentences, with a look at every token."""
+    spots = list(re.finditer(r"\S+", text))
+    bare = [re.sub(r"^[^\w.]+|[^\w.]+$|_", "", m.group()) for m in spots]
+
+    def word(token: str) -> str:
+        low = token.rstrip(".").lower()
+        return se.NUMBER if re.fullmatch(r"[0-9][0-9.,]*", low) else low
+
+    out, start = [], None
+    for k, m in enumerate(spots):
+        start = m.start() if start is None else start
+        raw, token = m.group().rstrip("\"'”’»)]}"), bare[k]
+        after = bare[k + 1] if k + 1 < len(spots) else ""
+        if raw.endswith(("!", "?")):
+            stop = True
+        elif not raw.endswith("."):
+            stop = False
+        elif k + 1 == len(spots):
+            stop = True
+        elif (word(token), word(after)) in model.collocations:
+            stop = False
+        elif raw.endswith("..."):
+            stop = after[:1].isupper()
+        else:
+            small = after[:1].islower()
+            initial = len(word(token)) == 1 and word(token).isalpha()
+            if word(token) in model.abbreviations or initial:
+                stop = not initial and after[:1].isupper() and (word(after) in model.starters or word(after) in model.lower)
+            elif word(token) == se.NUMBER:
+                stop = not small
+            else:
+                stop = True
+        if stop:
+            out.append(text[start: m.end()])
+            start = None
+    if start is not None:
+        out.append(text[start: spots[-1].end()])
+    return out
+
+
+def test_only_tokens_with_a_mark_are_looked_at(monkeypatch):
+    model = se.Boundaries(frozenset({"dr", "e.g"}), frozenset({("j", "weber")}), frozenset({"the"}), frozenset({"so"}))
+    rng = random.Random(8)
+    tokens = ["Dr.", "e.g.", "J.", "Weber", "the", "The", "So", "end.", 'end."', "(x.)", "...", "well...", "3.", "4.5", "what?!", ".", "!", "a_b.", "so", "»oh!«", "'t.", ".x", "x.]}"]
+    for _ in range(3000):
+        text = "".join(rng.choice(tokens) + rng.choice([" ", " ", "\n", "\u00a0", "\x1c "]) for _ in range(rng.randrange(0, 9)))
+        text = rng.choice(["", " ", "\t"]) + (text if rng.random() < 0.5 else text.rstrip())
+        assert se.cut_sentences(text, model) == every_token(text, model), text
+    looked = []
+
+    class Bare:
+        def sub(self, new, token):
+            looked.append(token)
+            return token
+
+    monkeypatch.setattr(se, "_BARE", Bare())
+    assert se.cut_sentences("word " * 5000 + "end. Then " + "word " * 5000, model) == ["word " * 5000 + "end.", ("Then " + "word " * 5000).rstrip()]
+    assert looked == ["end.", "Then"]

@@ -9,6 +9,7 @@ bounded, and texts are cut by them row by row.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -23,6 +24,9 @@ ALMOST_ALWAYS = 0.99
 MOST = 100_000   # entries of each learned set, the strongest first
 NUMBER = "##"
 _TRIM = r"^[^\p{L}\p{N}.]+|[^\p{L}\p{N}.]+$"
+CLOSERS = "\"'”’»)]}"
+_BARE, _NUMBER, _TOKEN = re.compile(r"^[^\w.]+|[^\w.]+$|_"), re.compile(r"[0-9][0-9.,]*"), re.compile(r"\S+")
+_MARKED = re.compile(rf"(?<!\S)\S*[.!?][{re.escape(CLOSERS)}]*(?!\S)")
 _CLOSE = r"[.!?:][^\p{L}\p{N}]*$"
 
 
@@ -128,25 +132,23 @@ def learn_boundaries(df: DataFrame, text: str = "text", most: int = MOST) -> Bou
 
 def cut_sentences(text: str, model: Boundaries) -> list[str]:
     """The sentences of one text, without the white space between them."""
-    import re
-
-    spots = list(re.finditer(r"\S+", text))
-    bare = [re.sub(r"^[^\w.]+|[^\w.]+$|_", "", m.group()) for m in spots]
+    def bare(token: str) -> str:
+        return _BARE.sub("", token)
 
     def word(token: str) -> str:
         low = token.rstrip(".").lower()
-        return NUMBER if re.fullmatch(r"[0-9][0-9.,]*", low) else low
-
-    out, start = [], None
-    for k, m in enumerate(spots):
-        start = m.start() if start is None else start
-        raw, token = m.group().rstrip("\"'”’»)]}"), bare[k]
-        after = bare[k + 1] if k + 1 < len(spots) else ""
+        return NUMBER if _NUMBER.fullmatch(low) else low
+
+    first = _TOKEN.search(text)
+    if first is None:
+        return []
+    out, start = [], first.start()
+    for m in _MARKED.finditer(text):  # only a token with a mark at its end can end a sentence
+        raw, token, following = m.group().rstrip(CLOSERS), bare(m.group()), _TOKEN.search(text, m.end())
+        after = bare(following.group()) if following else ""
         if raw.endswith(("!", "?")):
             stop = True
-        elif not raw.endswith("."):
-            stop = False
-        elif k + 1 == len(spots):
+        elif following is None:
             stop = True
         elif (word(token), word(after)) in model.collocations:
             stop = False
@@ -163,9 +165,9 @@ def cut_sentences(text: str, model: Boundaries) -> list[str]:
                 stop = True
         if stop:
             out.append(text[start: m.end()])
-            start = None
+            start = following.start() if following else None
     if start is not None:
-        out.append(text[start: spots[-1].end()])
+        out.append(text[start:].rstrip())
     return out
 
 
