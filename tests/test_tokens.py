@@ -207,3 +207,17 @@ def test_experiment_rows(spark):
     ).collect()
     assert [(r["tokenizer"], r["vocab_size"]) for r in out] == [("BPE", "128"), ("WordPiece", "128")]
     assert saved == ["BPE_128", "WordPiece_128"] and all(r["cola"] == 0.0 for r in out)
+
+
+def test_a_piece_is_split_once_for_all_batches():
+    import pyarrow as pa
+
+    calls = []
+    split = lambda p: calls.append(p) or list(p)
+    memo = {}
+    rows = pa.array([["ab", "c", "ab"], None, [], ["", "c"], ["ab"]], pa.list_(pa.string()))
+    want = [["a", "b", "c", "a", "b"], [], [], ["c"], ["a", "b"]]
+    assert tk._split_batch(rows, split, memo, pa.string()).to_pylist() == want
+    assert tk._split_batch(rows.slice(2), split, memo, pa.string()).to_pylist() == want[2:]
+    assert sorted(calls) == ["", "ab", "c"]
+    assert tk._split_batch(rows.slice(1, 2), split, memo, pa.string()).to_pylist() == [[], []]

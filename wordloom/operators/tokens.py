@@ -13,6 +13,9 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wordloom.functions import text as tx
@@ -45,6 +48,7 @@ LOWERED = ("bert-base-uncased", "albert-base-v2")
 IGNORED_LABEL = -100
 # -------------------------------------------------------------------------------------------
 SEP = "\u0001"  # between the symbols of a piece
+MEMO = 200_000  # pieces whose tokens a task remembers
 LOCAL_SYMBOLS = 4_000_000  # pieces of so many symbols together (16 MB) are merged on the driver
 
 
@@ -418,25 +422,36 @@ def _tables(model: Subwords) -> tuple[dict, dict]:
     return ranks, ids
 
 
+def _split_batch(rows: pa.Array, split, memo: dict, kind: pa.DataType) -> pa.Array:
+    """Lists of pieces to lists of what ``split`` gives for them; each different piece is split once.
+    Pieces of earlier batches are kept in ``memo``, at most MEMO."""
+    coded = rows.flatten().dictionary_encode()  # NULL rows have no pieces
+    parts = []
+    for p in coded.dictionary.to_pylist():
+        if (found := memo.get(p)) is None:
+            if len(memo) >= MEMO:
+                memo.clear()
+            found = memo[p] = split(p)
+        parts.append(found)
+    which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = np.array([len(x) for x in parts], np.int64)
+    begins, counts = (np.cumsum(sizes) - sizes)[which], sizes[which]
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    at = np.repeat(begins - ends[:-1], counts) + np.arange(ends[-1])
+    lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+    offsets = ends[np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)]
+    values = pa.array([t for x in parts for t in x], kind).take(pa.array(at, pa.int64()))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
 def token_splitter(model: Subwords):
     """Column function: array of pieces to array of tokens."""
     ranks, ids = _tables(model)
-    split = _splitter(model.family, ranks, set(ids))
+    split, memo = _splitter(model.family, ranks, set(ids)), {}
 
-    @F.pandas_udf("array<string>")
-    def encode(rows):
-        import pandas as pd
-
-        memo: dict = {}
-        out = []
-        for pieces in rows:
-            tokens: list = []
-            for p in () if pieces is None else pieces:
-                if p not in memo:
-                    memo[p] = split(p)
-                tokens += memo[p]
-            out.append(tokens)
-        return pd.Series(out)
+    @F.arrow_udf("array<string>")
+    def encode(rows: pa.Array) -> pa.Array:
+        return _split_batch(rows, split, memo, pa.string())
 
     return encode
 
@@ -444,22 +459,11 @@ def token_splitter(model: Subwords):
 def id_splitter(model: Subwords):
     """Column function: array of pieces to array of token ids."""
     ranks, ids = _tables(model)
-    split = _splitter(model.family, ranks, set(ids))
-
-    @F.pandas_udf("array<int>")
-    def encode(rows):
-        import pandas as pd
-
-        memo: dict = {}
-        out = []
-        for pieces in rows:
-            tokens: list = []
-            for p in () if pieces is None else pieces:
-                if p not in memo:
-                    memo[p] = [ids[t] for t in split(p)]
-                tokens += memo[p]
-            out.append(tokens)
-        return pd.Series(out)
+    split, memo = _splitter(model.family, ranks, set(ids)), {}
+
+    @F.arrow_udf("array<int>")
+    def encode(rows: pa.Array) -> pa.Array:
+        return _split_batch(rows, lambda p: [ids[t] for t in split(p)], memo, pa.int32())
 
     return encode
 
