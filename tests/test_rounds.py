@@ -98,3 +98,20 @@ def test_segments_are_cut_at_rare_pairs_only():
     assert segments(2) == [[1, 2, 3, 1, 2], [2, 3]]
     assert segments(5) == [[1, 2, 3], [1, 2], [2, 3]]
     assert segments(9) == [[1, 2], [1, 2]]
+
+
+@pytest.mark.parametrize("options", [{}, {"regions": 6}, {"regions": 40, "rewrite_every": 2}])
+def test_likelihood_order_with_any_bounds(spark, options, monkeypatch):
+    words = invented(random.Random(5), "abcde", 160, 12) + [("z" * 9, 3), ("zzzzza", 2), ("q", 1000), ("xy", 1)]
+    want = FlatPieces([(list(w), n) for w, n in words], True, 1).train(60, lambda a, b: a + b)
+    rows = [(w, n, "".join(f"{c}\x01" for c in w)) for w, n in words]
+    df = spark.createDataFrame(rows, "piece string, frequency bigint, symbols string").repartition(3)
+    names = sorted({c for w, _ in words for c in w})
+    pieces = rounds.numbered(df, tk._split_symbols, {s: k for k, s in enumerate(names)})
+    calls = []
+    old = rounds._regions
+    monkeypatch.setattr(rounds, "_regions", lambda *a: calls.append(1) or old(*a))
+    pieces, merges = rounds.train_likelihood(pieces, names, 60, lambda a, b: a + b, **options)
+    replay = replayer(want)
+    assert merges == want and {r["piece"]: r["tokens"] for r in rounds.named(pieces, names).collect()} == {w: replay(list(w)) for w, _ in words}
+    assert options or len(calls) < 10  # not a job for every merge

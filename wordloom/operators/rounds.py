@@ -42,6 +42,8 @@ REGIONS = 150_000      # regions that a round may send to it
 CANDIDATES = 4_096     # of a round, at most
 CONTEXT = 4            # symbols kept on each side of a candidate, at most
 REWRITE = 6            # rounds between two versions of the pieces
+LIKELY = 20_000        # candidates of a round by likelihood, at most
+WHOLE = 2**30          # context that no piece exceeds
 SEGMENTS = 4_000_000   # symbols of all segments that a stage may send to the driver
 LEVELS = (16, 64, 256, 1_024, 4_096, 16_384)  # of the first pairs, from which a stage's least count is chosen
 SAMPLED = 64           # one of so many segments is counted beforehand
@@ -537,3 +539,129 @@ def _play(flat: _Regions, room: int, limit: tuple | None, take: Callable[[int],
             break  # pairs of an older symbol, also such that were no candidates, got more frequent
     changed = {p: flat.pairs.get(p, 0) - start.get(p, 0) for p in {*start, *flat.pairs}}
     return {p: n for p, n in changed.items() if n and flat.known(p)}
+
+
+# --- by likelihood ---------------------------------------------------------------------------
+class _Likelihoods(FlatPieces):
+    """Counts of all pairs and symbols, and the pieces of a round, which hold all places of some pairs."""
+
+    def __init__(self, names: list[str], number: dict[str, int], least: int):
+        self.likelihood, self.least, self.hot = True, least, 0.0
+        self.names, self.number = names, number
+        self.pairs, self.single, self.near, self.heap = {}, [], {}, []
+
+    def read(self, pieces: DataFrame, merges: list[tuple[int, int, int]]) -> None:
+        """All counts, from a job: bounded by the vocabulary, not by the corpus."""
+        self.pairs, self.near, self.heap, self.hot = {}, {}, [], 0.0
+        self.single = [0] * len(self.names)
+        singles = _singles(pieces, merges).toArrow()
+        for symbol, n in zip(singles.column(0).to_pylist(), singles.column(1).to_pylist()):
+            self.single[symbol] = n
+        rows = _counts(pieces, merges).toArrow()
+        left, right = (rows.column(c).to_numpy().astype(np.int64) for c in ("left", "right"))
+        self._add(left << _SHIFT | right, rows.column("count").to_numpy())
+
+    def hold(self, regions: list[bytes], counts: list[int]) -> None:
+        gap = np.array([-1], np.int32).tobytes()
+        self.sym = np.frombuffer(gap + gap.join(regions) + gap, np.int32).copy()
+        sizes = np.array([len(r) // 4 for r in regions], np.int64)
+        self.starts = (np.cumsum(sizes + 1) - sizes).astype(np.int32)
+        self.weights = np.array(counts, np.int64)
+        self.size = np.ones(len(self.sym), np.int32)
+        self.places = {}
+
+    def best(self) -> int | None:
+        """The best pair; it stays in the heap."""
+        if (pair := self._best()) is None:
+            return None
+        key = self.number[pair[0]] << _SHIFT | self.number[pair[1]]
+        heapq.heappush(self.heap, (-self.value(key), *pair))
+        return key
+
+    def first(self, places: int) -> list[int]:
+        """The first pairs of the order, which together have at most so many places; at least one."""
+        out, total = [], 0
+        while len(out) < LIKELY and (pair := self._best()) is not None:
+            key = self.number[pair[0]] << _SHIFT | self.number[pair[1]]
+            out.append(key)
+            total += self.pairs[key]
+            if total > places:
+                break
+        taken = out[:-1] if total > places and len(out) > 1 else out
+        for key in out:
+            heapq.heappush(self.heap, (-self.value(key), self.names[key >> _SHIFT], self.names[key & (2**_SHIFT - 1)]))
+        return taken
+
+
+def _singles(pieces: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """symbol, count over all pieces."""
+
+    def run(batches):
+        merger = Merger(merges)
+        for batch in batches:
+            sym, ends = merger.apply(*_flat(batch.column(1)))
+            weight = np.repeat(batch.column(0).to_numpy(), np.diff(ends))
+            found, which = np.unique(sym, return_inverse=True)
+            sums = np.zeros(len(found), np.int64)
+            np.add.at(sums, which, weight)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(sums)], ["symbol", "n"])
+
+    rows = pieces.select("frequency", "ids").mapInArrow(run, "symbol bigint, n bigint")
+    return rows.groupBy("symbol").agg(F.sum("n").alias("count"))
+
+
+def train_likelihood(pieces: DataFrame, names: list[str], room: int, merge: Callable[[str, str], str], min_frequency: int = 1,
+                     regions: int = REGIONS, rewrite_every: int = REWRITE) -> tuple[DataFrame, list[tuple[int, str, str, str]]]:
+    """As ``train``, but the best pair is the one with the largest count over the product of both symbols' counts.
+
+    The driver holds the counts of all pairs and symbols.  A round brings all pieces that
+    hold one of the first pairs, whole; so the merges of these pairs, and of pairs with a
+    symbol made in the round, change every count exactly.  It ends where another pair is best.
+    """
+    spark = pieces.sparkSession
+    number = {s: k for k, s in enumerate(names)}
+    made: list[tuple[int, int, int]] = []
+    since: list[tuple[int, int, int]] = []  # merges that the stored pieces do not have yet
+    seen: set[int] = set()
+    stored, rounds = spread(pieces), 0
+    table = _Likelihoods(names, number, max(1, min_frequency))
+    table.read(stored, [])
+
+    def take(key: int) -> tuple[str, str, str]:
+        a, b = key >> _SHIFT, key & (2**_SHIFT - 1)
+        return names[a], names[b], merge(names[a], names[b])
+
+    def note(key: int, symbol: int) -> None:
+        step = (key >> _SHIFT, key & (2**_SHIFT - 1), symbol)
+        made.append(step)
+        since.append(step)
+        seen.add(symbol)
+
+    places = regions  # of the candidates in the corpus; a piece may have many
+    while room > len(seen) and (candidates := table.first(places)):
+        rows = _regions(stored, since, candidates, WHOLE).limit(regions + 1).toArrow()
+        if rows.num_rows > regions and len(candidates) > 1:
+            places = max(1, places // 8)
+            continue
+        if rows.num_rows < regions // 8 and len(candidates) < LIKELY:
+            places *= 4
+        if rows.num_rows > regions:  # of one pair: its changes from a job
+            _, _, name = take(candidates[0])
+            if name not in number:
+                number[name] = len(names)
+                names.append(name)
+            note(candidates[0], number[name])
+            table.read(stored, since)
+            continue
+        table.hold(rows.column(0).to_pylist(), rows.column(1).to_pylist())
+        here, old = set(candidates), len(names)
+        while len(seen) < room and (key := table.best()) is not None and (key in here or max(key >> _SHIFT, key & (2**_SHIFT - 1)) >= old):
+            left, right, name = take(key)
+            table._merge(left, right, name)
+            note(key, number[name])
+        rounds += 1
+        if rounds % rewrite_every == 0:
+            path = scratch_dir(spark, "subword-pieces")
+            merged(stored, since).write.parquet(path)
+            stored, since = spark.read.schema("piece string, frequency bigint, ids array<int>").parquet(path), []
+    return merged(stored, since), [(k, names[a], names[b], names[m]) for k, (a, b, m) in enumerate(made)]

@@ -8,8 +8,6 @@ batch once.  Masking is an array expression keyed by hashes.
 
 from __future__ import annotations
 
-import heapq
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -138,101 +136,6 @@ def _merged(left: str, right: str) -> str:
     return left + right.removeprefix(CONTINUATION)
 
 
-def _merge_symbols(c: Column, left: str, right: str, merged: str) -> Column:
-    pattern = f"(?<={SEP}){re.escape(left)}{SEP}{re.escape(right)}(?={SEP})"
-    return F.regexp_replace(c, pattern, merged.replace("\\", "\\\\").replace("$", "\\$"))
-
-
-class _PairTable:
-    """Counts of adjacent symbols and a heap of the best pairs.
-
-    One entry per pair of vocabulary entries that meets in some piece: its size
-    is bounded by the vocabulary, not by the corpus.
-    """
-
-    def __init__(self, likelihood: bool, min_frequency: int):
-        self.likelihood, self.least = likelihood, min_frequency
-        self.pairs: dict[tuple[str, str], int] = {}
-        self.single: dict[str, int] = {}
-        self.before: dict[str, set[str]] = {}  # symbol -> those that stand before it
-        self.after: dict[str, set[str]] = {}
-        self.heap: list[tuple[float, str, str]] = []
-
-    def value(self, pair: tuple[str, str]) -> float:
-        n = self.pairs.get(pair, 0)
-        if n <= 0 or n < self.least:
-            return 0.0
-        return n / (float(self.single[pair[0]]) * float(self.single[pair[1]])) if self.likelihood else n
-
-    def add(self, rows) -> None:
-        """Apply changes (left, right, count); without a right symbol it is a symbol's count."""
-        touched = set()
-        for left, right, n in rows:
-            if right is None:
-                self.single[left] = self.single.get(left, 0) + n
-                if self.likelihood:
-                    touched |= {(left, y) for y in self.after.get(left, ())} | {(x, left) for x in self.before.get(left, ())}
-                continue
-            pair = (left, right)
-            self.pairs[pair] = self.pairs.get(pair, 0) + n
-            self.before.setdefault(right, set()).add(left)
-            self.after.setdefault(left, set()).add(right)
-            touched.add(pair)
-        for pair in touched:
-            if self.value(pair) > 0:
-                heapq.heappush(self.heap, (-self.value(pair), *pair))
-
-    def _pop(self) -> tuple[str, str] | None:
-        while self.heap:
-            value, *pair = heapq.heappop(self.heap)
-            if self.value(tuple(pair)) == -value:
-                return tuple(pair)
-        return None
-
-    def _newborn(self, pair: tuple[str, str]) -> int:
-        """No pair with the merged symbol can be more frequent than this."""
-        a, b = pair
-        around = [self.pairs[x, a] for x in self.before.get(a, ())] + [self.pairs[b, y] for y in self.after.get(b, ())]
-        return min(self.pairs[pair], max(around, default=0))
-
-    def best(self, room: int, made_before) -> list[tuple[str, str]]:
-        """The next merges of the greedy order, as far as it is certain: each is the best
-        pair left, shares no symbol with those before it, and is more frequent than any
-        pair that they can give birth to.  Likelihoods are certain for one merge only."""
-        out, used, bound, popped = [], set(), 0, []
-        while len(out) < room and (pair := self._pop()):
-            popped.append(pair)
-            if out and (used & set(pair) or self.pairs[pair] <= bound):
-                break
-            out.append(pair)
-            used |= set(pair)
-            bound = max(bound, self._newborn(pair))
-            if self.likelihood or made_before(*pair):  # a symbol made before gains more pairs
-                break
-        for pair in popped:
-            heapq.heappush(self.heap, (-self.value(pair), *pair))
-        return out
-
-
-def _entries(symbols: Column, sign: int, singles: bool) -> Column:
-    """Pairs of a piece, and its symbols (right is NULL) if asked for, each counting ``sign``."""
-
-    def of(s: Column) -> Column:
-        entry = lambda x, y: F.struct(x.alias("left"), y.cast("string").alias("right"), F.lit(sign).alias("sign"))
-        pairs = F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s)), entry)
-        return F.concat(pairs, F.transform(s, lambda x: entry(x, F.lit(None)))) if singles else pairs
-
-    # transform over a one-element array binds the symbols, which are used repeatedly
-    return F.element_at(F.transform(F.array(symbol_array(symbols)), of), 1)
-
-
-def _changes(words: DataFrame, entries: Column):
-    """(left, right, count) that differ from zero."""
-    rows = words.select(F.explode(entries).alias("e"), "frequency")
-    counts = rows.groupBy("e.left", "e.right").agg(F.sum(F.col("e.sign") * F.col("frequency")).alias("count"))
-    return [tuple(r) for r in counts.where("count <> 0").collect()]
-
-
 def _symbol_rows(words: DataFrame):
     """Symbols and frequency of each piece, through Arrow."""
     for batch in words.select("symbols", "frequency").toArrow().to_batches():
@@ -265,8 +168,8 @@ def train_tokenizer(
     are counted first: up to ``local_symbols`` symbols they are merged on the driver.
     Beyond, they stay distributed and the driver sees the regions around the best
     pairs (``rounds``).  ``score`` is "count" (the default) or "likelihood" (count over
-    the product of both symbols' counts), whose order no bound makes certain: then a
-    round of one merge is a job.  All ways give the same merges.  The unigram family has
+    the product of both symbols' counts), of which the driver holds all counts and sees
+    the pieces with the best pairs.  All ways give the same merges.  The unigram family has
     no merges; it is learned by ``unigram``.
     """
     lowered = family in LOWERED
@@ -292,35 +195,16 @@ def train_tokenizer(
     merges: list[tuple[int, str, str, str]] = []
     n_symbols = words.agg(F.sum(F.size(symbol_array("symbols")) + 1)).first()[0] or 0
     local = room > 0 and n_symbols <= local_symbols
-    spread = room > 0 and not local and not likelihood
+    spread = room > 0 and not local
     if local:
         merges = FlatPieces(_symbol_rows(words), likelihood, min_frequency).train(room, merge)
     elif spread:
         names = [r["token"] for r in alphabet.orderBy("pos").collect()]
         pieces = rounds.numbered(words, _split_symbols, {s: k for k, s in enumerate(names)})
-        pieces, merges = rounds.train(pieces, names, room, merge, min_frequency)
-    job_a_merge = room > 0 and not local and not spread
-    table = _PairTable(likelihood, min_frequency)
-    table.add(_changes(words, _entries(F.col("symbols"), 1, likelihood)) if job_a_merge else [])
-    seen: set[str] = set()  # symbols made so far: two merges may build the same one
-    done = 0
-    while job_a_merge and room > len(seen):
-        best = table.best(room - len(seen), lambda left, right: merge(left, right) in seen)
-        if not best:
-            break
-        new, held = F.col("symbols"), F.lit(False)
-        for left, right in best:
-            merged = merge(left, right)
-            merges.append((len(merges), left, right, merged))
-            seen.add(merged)
-            new = _merge_symbols(new, left, right, merged)
-            held = held | F.contains("symbols", F.lit(f"{SEP}{left}{SEP}{right}{SEP}"))
-        entries = F.concat(_entries(F.col("symbols"), -1, likelihood), _entries(new, 1, likelihood))
-        table.add(_changes(words.where(held), entries))
-        words = words.withColumn("symbols", F.when(held, new).otherwise(F.col("symbols")))
-        done += 1
-        if done % cut_every == 0:
-            words = checkpointed(words)
+        if likelihood:
+            pieces, merges = rounds.train_likelihood(pieces, names, room, merge, min_frequency, rewrite_every=cut_every)
+        else:
+            pieces, merges = rounds.train(pieces, names, room, merge, min_frequency)
     merge_rows = local_table(spark, merges, "rank bigint, left string, right string, merged string")
     made = merge_rows.groupBy("merged").agg(F.min("rank").alias("rank"))
     made = global_position(made, ["rank"], "pos")
