@@ -221,3 +221,41 @@ def test_a_piece_is_split_once_for_all_batches():
     assert tk._split_batch(rows.slice(2), split, memo, pa.string()).to_pylist() == want[2:]
     assert sorted(calls) == ["", "ab", "c"]
     assert tk._split_batch(rows.slice(1, 2), split, memo, pa.string()).to_pylist() == [[], []]
+
+
+def test_experiment_encodes_examples_once_and_deals_words_out(spark):
+    df = corpus(spark)
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        calls.add(1)
+        return text
+
+    parts = spark.createDataFrame([("lower", ["low", "er"]), ("unseen", ["un", "seen"])], "word string, parts array<string>")
+    tasks = df.select((F.length("text") % 2).cast("string").alias("task"), counted.asNondeterministic()("text").alias("text"))
+    out = tokenizer_experiment(df, df, parts, ["BPE"], [128], tasks).collect()
+    assert calls.value == df.count() and len(out) == 1
+    # the shared words hold those of the parts too, and the scores are those of each table alone
+    model = tk.train_tokenizer(df, "text", "BPE", 128)
+    words = df.select(F.explode(F.split("text", " ")).alias("word"))
+    assert out[0]["manual_evaluation"] == tk.morph_score(tk.encode_words(parts, model), parts).first()[0]
+    want = tk.tokenizer_split_ratio(df, tk.encode_words(words, model)).first()
+    assert all(out[0][c] == pytest.approx(want[c]) for c in want.asDict())
+    encoded = tk.encode_words(words, model)
+    assert encoded.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_merging_side_by_side_equals_each_piece_alone():
+    rng = random.Random(3)
+    for family, base in (("bpe", list("abcé漢")), ("bytes", ["61", "62", "63", "C3", "A9"])):
+        for _ in range(20):
+            symbols, ranks = list(base), {}
+            for rank in range(60):  # some symbols are made in several ways
+                left, right = rng.choice(symbols), rng.choice(symbols)
+                ranks.setdefault((left, right), rank)
+                symbols.append(left + right)
+            split = tk._splitter(family, ranks, set(symbols) - {rng.choice(symbols)})
+            pieces = ["".join(rng.choice("abcé漢") for _ in range(rng.randrange(30))) for _ in range(200)] + ["abc" * 100, "a" * 50]
+            assert split.many(pieces) == [split(p) for p in pieces]
+    assert tk._splitter("bpe", {}, {"a"}).many(["ab", ""]) == [["a", "<unk>"], []]

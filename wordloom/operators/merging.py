@@ -189,6 +189,90 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first][total != 0], total[total != 0]
 
 
+class SideBySide:
+    """Pieces cut by merges, many at once: at each turn every piece merges its best pair, the leftmost place first."""
+
+    LONGEST = 64  # symbols of a piece that is cut together with others
+    _NEVER = 2**31 - 1
+    _MADE = 0x110000  # numbers of made symbols; below, a code point or a byte
+
+    def __init__(self, ranks: dict[tuple[str, str], int], known: set[str], unknown: str, in_bytes: bool):
+        self.in_bytes, self.known, self.unknown, self.names = in_bytes, known, unknown, []
+        number: dict[str, int] = {}
+
+        def of(name: str) -> int:
+            if len(name) == 1 + in_bytes:
+                return int(name, 16) if in_bytes else ord(name)
+            if name not in number:
+                number[name] = self._MADE + len(self.names)
+                self.names.append(name)
+            return number[name]
+
+        rows = sorted((of(a) << _SHIFT | of(b), of(a + b), rank) for (a, b), rank in ranks.items())
+        self.keys, self.made, self.rank = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair, and what it becomes."""
+        if not len(self.keys):
+            return np.full(len(left), self._NEVER), left
+        keys = left << _SHIFT | right
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == keys, self.rank[at], self._NEVER), self.made[at]
+
+    def _name(self, symbol: int) -> str:
+        if symbol >= self._MADE:
+            name = self.names[symbol - self._MADE]
+        else:
+            name = f"{symbol:02X}" if self.in_bytes else chr(symbol)
+        return name if name in self.known else self.unknown
+
+    def cut(self, pieces: list[str], alone: Callable[[str], list[str]]) -> list[list[str]]:
+        """Tokens of each piece; ``alone`` cuts the very long ones."""
+        forms = [p.encode("utf-8") for p in pieces] if self.in_bytes else pieces
+        out: list = [[] if not f else alone(p) if len(f) > self.LONGEST else None for p, f in zip(pieces, forms)]
+        which = [k for k, tokens in enumerate(out) if tokens is None]
+        if not which:
+            return out
+        if self.in_bytes:
+            work = np.frombuffer(b"".join(forms[k] for k in which), np.uint8).astype(np.int64)
+        else:
+            work = np.frombuffer("".join(forms[k] for k in which).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        counts, of = np.array([len(forms[k]) for k in which], np.int64), np.arange(len(which))
+        ends = np.cumsum(counts)
+        rank, made = np.full(len(work), self._NEVER), np.zeros(len(work), np.int64)
+        inner = np.ones(len(work), bool)
+        inner[ends - 1] = False
+        inner = np.flatnonzero(inner)
+        rank[inner], made[inner] = self._ranks(work[inner], work[inner + 1])
+        done_work, done_of = [], []
+        while len(of):
+            begin = np.cumsum(counts) - counts
+            first = np.minimum.reduceat(rank << _SHIFT | np.arange(len(work)), begin)
+            goes_on = (first >> _SHIFT) < self._NEVER
+            stay = np.repeat(goes_on, counts)
+            done_work.append(work[~stay])
+            done_of.append(np.repeat(of[~goes_on], counts[~goes_on]))
+            places = first[goes_on] & (2**_SHIFT - 1)
+            work[places] = made[places]
+            stay[places + 1] = False
+            places = (np.cumsum(stay) - 1)[places]
+            work, rank, made, of, counts = work[stay], rank[stay], made[stay], of[goes_on], counts[goes_on] - 1
+            begin = np.cumsum(counts) - counts
+            rank[places] = self._NEVER
+            at = np.concatenate([places[places > begin] - 1, places[places < begin + counts - 1]])
+            rank[at], made[at] = self._ranks(work[at], work[at + 1])
+        work, of = np.concatenate(done_work), np.concatenate(done_of)
+        order = np.argsort(of, kind="stable")
+        symbols, index = np.unique(work[order], return_inverse=True)
+        names = [self._name(s) for s in symbols.tolist()]
+        tokens, at = [names[k] for k in index.tolist()], 0
+        for k, n in zip(which, np.bincount(of, minlength=len(which)).tolist()):
+            out[k] = tokens[at: at + n]
+            at += n
+        return out
+
+
 def replayer(merges: list[tuple[int, str, str, str]]):
     """Function from the symbols of a piece to its tokens after ``merges``.  A pair may be
     merged at several ranks: one that appears late waits for the next of them."""

@@ -20,7 +20,7 @@ from wordloom.functions import text as tx
 from wordloom.functions.arrays import attention_mask, fit_array
 from wordloom.functions.keys import KEY_BITS, hash_key
 from wordloom.operators import rounds, unigram
-from wordloom.operators.merging import FlatPieces, replayer
+from wordloom.operators.merging import FlatPieces, SideBySide, replayer
 from wordloom.operators.ordering import global_position
 from wordloom.session import checkpointed, local_table
 
@@ -47,6 +47,7 @@ IGNORED_LABEL = -100
 # -------------------------------------------------------------------------------------------
 SEP = "\u0001"  # between the symbols of a piece
 MEMO = 200_000  # pieces whose tokens a task remembers
+AT_ONCE = 16_384  # pieces that are split side by side
 LOCAL_SYMBOLS = 4_000_000  # pieces of so many symbols together (16 MB) are merged on the driver
 
 
@@ -248,7 +249,8 @@ def cut_to(model: Subwords, vocab_size: int) -> Subwords:
 # --- encoding --------------------------------------------------------------------------------
 def _splitter(family: str, ranks: dict, known: set):
     """Function from a piece to its tokens.  Small and self-contained, so that
-    it can be sent to the Python workers on its own."""
+    it can be sent to the Python workers on its own.  Its attribute ``many``, if
+    there is one, splits a list of pieces to the same tokens, side by side."""
     unk, cont = UNKNOWN[0], CONTINUATION
     longest = max(map(len, known), default=0)  # of the vocabulary, so a long piece costs no more per character
 
@@ -291,7 +293,11 @@ def _splitter(family: str, ranks: dict, known: set):
     if family == "unigram":
         unknown = unigram.penalty(ranks)
         return lambda piece: [unk if t is None else t for t in unigram.best_cut(piece, ranks, unknown)[1]]
-    return longest_first if family == "wordpiece" else by_merges
+    if family == "wordpiece":
+        return longest_first
+    side_by_side = SideBySide(ranks, known, unk, family == "bytes")
+    by_merges.many = lambda pieces: side_by_side.cut(pieces, by_merges)
+    return by_merges
 
 
 def _tables(model: Subwords) -> tuple[dict, dict]:
@@ -310,13 +316,16 @@ def _split_batch(rows: pa.Array, split, memo: dict, kind: pa.DataType) -> pa.Arr
     """Lists of pieces to lists of what ``split`` gives for them; each different piece is split once.
     Pieces of earlier batches are kept in ``memo``, at most MEMO."""
     coded = rows.flatten().dictionary_encode()  # NULL rows have no pieces
-    parts = []
-    for p in coded.dictionary.to_pylist():
-        if (found := memo.get(p)) is None:
+    pieces = coded.dictionary.to_pylist()
+    parts = [memo.get(p) for p in pieces]
+    fresh = [k for k, found in enumerate(parts) if found is None]
+    many = getattr(split, "many", lambda some: [split(p) for p in some])
+    for lo in range(0, len(fresh), AT_ONCE):
+        some = fresh[lo: lo + AT_ONCE]
+        for k, found in zip(some, many([pieces[k] for k in some])):
             if len(memo) >= MEMO:
                 memo.clear()
-            found = memo[p] = split(p)
-        parts.append(found)
+            parts[k] = memo[pieces[k]] = found
     which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     sizes = np.array([len(x) for x in parts], np.int64)
     begins, counts = (np.cumsum(sizes) - sizes)[which], sizes[which]
@@ -345,16 +354,23 @@ def id_splitter(model: Subwords):
     ranks, ids = _tables(model)
     split, memo = _splitter(model.family, ranks, set(ids)), {}
 
+    def to_ids(piece):
+        return [ids[t] for t in split(piece)]
+
+    if hasattr(split, "many"):
+        to_ids.many = lambda pieces: [[ids[t] for t in tokens] for tokens in split.many(pieces)]
+
     @F.arrow_udf("array<int>")
     def encode(rows: pa.Array) -> pa.Array:
-        return _split_batch(rows, lambda p: [ids[t] for t in split(p)], memo, pa.int32())
+        return _split_batch(rows, to_ids, memo, pa.int32())
 
     return encode
 
 
 def encode_words(words: DataFrame, model: Subwords, word: str = "word") -> DataFrame:
-    """word, tokens for every distinct word, each encoded alone."""
-    distinct = words.select(word).distinct()
+    """word, tokens for every distinct word, each encoded alone; dealt out evenly, as splitting costs far more than a word's size."""
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = words.select(word).distinct().repartition(parts, word)
     return distinct.select(word, token_splitter(model)(text_pieces(word, model.family)).alias("tokens"))
 
 
@@ -471,17 +487,23 @@ def mask_check(df: DataFrame, ids: str = "input_ids", labels: str = "labels", ma
 
 
 # --- scores ------------------------------------------------------------------------------------
-def tokenizer_split_ratio(sentences: DataFrame, encoded: DataFrame, text: str = "text") -> DataFrame:
+def word_shares(sentences: DataFrame, text: str = "text") -> DataFrame:
+    """word, _n, _share: occurrences of each word, and the sum of its shares of the sentences."""
+    # the share is fixed before the explode, not recomputed for every word
+    split = sentences.select(F.split(text, " ").alias("_words")).withColumn("_share", F.lit(1.0) / F.size("_words"))
+    rows = split.select(F.explode("_words").alias("word"), "_share")
+    return rows.groupBy("word").agg(F.count(F.lit(1)).alias("_n"), F.sum("_share").alias("_share"))
+
+
+def tokenizer_split_ratio(sentences: DataFrame, encoded: DataFrame, text: str = "text", shares: DataFrame | None = None) -> DataFrame:
     """Mean tokens per sentence, mean of tokens per word by sentence, mean
     tokens per word.
 
     Each is a sum over word occurrences of a weight times the word's token
-    count, so occurrences are combined by word before the lookup.
+    count, so occurrences are combined by word before the lookup; ``shares``
+    has them (``word_shares``) where several vocabularies are compared.
     """
-    # the share is fixed before the explode, not recomputed for every word
-    split = sentences.select(F.split(text, " ").alias("_words")).withColumn("_share", F.lit(1.0) / F.size("_words"))
-    rows = split.select(F.explode("_words").alias("word"), "_share")
-    per_word = rows.groupBy("word").agg(F.count(F.lit(1)).alias("_n"), F.sum("_share").alias("_share"))
+    per_word = word_shares(sentences, text) if shares is None else shares
     sized = per_word.join(encoded.select("word", F.size("tokens").alias("_t")), "word", "left")
     t = F.coalesce("_t", F.lit(0))
     n = sentences.agg(F.count(text)).scalar()
