@@ -116,3 +116,54 @@ def test_versions_of_saved_vocabularies(spark, corpus, tmp_path):
 def test_empty_corpus(spark):
     model = tk.train_tokenizer(spark.createDataFrame([], "text string"), "text", "unigram", 200)
     assert model.vocab.count() == 106 and model.words.count() == 0
+
+
+def test_pieces_side_by_side_equal_each_alone():
+    rng = random.Random(2)
+    scores = {**SCORES, "é漢": -3.0, "😀": -4.0}
+    unknown, lattice = un.penalty(scores), un.Lattice(scores)
+    pieces = ["".join(rng.choice("abcé漢😀") for _ in range(rng.randrange(40))) for _ in range(500)] + ["ab" * 400, ""]
+    assert lattice.cut(pieces) == [un.best_cut(p, scores, unknown)[1] for p in pieces]
+    total, piece, token, value = lattice.expected(pieces)
+    found = [{} for _ in pieces]
+    for k, t, v in zip(piece.tolist(), token.tolist(), value.tolist()):
+        found[k][lattice.tokens[t]] = v
+    assert list(zip(total.tolist(), found)) == [un.expected(p, scores, unknown) for p in pieces]  # to the last bit
+    longer = [t for t in scores if len(t) > 1]
+    assert lattice.best(longer, whole=False)[0].tolist() == [un.best_cut(t, scores, unknown, without=t)[0] for t in longer]
+
+
+def test_sums_with_very_long_pieces_between_short_ones(spark):
+    rows = [("ab" * 3, 2), ("abba" * 40, 3), ("", 1), ("bca", 5), ("b" * 70, 1), ("a", 4)]
+    pieces = spark.createDataFrame(rows, "piece string, frequency bigint").coalesce(1)
+    sums = un._over_pieces(pieces, SCORES, un._expectations)
+    every = [(n, un.expected(p, SCORES, un.penalty(SCORES))) for p, n in rows]
+    assert math.isclose(sums.pop(None), sum(n * total for n, (total, _) in every), rel_tol=1e-12)
+    assert sums.keys() == {t for _, (_, counts) in every for t in counts}
+    assert all(math.isclose(v, sum(n * c.get(t, 0.0) for n, (_, c) in every), rel_tol=1e-12) for t, v in sums.items())
+
+
+@pytest.mark.parametrize("most", [1, 7, 40, 300, 5_000])
+def test_seeds_of_all_lengths_equal_all_substrings(spark, most):
+    rng = random.Random(most)
+    parts = ["ab", "cde", "fgh漢", "😀x", "longerpart", "z"]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randrange(8))) for _ in range(150)] + ["q" * 30, ""]
+    rows = [(w, rng.randrange(1, 9)) for w in sorted(set(words))]
+    brute = {}
+    for w, n in rows:
+        for a in range(len(w)):
+            for b in range(a + 1, min(len(w), a + un.LONGEST) + 1):
+                brute[w[a:b]] = brute.get(w[a:b], 0) + n
+    single, longer = un.seeds(spark.createDataFrame(rows, "piece string, frequency bigint").repartition(3), most)
+    assert dict(single) == {t: n for t, n in brute.items() if len(t) == 1}
+    assert longer == sorted(((t, n) for t, n in brute.items() if len(t) > 1 and n > 1), key=lambda x: (-x[1] * len(x[0]), x[0]))[:most]
+
+
+def test_seeds_make_only_frequent_parts_longer(spark, monkeypatch):
+    sizes = []
+    grams = un._grams
+    monkeypatch.setattr(un, "_grams", lambda pieces, parts, longest: sizes.append((longest, len(parts))) or grams(pieces, parts, longest))
+    rng = random.Random(5)
+    rows = [("common" * 3, 10_000)] + [("".join(rng.choice("abcdefgh") for _ in range(18)), 1) for _ in range(400)]
+    un.seeds(spark.createDataFrame(rows, "piece string, frequency bigint"), 10)
+    assert [k for k, _ in sizes] == [3, 6, 12, 16] and all(n <= 6 for k, n in sizes[1:])

@@ -291,8 +291,13 @@ def _splitter(family: str, ranks: dict, known: set):
         return [p if p in known else unk for p in parts if p is not None]
 
     if family == "unigram":
-        unknown = unigram.penalty(ranks)
-        return lambda piece: [unk if t is None else t for t in unigram.best_cut(piece, ranks, unknown)[1]]
+        unknown, lattice = unigram.penalty(ranks), unigram.Lattice(ranks)
+
+        def best_cut(piece):
+            return [unk if t is None else t for t in unigram.best_cut(piece, ranks, unknown)[1]]
+
+        best_cut.many = lambda pieces: [[unk if t is None else t for t in cut] for cut in lattice.cut(pieces)]
+        return best_cut
     if family == "wordpiece":
         return longest_first
     side_by_side = SideBySide(ranks, known, unk, family == "bytes")
