@@ -167,3 +167,15 @@ def test_seeds_make_only_frequent_parts_longer(spark, monkeypatch):
     rows = [("common" * 3, 10_000)] + [("".join(rng.choice("abcdefgh") for _ in range(18)), 1) for _ in range(400)]
     un.seeds(spark.createDataFrame(rows, "piece string, frequency bigint"), 10)
     assert [k for k, _ in sizes] == [3, 6, 12, 16] and all(n <= 6 for k, n in sizes[1:])
+
+
+def test_encoding_splits_no_piece_that_has_no_room(spark, corpus):
+    model = tk.train_tokenizer(corpus, "text", "unigram", 106 + 40)
+    text = " ".join(["walking", "jumps", "xé"] * 200)
+    df = spark.createDataFrame([(text,), ("talks",), (None,)], "text string").coalesce(1)
+    want = tk._splitter("unigram", *(lambda r, i: (r, set(i)))(*tk._tables(model)))
+    ids = {r["token"]: r["id"] for r in model.vocab.collect()}
+    all_ids = [ids[t] for w in text.split() for t in want("▁" + w)]
+    assert tk.encode_text(df, model, max_len=20).collect()[0]["input_ids"] == [0, *all_ids[:18], 1]
+    plan = tk.encode_text(df, model, max_len=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" in plan[plan.index("encode("):]

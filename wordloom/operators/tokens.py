@@ -385,8 +385,10 @@ def encode_text(
     """Adds ``input_ids`` and ``attention_mask`` of exactly ``max_len``.
 
     Row-local; specials enclose the ids, which are cut to leave room for them.
+    A piece has at least one id, so no later pieces than there is room for are split.
     """
-    ids = df.withColumn("_ids", id_splitter(model)(text_pieces(text, model.family)))
+    pieces = F.slice(text_pieces(text, model.family), 1, max(0, max_len - 2))
+    ids = df.withColumn("_ids", id_splitter(model)(pieces))
     framed = F.concat(F.array(F.lit(bos)), F.slice("_ids", 1, max_len - 2), F.array(F.lit(eos)))
     ids = ids.withColumn("_ids", framed)
     return (
