@@ -90,6 +90,60 @@ def test_bounded_sets_and_empty_table(spark, texts):
     assert [r["part"] for r in se.trained_sentences(df, empty).orderBy("part_no").collect()] == ["One.", "Two"]
 
 
+def test_learned_sets_are_whole(spark):
+    """Of more than 100,000 starters-to-be the weakest still cuts."""
+    letters = "abcdefghij"
+    filler = F.concat(F.lit("y"), F.translate(F.col("id").cast("string"), "0123456789", letters))
+    many = spark.range(100_010).select((F.col("id") % 40).alias("g"), filler.alias("w")).groupBy("g").agg(F.concat_ws(" ", F.collect_list("w")).alias("w"))
+    many = many.select("g", F.concat_ws(" ", "w", "w").alias("text"))
+    extra = "He met the Dr. Miller there! " * 30 + "She saw zz there! He met the Dr. Zz came!"
+    df = many.select("text").union(spark.createDataFrame([(extra,)], "text string"))
+    model = se.learn_boundaries(df)
+    assert "dr" in model.abbreviations and "zz" not in model.starters
+    rows = se.trained_sentences(df.where("text LIKE 'He met%'"), model).collect()
+    assert [r["part"] for r in sorted(rows, key=lambda r: r["part_no"])][-2:] == ["He met the Dr.", "Zz came!"]
+    assert model.lower.count() > 100_010 and model.lower.where("next = 'zz'").count() == 1
+
+
+@pytest.mark.parametrize("tables", [se.SETS, ("lower",), ("starters", "lower"), ("collocations",), ("abbreviations",)])
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_sets_as_tables_cut_alike(spark, texts, monkeypatch, tables, most):
+    """What texts look up in a table is joined (0) or sent whole."""
+    extra = [(2000 + k, t) for k, t in enumerate(["He met the Dr. The river rose.", "He met the Dr. Miller. So it was, e.g. This one.", "In 3. The", "Dr. Xx", "mr. the"] * 3)]
+    df = texts.union(texts.where("doc_id < 9")).union(spark.createDataFrame(extra, "doc_id bigint, text string"))
+    model = se.learn_boundaries(texts)
+    model = se.replace(model, collocations=model.collocations | {("mr", "miller"), (se.NUMBER, "the")}, lower=model.lower | {"miller", "this"})
+    schemas = {k: "type string, next string" if k == "collocations" else "type string" for k in tables}
+    kept = {k: spark.createDataFrame([e if k == "collocations" else (e,) for e in getattr(model, k)], s) for k, s in schemas.items()}
+    want = [(d, n, p) for d, t in df.collect() if t is not None for n, p in enumerate(se.cut_sentences(t, model))]
+    monkeypatch.setattr(se, "HELD", most)
+    got = se.trained_sentences(df, se.replace(model, **kept))
+    assert got.columns == ["doc_id", "part_no", "part"]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
+def test_large_sets_stay_tables(texts, monkeypatch):
+    whole = se.learn_boundaries(texts)
+    monkeypatch.setattr(se, "HELD", len(whole.abbreviations))
+    few = se.learn_boundaries(texts)
+    assert few.abbreviations == whole.abbreviations and {r[0] for r in few.lower.collect()} == whole.lower
+    monkeypatch.setattr(se, "HELD_BYTES", 5)
+    assert {r[0] for r in se.learn_boundaries(texts).abbreviations.collect()} == whole.abbreviations
+
+
+def test_lookups_hold_all_that_cutting_needs():
+    model = se.Boundaries(frozenset({"dr", "e.g"}), frozenset({("j", "weber"), ("dr", "the")}), frozenset({"the"}), frozenset({"so"}))
+    rng = random.Random(9)
+    tokens = ["Dr.", "e.g.", "J.", "Weber", "the", "The", "So", "end.", "...", "Dr...", "3.", "what?!", "so"]
+    for _ in range(2000):
+        text = " ".join(rng.choice(tokens) for _ in range(rng.randrange(0, 9)))
+        gone = [k for k in se.SETS if rng.random() < 0.5]
+        asked = se.lookups(text, se.replace(model, **dict.fromkeys(gone)))
+        found = {k: frozenset((a, b) if k == "collocations" else a for i, a, b in asked if se.SETS[i] == k) & getattr(model, k) for k in gone}
+        assert se.cut_sentences(text, se.replace(model, **found)) == se.cut_sentences(text, model), text
+        assert {se.SETS[i] for i, _, _ in asked} <= set(gone)
+
+
 def every_token(text, model):
     """The sentences, with a look at every token."""
     spots = list(re.finditer(r"\S+", text))

@@ -3,25 +3,26 @@
 No list of abbreviations is given.  Words that nearly always carry a period, are short
 and have periods inside are abbreviations; words that follow clear sentence ends more
 often than chance are starters; pairs that a period does not part are collocations.
-All three come from counts by likelihood ratios; the learned sets are small and
-bounded, and texts are cut by them row by row.
+All three come from counts by likelihood ratios.  The learned sets are whole: one that is
+too large to be sent to every worker stays a table, and what cutting looks up in it is joined.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wordloom.operators.curate import explode_parts
+from wordloom.operators.joins import lookup_join
 from wordloom.session import checkpointed
 
 # Thresholds of the published method
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
 ALMOST_ALWAYS = 0.99
-MOST = 100_000   # entries of each learned set, the strongest first
+HELD, HELD_BYTES = 100_000, 4_000_000  # a learned set up to this size is sent whole to the Python workers
 NUMBER = "##"
 _TRIM = r"^[^\p{L}\p{N}.]+|[^\p{L}\p{N}.]+$"
 CLOSERS = "\"'”’»)]}"
@@ -32,12 +33,12 @@ _CLOSE = r"[.!?:][^\p{L}\p{N}]*$"
 
 @dataclass(frozen=True)
 class Boundaries:
-    """The learned sets."""
+    """The learned sets; one beyond HELD or HELD_BYTES is a table of its entries."""
 
-    abbreviations: frozenset[str]
-    collocations: frozenset[tuple[str, str]]
-    starters: frozenset[str]
-    lower: frozenset[str]  # starters-to-be: words after abbreviations that are written small elsewhere, never large inside a sentence
+    abbreviations: frozenset[str] | DataFrame
+    collocations: frozenset[tuple[str, str]] | DataFrame
+    starters: frozenset[str] | DataFrame
+    lower: frozenset[str] | DataFrame  # starters-to-be: words after abbreviations that are written small elsewhere, never large inside a sentence
 
 
 def token_rows(df: DataFrame, text: str = "text") -> DataFrame:
@@ -96,17 +97,28 @@ def _ratio(both: Column, first: Column, second: Column, total: Column) -> Column
     return 2 * (part(both, first, inside) + part(second - both, rest, outside) - part(both, first, p) - part(second - both, rest, p))
 
 
-def _strongest(df: DataFrame, most: int, *columns: str) -> list[tuple]:
-    return [tuple(r[c] for c in columns) for r in df.orderBy(F.col("score").desc(), *columns).limit(most).collect()]
+def _entries(df: DataFrame, most: int | None, *columns: str) -> frozenset | DataFrame:
+    """All entries, or the ``most`` strongest: a set if HELD and HELD_BYTES allow, else a table."""
+    if most is not None:
+        df = df.orderBy(F.col("score").desc(), *columns).limit(most)
+    table = checkpointed(df.select(*columns))
+    if not _fits(table, *columns):
+        return table
+    return frozenset(r[0] if len(columns) == 1 else tuple(r) for r in table.collect())
 
 
-def learn_boundaries(df: DataFrame, text: str = "text", most: int = MOST) -> Boundaries:
-    """Learn from all texts: one count of words, one of the pairs around periods.  At most
-    ``most`` entries of each set are kept, the strongest first."""
+def _fits(table: DataFrame, *columns: str) -> bool:
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.sum(sum((F.octet_length(c) for c in columns), F.lit(0))).alias("bytes")).first()
+    return size["n"] <= HELD and (size["bytes"] or 0) <= HELD_BYTES
+
+
+def learn_boundaries(df: DataFrame, text: str = "text", most: int | None = None) -> Boundaries:
+    """Learn from all texts: one count of words, one of the pairs around periods.  With ``most``
+    only that many entries of each set are kept, the strongest first."""
     tokens = token_rows(df, text)
     types = checkpointed(boundary_types(tokens))
     total = F.lit(types.agg(F.sum("n")).first()[0] or 1).cast("double")
-    abbreviations = [r[0] for r in _strongest(types.where(F.col("score") >= ABBREVIATION), most, "type")]
+    abbreviations = _entries(types.where(F.col("score") >= ABBREVIATION), most, "type")
     pairs = tokens.where(_period(F.col("token")) & F.col("after").isNotNull())
     large = F.regexp_like("after", F.lit(r"^\p{Lu}"))
     pairs = pairs.select(word_type(F.col("token")).alias("type"), word_type(F.col("after")).alias("next"), large.alias("large"))
@@ -126,12 +138,12 @@ def learn_boundaries(df: DataFrame, text: str = "text", most: int = MOST) -> Bou
         word_type(F.col("after")).alias("next"), F.regexp_like("after", F.lit(r"^\p{Lu}")).alias("up"), F.col("closes").alias("end"))
     case = case.groupBy("next").agg(F.count_if(~F.col("up")).alias("score"), F.count_if(F.col("up") & ~F.col("end")).alias("inside"))
     return Boundaries(
-        frozenset(abbreviations), frozenset(_strongest(tied, most, "type", "next")), frozenset(r[0] for r in _strongest(begun, most, "next")),
-        frozenset(r[0] for r in _strongest(case.where("score > 0 AND inside = 0"), most, "next")))
+        abbreviations, _entries(tied, most, "type", "next"), _entries(begun, most, "next"),
+        _entries(case.where("score > 0 AND inside = 0"), most, "next"))
 
 
 def cut_sentences(text: str, model: Boundaries) -> list[str]:
-    """The sentences of one text, without the white space between them."""
+    """The sentences of one text, without the white space between them; all sets of the model are at hand."""
     def bare(token: str) -> str:
         return _BARE.sub("", token)
 
@@ -171,12 +183,80 @@ def cut_sentences(text: str, model: Boundaries) -> list[str]:
     return out
 
 
+SETS = ("abbreviations", "collocations", "starters", "lower")
+_ENTRY = ["kind", "first", "second"]  # place in SETS, word, second word or ""
+
+
+class _Asked(set):
+    """Notes what is looked up in a set that is not at hand, and gives the answer after which more is looked up."""
+
+    def __init__(self, answer: bool):
+        super().__init__()
+        self.answer = answer
+
+    def __contains__(self, entry: object) -> bool:
+        self.add(entry)
+        return self.answer
+
+
+def lookups(text: str, model: Boundaries) -> list[tuple[int, str, str]]:
+    """All that cutting the text may look up in the sets of ``model`` that are None."""
+    notes = {k: _Asked(k == "abbreviations") for k in SETS if getattr(model, k) is None}
+    cut_sentences(text, replace(model, **notes))
+    return [(SETS.index(k), *(e if isinstance(e, tuple) else (e, ""))) for k, note in notes.items() for e in note]
+
+
+def _with(model: Boundaries, found: list[tuple[int, str, str]]) -> Boundaries:
+    """The model with the found entries in place of its sets that are None."""
+    sets = {k: frozenset((a, b) if k == "collocations" else a for i, a, b in found if SETS[i] == k) for k in SETS if getattr(model, k) is None}
+    return replace(model, **sets)
+
+
 def trained_sentences(df: DataFrame, model: Boundaries, text: str = "text", part: str = "part") -> DataFrame:
-    """One row per sentence with its number; a text without words has none, a NULL text too."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    """One row per sentence with its number; a text without words has none, a NULL text too.
 
-    @F.arrow_udf("array<string>")
-    def cut(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else cut_sentences(t, shared.value) for t in texts.to_pylist()], pa.list_(pa.string()))
+    Of a learned set that is a table, only what these texts look up matters.  If that is
+    within HELD it is sent to the workers like the other sets; else every text gets what it
+    looks up by a join, and no worker holds more than the entries of one text.
+    """
+    spark = df.sparkSession
+    tables = {k: getattr(model, k) for k in SETS if isinstance(getattr(model, k), DataFrame)}
+    model = replace(model, **dict.fromkeys(tables))
+    found = None
+    if tables:
+        known = spark.sparkContext.broadcast(model)
+
+        @F.arrow_udf("array<struct<kind:int,first:string,second:string>>")
+        def ask(texts: pa.Array) -> pa.Array:
+            rows = [[dict(zip(_ENTRY, e)) for e in lookups(t, known.value)] for t in texts.to_pylist()]
+            return pa.array(rows, pa.list_(pa.struct([("kind", pa.int32()), ("first", pa.string()), ("second", pa.string())])))
+
+        row = F.xxhash64(text).alias("_row")  # texts of one hash share what they find: more than one looks up, all of it in the sets
+        asked = df.where(F.col(text).isNotNull()).select(row, F.explode(ask(F.col(text))).alias("_e")).select("_row", "_e.*")
+        entries = None
+        for k, table in tables.items():
+            names = [F.col(c) for c in table.columns] + [F.lit("")]
+            rows = table.select(F.lit(SETS.index(k)).alias("kind"), names[0].alias("first"), names[1].alias("second"))
+            entries = rows if entries is None else entries.union(rows)
+        found = checkpointed(entries.join(asked.select(*_ENTRY).distinct(), _ENTRY, "left_semi"))
+        if _fits(found, "first", "second"):
+            model, found = _with(model, [tuple(r) for r in found.select(*_ENTRY).collect()]), None
+    shared = spark.sparkContext.broadcast(model)
+    if found is None:
+
+        @F.arrow_udf("array<string>")
+        def cut(texts: pa.Array) -> pa.Array:
+            return pa.array([None if t is None else cut_sentences(t, shared.value) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+        return explode_parts(df, cut(F.col(text)), text, part)
 
-    return explode_parts(df, cut(F.col(text)), text, part)
+    @F.arrow_udf("array<string>")
+    def cut_by(texts: pa.Array, own: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), own.to_pylist())
+        return pa.array([None if t is None else cut_sentences(t, _with(shared.value, [(e["kind"], e["first"], e["second"]) for e in es or ()])) for t, es in rows], pa.list_(pa.string()))
+
+    hits = lookup_join(asked, found, _ENTRY, "left_semi", ["_row"])
+    own = checkpointed(hits.groupBy("_row").agg(F.collect_set(F.struct(*_ENTRY)).alias("_own")))
+    dealt = df.select("*", row, F.monotonically_increasing_id().alias("_deal"))  # copies of a text go to many tasks
+    joined = lookup_join(dealt, own, ["_row"], "left", ["_deal"], max_rows=0).select(*df.columns, "_own")
+    return explode_parts(joined, cut_by(F.col(text), F.col("_own")), text, part).drop("_own")
